@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from featurelab.functions import genes
 from featurelab.functions.draws import SEED, integer, uniform
@@ -25,7 +25,10 @@ STILL_SHARE = 0.8
 STILL_LIMIT = 50
 STILL_LIMIT_FEATURES = 10
 
-_RUN = Window.partitionBy("run_id")
+
+def per_run() -> WindowSpec:
+    return Window.partitionBy("run_id")
+
 
 
 def random_population(runs: DataFrame, length: int, seed: int = SEED) -> DataFrame:
@@ -104,7 +107,7 @@ def inconsistent(population: DataFrame, baseline: list[str], exmodel: list[str])
 
 def ranked(population: DataFrame) -> DataFrame:
     """``idx`` renumbered from the best score; equal scores keep their order."""
-    order = _RUN.orderBy(F.col("score").desc_nulls_last(), "idx")
+    order = per_run().orderBy(F.col("score").desc_nulls_last(), "idx")
     return population.withColumn("idx", F.row_number().over(order) - 1)
 
 
@@ -116,7 +119,7 @@ def crossed(
     out: str = "genome",
 ) -> DataFrame:
     """Best with worst, second best with second worst, ...: each pair crosses with probability ``pc``."""
-    n, idx = F.count(F.lit(1)).over(_RUN), F.col("idx")
+    n, idx = F.count(F.lit(1)).over(per_run()), F.col("idx")
     data = population.withColumn("_n", n).withColumn("_pair", F.least(idx, F.col("_n") - 1 - idx))
     pair = Window.partitionBy("run_id", "_pair")
     partner = F.when(
@@ -151,7 +154,7 @@ def mutated(
 
 def keep_best(pool: DataFrame, n: Column | int) -> DataFrame:
     """The ``n`` best of each run; on equal scores children (source 0) before parents (1)."""
-    order = _RUN.orderBy(F.col("score").desc_nulls_last(), "source", "idx")
+    order = per_run().orderBy(F.col("score").desc_nulls_last(), "source", "idx")
     place = F.row_number().over(order) - 1
     return (
         pool.withColumn("_place", place)
@@ -182,7 +185,7 @@ def summary(population: DataFrame) -> DataFrame:
 
 def shares(population: DataFrame) -> DataFrame:
     """Score divided by population size."""
-    return population.withColumn("prob", F.col("score") / F.count(F.lit(1)).over(_RUN))
+    return population.withColumn("prob", F.col("score") / F.count(F.lit(1)).over(per_run()))
 
 
 def unscored(population: DataFrame, solutions: DataFrame, keys: list[str]) -> DataFrame:
@@ -293,7 +296,7 @@ def generation(
         .drop("_one")
     )
     kept = keep_best(pool, F.col("n"))
-    repeats = F.col("n") - F.size(F.collect_set("genome").over(_RUN))
+    repeats = F.col("n") - F.size(F.collect_set("genome").over(per_run()))
     stands = (repeats >= F.col("n") * F.lit(STILL_SHARE)) & moving
     return kept.withColumn("still", F.col("still") + stands.cast("int"))
 

@@ -70,7 +70,7 @@ def masked_vector(spark, sf):
     vectors = encode.feature_vector(order_facts(spark, sf), ORDER_FEATURES)
     masked = encode.masked_vector(vectors, "011000000")
     parts = vector_to_array("masked")
-    return masked.select("row_id", parts[0].alias("first"), rounded(parts[1], 4).alias("second"))
+    return masked.select("row_id", parts[0].alias("first"), rounded(parts[1], 6).alias("second"))
 
 
 QUERIES.update(
@@ -107,7 +107,7 @@ WITH {ORDER_FACTS}, b AS ({sql_folds("facts", "row_id", 3)})
 SELECT k AS fold, part, count(*) AS rows, round(sum(qty), 2) AS qty
 FROM b, range(0, 3) t(k), (VALUES ('train'), ('test')) p(part)
 WHERE (part = 'test') = (b.fold = k) GROUP BY ALL""",
-    masked_vector=f"WITH {ORDER_FACTS} SELECT row_id, qty AS first, round(price, 4) AS second FROM facts",
+    masked_vector=f"WITH {ORDER_FACTS} SELECT row_id, qty AS first, round(price, 6) AS second FROM facts",
     dummy_vector="""
 WITH l AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS i, count(*) OVER () AS n
            FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),

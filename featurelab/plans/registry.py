@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from featurelab.plans import encoding, preparation, profiling, temporal_queries
+from featurelab.plans import encoding, genetic, preparation, profiling, temporal_queries
 
-AREAS = [preparation, profiling, temporal_queries, encoding]
+AREAS = [preparation, profiling, temporal_queries, encoding, genetic]
 
 
 def all_queries() -> dict:
