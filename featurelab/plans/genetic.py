@@ -182,11 +182,11 @@ def settings_sweep(spark, sf):
 
 
 def settings_search(spark, sf):
-    """Outer searches over settings, one per region of suppliers, all inner searches at once."""
-    nations = read_table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("nations"))
-    runs = nations.select(
-        F.col("n_regionkey").alias("run_id"), (F.col("nations") + 3).cast("int").alias("n"),
-        F.lit(0.25).alias("pc"), F.lit(0.1).alias("pm"),
+    """Outer searches over settings, one per ten suppliers; all inner searches run at once."""
+    group = F.floor(F.col("s_suppkey") / 10).cast("bigint")
+    suppliers = read_table(spark, sf, "supplier").groupBy(group.alias("run_id"))
+    runs = suppliers.agg(F.count(F.lit(1)).cast("int").alias("n")).withColumns(
+        {"pc": F.lit(0.25), "pm": F.lit(0.1)}
     )
     best = pop.search_settings(runs, length=30, inner_iterations=3, outer_iterations=1)
     return best.select("run_id", "idx", "genome", "score")

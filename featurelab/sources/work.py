@@ -32,3 +32,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written table or model."""
     return f"{checkpoint_dir(spark).rstrip('/')}/featurelab/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: columnar, pruned by later scans, and
+    safe when executors are lost. For tables that several jobs scan."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
