@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import Bucketizer, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
@@ -75,13 +77,13 @@ def _fit_boosted(estimator: GBTRegressor, patience: int, leaky: DataFrame | None
 
 def gradient_boosting(
     depth: int, rate: float, trees: int, subsample: float = 1.0, columns: str = "all",
-    seed: int = 1, patience: int | None = None,
+    seed: int = 1, patience: int | None = None, leaky: DataFrame | None = None,
 ):
     estimator = GBTRegressor(
         maxDepth=depth, stepSize=rate, maxIter=trees, subsamplingRate=subsample,
         featureSubsetStrategy=columns, seed=seed,
     )
-    return _fit_boosted(estimator, patience) if patience else _fit_trees(estimator)
+    return _fit_boosted(estimator, patience, leaky) if patience else _fit_trees(estimator)
 
 
 def forest(trees: int, depth: int = 30, seed: int = SEED):
@@ -95,8 +97,6 @@ def forest(trees: int, depth: int = 30, seed: int = SEED):
 def extra_trees(trees: int, depth: int = 30, cuts: int = 15, seed: int = SEED):
     """Trees on randomly cut features: every tree sees each feature through its own random
     thresholds, all rows and no bootstrap; the trees are averaged."""
-    import random
-
     def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
         ends = train.agg(*[F.struct(F.min(c), F.max(c)) for c in features]).first()
         stages = []
@@ -196,8 +196,6 @@ def _fit_moments(solve, columns: int | None = None, seed: int = SEED):
     """Linear learners that need only the sums of products of the training rows."""
 
     def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
-        import random
-
         names = features
         if columns is not None and len(features) > columns:
             names = random.Random(seed).sample(features, columns)
@@ -229,7 +227,11 @@ def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5):
 
 
 def naive_bayes(kind: str, smoothing: float = 1.0):
-    """Every distinct target value is a class; the predicted class is turned back into its value."""
+    """Every distinct target value is a class; the predicted class is turned back into its value.
+
+    MLlib also smooths the class shares of the multinomial model; here they are the plain
+    shares, so its scores are shifted by the difference before the best class is taken.
+    """
 
     def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
         vectors = _assembled(features)
@@ -241,10 +243,18 @@ def naive_bayes(kind: str, smoothing: float = 1.0):
         )
         marked = labels.transform(vectors.transform(train).withColumn("_class", F.col(target).cast("string")))
         model = estimator.fit(marked.select(_VECTOR, "_label"))
+        sizes = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}  # one row per class
+        rows = sum(sizes.values())
+        shift = [math.log(sizes[float(i)] / rows) - model.pi[i] for i in range(len(sizes))]
         back = IndexToString(inputCol="_at", outputCol="_value", labels=labels.labels)
 
         def predict(df: DataFrame) -> DataFrame:
-            scored = back.transform(model.transform(vectors.transform(df)))
+            scored = model.transform(vectors.transform(df))
+            shifted = F.zip_with(
+                vector_to_array("rawPrediction"), F.array(*[F.lit(s) for s in shift]), lambda a, b: a + b
+            )
+            best = (F.array_position(shifted, F.array_max(shifted)) - 1).cast("double")
+            scored = back.transform(scored.withColumn("_at", best))
             named = scored.withColumn("prediction", F.col("_value").cast("double"))
             return named.drop(_VECTOR, "_at", "_value", "rawPrediction", "probability")
 

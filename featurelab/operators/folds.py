@@ -11,10 +11,10 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from featurelab.functions.draws import SEED, hash32
 from featurelab.operators.ranks import SPREAD_BUCKETS, hash_cuts, ordered_position, section
+from featurelab.operators.sized import broadcast_if_small
 
 TEST_SHARE = 0.33
 
@@ -23,11 +23,7 @@ def train_test_split(
     df: DataFrame, key: str, test_share: float = TEST_SHARE, seed: int = SEED, out: str = "part"
 ) -> DataFrame:
     """Mark ``ceil(test_share * rows)`` rows as test, drawn by hash; ``key`` must be unique."""
-    rows = df.count()
-    tests = math.ceil(test_share * rows)
-    if tests >= rows:
-        return df.withColumn(out, F.lit("test"))
-    cuts = hash_cuts(df, key, [tests], "split", seed=seed)
+    cuts = hash_cuts(df, key, lambda rows: [math.ceil(test_share * rows)], "split", seed=seed)
     part = F.when(section(key, cuts, "split", seed=seed) == 0, "test").otherwise("train")
     return df.withColumn(out, part)
 
@@ -39,10 +35,11 @@ def random_folds(
 
     ``key`` must be unique and is never a feature.
     """
-    rows = df.count()
-    size = round(rows / folds)
-    starts = [k * size for k in range(1, folds)]
-    cuts = hash_cuts(df, key, [s for s in starts if s < rows], "fold", seed=seed)
+
+    def starts(rows: int) -> list[int]:
+        return [k * round(rows / folds) for k in range(1, folds)]
+
+    cuts = hash_cuts(df, key, starts, "fold", seed=seed)
     return df.withColumn(out, section(key, cuts, "fold", seed=seed).cast("int"))
 
 
@@ -57,9 +54,11 @@ def group_folds(
     """
     if balance == "count":
         groups = df.select(group).distinct()
-        total = groups.count()
-        starts = [total * k // folds for k in range(1, folds)]
-        cuts = hash_cuts(groups, group, [s for s in starts if s < total], "fold", seed=seed)
+
+        def starts(rows: int) -> list[int]:
+            return [rows * k // folds for k in range(1, folds)]
+
+        cuts = hash_cuts(groups, group, starts, "fold", seed=seed)
         return df.withColumn(out, section(group, cuts, "fold", seed=seed).cast("int"))
     if balance != "rows":
         raise ValueError("balance is 'count' or 'rows'")
@@ -72,7 +71,8 @@ def group_folds(
     dealt = ordered_position(sizes, "_key", order, "_place", SPREAD_BUCKETS)
     lap, step = F.floor(F.col("_place") / folds), F.col("_place") % folds
     snake = F.when(lap % 2 == 0, step).otherwise(folds - 1 - step)
-    return df.join(dealt.select(group, snake.cast("int").alias(out)), group)
+    # A hot group only repeats on the large side; its fold table has one row per group.
+    return df.join(broadcast_if_small(dealt.select(group, snake.cast("int").alias(out))), group)
 
 
 def train_rows(df: DataFrame, fold: int, out: str = "fold") -> DataFrame:
@@ -88,33 +88,38 @@ def fold_means(df: DataFrame, target: str, fold: str = "fold") -> DataFrame:
     return df.rollup(fold).agg(F.avg(target).alias("mean"), F.count(target).alias("rows"))
 
 
-def fold_copies(df: DataFrame, features: list[str], fold: str = "fold") -> DataFrame:
+def fold_copies(df: DataFrame, features: list[str], folds: int, fold: str = "fold") -> DataFrame:
     """Per fold: copied rows inside it, in the other folds, in all, and their share.
 
-    Rows are folded to distinct (features, fold) map-side first; a second step over
-    the distinct feature rows sees at most one row per fold.
+    One shuffle for all folds: copies are folded map-side to one row of fold counts, and
+    texts travel as their digest.
     """
-    keys = [F.col(f"`{c}`") for c in features]
-    cells = df.groupBy(*keys, F.col(fold)).agg(F.count(F.lit(1)).alias("n"))
-    per_row = cells.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.collect_list(F.struct(F.col(fold).alias("fold"), "n")).alias("cells"),
-    )  # cells: at most one entry per fold
-    seen = per_row.select("n", F.posexplode("cells").alias("at", "cell"))
-    once = F.col("at") == 0
-    own, n = F.col("cell.n"), F.col("n")
-    per_fold = seen.groupBy("cell.fold").agg(
-        F.sum(own - 1).alias("inside_fold"),
-        # Copies that the other folds lack because this fold holds some of them.
-        F.sum(n - 1 - F.greatest(n - own - 1, F.lit(0))).alias("_held"),
-        F.sum(F.when(once, n - 1).otherwise(0)).alias("_copies"),
-        F.sum(F.when(once, n).otherwise(0)).alias("_rows"),
+    types = dict(df.dtypes)
+    keys = [
+        F.sha2(F.col(f"`{c}`"), 256).alias(f"_k{i}") if types[c] == "string" else F.col(f"`{c}`").alias(f"_k{i}")
+        for i, c in enumerate(features)
+    ]
+    counted = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(fold) == k).alias(f"in{k}") for k in range(folds)],
     )
-    folds = Window.partitionBy()  # one row per fold
-    return per_fold.select(
-        "fold",
-        "inside_fold",
-        (F.sum("_copies").over(folds) - F.col("_held")).alias("other_folds"),
-        F.sum("_copies").over(folds).alias("all_folds"),
-        (F.sum("_copies").over(folds) / F.sum("_rows").over(folds)).alias("share"),
+    copies = counted.agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.col("n") - 1).alias("all_folds"),
+        *[F.sum(F.greatest(F.col(f"in{k}") - 1, F.lit(0))).alias(f"in{k}") for k in range(folds)],
+        *[
+            F.sum(F.greatest(F.col("n") - F.col(f"in{k}") - 1, F.lit(0))).alias(f"out{k}")
+            for k in range(folds)
+        ],
     )
+    per_fold = [
+        F.struct(
+            F.lit(k).alias("fold"),
+            F.col(f"in{k}").alias("inside_fold"),
+            F.col(f"out{k}").alias("other_folds"),
+            F.col("all_folds"),
+            (F.col("all_folds") / F.col("rows")).alias("share"),
+        )
+        for k in range(folds)
+    ]
+    return copies.select(F.inline(F.array(*per_fold)))

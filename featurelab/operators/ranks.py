@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -75,24 +76,27 @@ class Cut:
     key: object
 
 
-def hash_cuts(df: DataFrame, key: str, positions: list[int], *purpose, seed: int) -> list[Cut]:
-    """The (hash, key) found at the given 0-based positions of the hash order of ``key``.
+def hash_cuts(
+    df: DataFrame, key: str, positions: Callable[[int], list[int]], *purpose, seed: int
+) -> list[Cut]:
+    """The (hash, key) found at 0-based positions of the hash order of ``key``.
 
-    ``key`` must be unique. Counting hash buckets finds the few buckets that hold a
+    ``key`` must be unique; ``positions`` gives them for the number of rows, and those past
+    the last row give no cut. Counting hash buckets finds the few buckets that hold a
     position; only their rows are ranked. The table itself is never shuffled.
     """
     drawn = df.select(F.col(key).alias("key"), hash32(F.col(key), *purpose, seed=seed).alias("draw"))
     bucket = F.shiftright("draw", 32 - _CUT_BITS)
     counts = sorted(drawn.groupBy(bucket.alias("b")).count().collect())
+    total = sum(row["count"] for row in counts)
+    asked = [p for p in positions(total) if p < total]
+    targets = sorted(set(asked))
     wanted, start, at = {}, 0, 0
-    targets = sorted(set(positions))
     for row in counts:
         while at < len(targets) and targets[at] < start + row["count"]:
             wanted.setdefault(row["b"], []).append(targets[at] - start)
             at += 1
         start += row["count"]
-    if at < len(targets):
-        raise ValueError("a position lies past the last row")
     if not wanted:
         return []
     place = Window.partitionBy("b").orderBy("draw", "key")
@@ -104,7 +108,7 @@ def hash_cuts(df: DataFrame, key: str, positions: list[int], *purpose, seed: int
     hit = reduce(or_, [(F.col("b") == b) & F.col("place").isin(*ps) for b, ps in wanted.items()])
     rows = ranked.filter(hit).select("draw", "key").collect()
     by_place = {p: c for p, c in zip(targets, sorted((r["draw"], r["key"]) for r in rows))}
-    return [Cut(*by_place[p]) for p in positions]
+    return [Cut(*by_place[p]) for p in asked]
 
 
 def section(key: str, cuts: list[Cut], *purpose, seed: int) -> Column:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurelab.sources.work import materialize
+
 # Rows a side may have to be broadcast. Callers pass narrow keys and counts only.
 BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` marked for broadcast when it has at most ``max_rows`` rows, else unchanged.
+    """``side`` marked for broadcast when it has at most ``max_rows`` rows, else unmarked.
 
-    The check reads at most ``max_rows + 1`` rows, and a side that passes is not
-    computed a second time. Beyond the bound the join shuffles and AQE splits skew.
+    The side is written once and counted, so neither way computes it twice. Beyond the
+    bound the join shuffles and AQE splits skew.
     """
-    rows = side.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return side
-    return F.broadcast(side.sparkSession.createDataFrame(rows, side.schema))
+    written = materialize(side, "side")
+    return F.broadcast(written) if written.count() <= max_rows else written

@@ -168,6 +168,18 @@ def one_generation(spark, sf):
     return final.select("run_id", F.col("idx").cast("bigint"), "genome", "score")
 
 
+_GENERATIONS = 3
+
+
+def three_generations(spark, sf):
+    """Three whole generations of every population."""
+    people = genomes(spark, sf).withColumns(
+        {"n": F.count(F.lit(1)).over(pop.per_run()), "pc": F.lit(_PC), "pm": F.lit(_PM)}
+    )
+    final = pop.evolve(people, pop.ones_score, max_iterations=_GENERATIONS - 1)
+    return final.select("run_id", F.col("idx").cast("bigint"), "genome", "score")
+
+
 def onemax_search(spark, sf):
     """One search per supplier: 20 individuals, up to 13 generations."""
     runs = _runs(spark, sf).withColumns({"pc": F.lit(0.25), "pm": F.lit(0.1)})
@@ -201,6 +213,7 @@ QUERIES.update(
     equal_scores=equal_scores, genome_likeness=genome_likeness, population_overlap=population_overlap,
     genome_features=genome_features, inconsistent_individuals=inconsistent_individuals,
     decoded_settings=decoded_settings, good_settings=good_settings, one_generation=one_generation,
+    three_generations=three_generations,
     onemax_search=onemax_search, settings_sweep=settings_sweep, settings_search=settings_search,
 )
 
@@ -222,32 +235,56 @@ def _sql_slices(own: str, other: str) -> str:
     )
 
 
-def _sql_crossed(source: str) -> str:
+def _sql_crossed(source: str, step: int = 0) -> str:
     pair = "least(idx, n - 1 - idx)"
     half = f"CAST(round_even({GENES} / 2.0, 0) AS BIGINT)"
+    t = _tag(step)
     return f"""
-pairs AS (SELECT *, {pair} AS pair, {sql_int(f"{GENES} + 1", "run_id", "0", pair, "'cut'")} AS c,
-                 {sql_draw("run_id", "0", pair, "'cross'")} AS u FROM {source}),
-cuts AS (SELECT a.*, b.genome AS other, greatest(0, a.c + {half} - {GENES}) AS e,
+pairs{t} AS (SELECT *, {pair} AS pair, {sql_int(f"{GENES} + 1", "run_id", str(step), pair, "'cut'")} AS c,
+                 {sql_draw("run_id", str(step), pair, "'cross'")} AS u FROM {source}),
+cuts{t} AS (SELECT a.*, b.genome AS other, greatest(0, a.c + {half} - {GENES}) AS e,
                 least(a.c + {half}, {GENES}) AS s
-         FROM pairs a JOIN pairs b ON a.run_id = b.run_id AND b.idx = a.n - 1 - a.idx),
-crossed AS (SELECT run_id, idx, CASE WHEN pair < n // 2 AND u < {_PC} THEN {_sql_slices("genome", "other")}
-                                ELSE genome END AS genome FROM cuts)"""
+         FROM pairs{t} a JOIN pairs{t} b ON a.run_id = b.run_id AND b.idx = a.n - 1 - a.idx),
+crossed{t} AS (SELECT run_id, idx, CASE WHEN pair < n // 2 AND u < {_PC} THEN {_sql_slices("genome", "other")}
+                                ELSE genome END AS genome FROM cuts{t})"""
 
 
-def _sql_mutated(source: str, pm) -> str:
-    gene = sql_int(str(GENES), "run_id", "0", "idx", "'gene'")
+def _tag(step: int) -> str:
+    return f"_{step}" if step else ""
+
+
+def _sql_mutated(source: str, pm, step: int = 0) -> str:
+    gene = sql_int(str(GENES), "run_id", str(step), "idx", "'gene'")
+    t = _tag(step)
     return f"""
-drawn AS (SELECT *, {gene} AS g, {sql_draw("run_id", "0", "idx", "'mutate'")} AS u FROM {source}),
-mutated AS (SELECT * EXCLUDE (g, u, genome), CASE WHEN u < {pm}
+drawn{t} AS (SELECT *, {gene} AS g, {sql_draw("run_id", str(step), "idx", "'mutate'")} AS u FROM {source}),
+mutated{t} AS (SELECT * EXCLUDE (g, u, genome), CASE WHEN u < {pm}
               THEN substr(genome, 1, CAST(g AS INT)) || translate(substr(genome, CAST(g + 1 AS INT), 1), '01', '10')
-                   || substr(genome, CAST(g + 2 AS INT)) ELSE genome END AS genome FROM drawn)"""
+                   || substr(genome, CAST(g + 2 AS INT)) ELSE genome END AS genome FROM drawn{t})"""
+
+
+def _sql_pool(parents: str, step: int = 0) -> str:
+    t = _tag(step)
+    return f"""
+pool{t} AS (SELECT run_id, idx, genome, CAST({_ONES} AS DOUBLE) AS score, 0 AS source FROM mutated{t}
+         UNION ALL SELECT run_id, idx, genome, score, 1 FROM {parents}),
+placed{t} AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, source, idx) - 1 AS place FROM pool{t})"""
+
+
+_KEPT = f"""{_RANKED}, {_sql_crossed("ranked")}, {_sql_mutated("crossed", _PM)}, {_sql_pool("ranked")}"""
 
 
-_KEPT = f"""{_RANKED}, {_sql_crossed("ranked")}, {_sql_mutated("crossed", _PM)},
-pool AS (SELECT run_id, idx, genome, CAST({_ONES} AS DOUBLE) AS score, 0 AS source FROM mutated
-         UNION ALL SELECT run_id, idx, genome, score, 1 FROM ranked),
-placed AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, source, idx) - 1 AS place FROM pool)"""
+def _sql_generations(count: int) -> str:
+    """Unrolled generations: kept_g is the population after generation g."""
+    parts, parents = [_RANKED], "ranked"
+    for g in range(count):
+        t = _tag(g)
+        parts += [_sql_crossed(parents, g), _sql_mutated(f"crossed{t}", _PM, g), _sql_pool(parents, g)]
+        parts.append(f"""
+kept{t} AS (SELECT run_id, place AS idx, genome, score, n FROM placed{t}
+  JOIN (SELECT run_id, count(*) AS n FROM ranked GROUP BY run_id) USING (run_id) WHERE place < n)""")
+        parents = f"kept{t}"
+    return f"WITH {', '.join(parts)} SELECT run_id, idx, genome, score FROM {parents}"
 
 
 def _sql_names(genome: str, names: list[str]) -> str:
@@ -304,6 +341,7 @@ FROM orders""",
 WITH {_KEPT}
 SELECT run_id, place AS idx, genome, score FROM placed
 WHERE place < (SELECT count(*) FROM ranked r WHERE r.run_id = placed.run_id)""",
+    three_generations=_sql_generations(_GENERATIONS),
     population_summary=f"""
 WITH {_SCORED}
 SELECT run_id, count(*) AS n, sum(score) AS total, round(avg(score), 4) AS mean, max(score) AS max_score,

@@ -99,7 +99,7 @@ def _document_folds(spark, sf):
 
 
 def fold_copies(spark, sf):
-    report = folds.fold_copies(_document_folds(spark, sf), ["text", "lang", "source"])
+    report = folds.fold_copies(_document_folds(spark, sf), ["text", "lang", "source"], 3)
     return report.select(
         F.col("fold").cast("bigint"), "inside_fold", "other_folds", "all_folds",
         rounded("share", 6).alias("share"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from featurelab.plans import encoding, genetic, preparation, profiling, temporal_queries
+from featurelab.plans import encoding, genetic, grids, preparation, profiling, scoring, temporal_queries
 
-AREAS = [preparation, profiling, temporal_queries, encoding, genetic]
+AREAS = [preparation, profiling, temporal_queries, encoding, genetic, scoring, grids]
 
 
 def all_queries() -> dict:
