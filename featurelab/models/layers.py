@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelab.functions.draws import SEED, hash32, integer
-from featurelab.models.learners import Learner
+from featurelab.models.gram import fold_moments, least_squares, linear_prediction, total_moments
+from featurelab.models.learners import Learner, MomentFit
+from featurelab.operators.clean import clamp_negative
 from featurelab.sources.work import materialize
 
 
@@ -147,6 +149,40 @@ class Neuron:
     exmodel: list[str]
 
 
+def _fold_value(table: DataFrame, neurons: list[Neuron], folds: int) -> dict[str, Column]:
+    """Out-of-fold predictions of linear neurons as columns: one set of moments for all of
+    them and all folds, and no join."""
+    names = sorted({c for n in neurons for c in (*n.baseline, *n.exmodel)})
+    moments = fold_moments(table, names, "y", "fold")
+    total = total_moments(moments)
+    values = {}
+    for neuron in neurons:
+        fit = neuron.learner.fit if isinstance(neuron.learner.fit, MomentFit) else MomentFit(least_squares)
+        used = fit.names([*neuron.baseline, *neuron.exmodel])
+        picked = [names.index(c) for c in used]
+        value = F.lit(None).cast("double")
+        for k in range(folds):
+            train = total - moments[k] if k in moments else total
+            value = F.when(F.col("fold") == k, linear_prediction(used, *fit.solve(train, picked))).otherwise(value)
+        values[neuron.name] = value
+    return values
+
+
+def _long_predictions(table: DataFrame, neurons: list[Neuron], folds: int) -> DataFrame:
+    """(row_id, fold, neuron, prediction) of learners that are fitted fold by fold."""
+    long = None
+    for neuron in neurons:
+        names = [*neuron.baseline, *neuron.exmodel]
+        inputs = table.select("row_id", "fold", "y", *names)
+        for k in range(folds):
+            model = neuron.learner.fit(inputs.filter(F.col("fold") != k), names, "y")
+            part = model.predict(inputs.filter(F.col("fold") == k)).select(
+                "row_id", "fold", F.lit(neuron.name).alias("neuron"), "prediction"
+            )
+            long = part if long is None else long.unionByName(part)
+    return long
+
+
 def train_layers(data: DataFrame, neurons: list[Neuron], folds: int, clip_negative: bool = False) -> DataFrame:
     """Out-of-fold predictions of all neurons, one column each, layer by layer.
 
@@ -154,26 +190,19 @@ def train_layers(data: DataFrame, neurons: list[Neuron], folds: int, clip_negati
     other folds and predicts its own, so later layers never see a fitted value. A layer is
     written before the next one reads it. A neuron without a feature predicts its train mean.
     """
-    outputs = data.select("row_id", "fold")
+    table = data
     for layer in sorted({n.layer for n in neurons}):
-        long = None
         here = [n for n in neurons if n.layer == layer]
-        for neuron in here:
-            table = neuron_inputs(data, outputs, neuron.baseline, neuron.exmodel)
-            names = [*neuron.baseline, *neuron.exmodel]
-            for k in range(folds):
-                train, test = table.filter(F.col("fold") != k), table.filter(F.col("fold") == k)
-                if names:
-                    scored = neuron.learner.fit(train, names, "y").predict(test)
-                else:
-                    scored = test.withColumn("prediction", train.agg(F.avg("y")).scalar())
-                value = F.col("prediction")
-                if clip_negative:
-                    value = F.when(value < 0, 0.0).otherwise(value)
-                part = scored.select(
-                    "row_id", "fold", F.lit(neuron.name).alias("neuron"), value.alias("prediction")
-                )
-                long = part if long is None else long.unionByName(part)
-        wide = output_table(long, [n.name for n in here])
-        outputs = materialize(outputs.join(wide, ["row_id", "fold"]), f"layer-{layer}")
-    return outputs
+        linear = [
+            n for n in here
+            if isinstance(n.learner.fit, MomentFit) or not (n.baseline or n.exmodel)
+        ]
+        others = [n for n in here if n not in linear]
+        grown = table.withColumns(_fold_value(table, linear, folds)) if linear else table
+        if others:
+            wide = output_table(_long_predictions(table, others, folds), [n.name for n in others])
+            grown = grown.join(wide, ["row_id", "fold"])
+        if clip_negative:
+            grown = grown.withColumns({n.name: clamp_negative(F.col(n.name)) for n in here})
+        table = materialize(grown, f"layer-{layer}")
+    return table.select("row_id", "fold", *[n.name for n in sorted(neurons, key=lambda n: n.layer)])

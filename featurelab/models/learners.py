@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from featurelab.functions.draws import SEED
 from featurelab.models.boosting import fit_with_patience, hold_out
 from featurelab.models.gram import (
-    bayesian_ridge, fold_moments, least_squares, linear_prediction, relevance_regression,
+    Moments, bayesian_ridge, fold_moments, least_squares, linear_prediction, relevance_regression,
 )
 from featurelab.operators.metrics import regression_report
 from featurelab.sources.work import materialize
@@ -192,20 +193,29 @@ def ada_boost(rounds: int = 50, rate: float = 1.0, depth: int = 3, seed: int = S
     return fit
 
 
-def _fit_moments(solve, columns: int | None = None, seed: int = SEED):
-    """Linear learners that need only the sums of products of the training rows."""
+@dataclass
+class MomentFit:
+    """A linear learner that needs only the sums of products of the training rows.
 
-    def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
-        names = features
-        if columns is not None and len(features) > columns:
-            names = random.Random(seed).sample(features, columns)
+    Layers solve many such learners and folds from the moments of one scan.
+    """
+
+    solve: Callable[[Moments, list[int]], tuple[float, np.ndarray]]
+    columns: int | None = None  # at most so many columns, drawn at random
+    seed: int = SEED
+
+    def names(self, features: list[str]) -> list[str]:
+        if self.columns is None or len(features) <= self.columns:
+            return features
+        return random.Random(self.seed).sample(features, self.columns)
+
+    def __call__(self, train: DataFrame, features: list[str], target: str) -> Fitted:
+        names = self.names(features)
         moments = fold_moments(train, names, target)[0]
-        intercept, coef = solve(moments, list(range(len(names))))
+        intercept, coef = self.solve(moments, list(range(len(names))))
         value = linear_prediction(names, intercept, coef)
         return Fitted(lambda df: df.withColumn("prediction", value), (intercept, dict(zip(names, coef))))
 
-    return fit
-
 
 def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5):
     """1/(2n) |y - Xw|^2 + alpha l1_ratio |w|_1 + alpha (1 - l1_ratio) / 2 |w|_2^2.
@@ -270,14 +280,14 @@ SETTINGS: dict[str, tuple[Callable, dict]] = {
     "extratrees": (extra_trees, dict(trees=200)),
     "xgboost": (gradient_boosting, dict(depth=6, rate=0.07, trees=800, subsample=0.75, columns="0.7", seed=1440, patience=20)),
     "bagging": (forest, dict(trees=10)),
-    "ardr": (_fit_moments, dict(solve=relevance_regression, columns=100)),
-    "bayesridge": (_fit_moments, dict(solve=bayesian_ridge)),
+    "ardr": (MomentFit, dict(solve=relevance_regression, columns=100)),
+    "bayesridge": (MomentFit, dict(solve=bayesian_ridge)),
     "elasticnet": (elastic_net, dict(alpha=1.0, l1_ratio=0.5)),
     "randomforest": (forest, dict(trees=200)),
     "gradientboosting": (gradient_boosting, dict(depth=3, rate=0.1, trees=200)),
     "multinomial": (naive_bayes, dict(kind="multinomial", smoothing=1.0)),
     "gaussiannb": (naive_bayes, dict(kind="gaussian")),
-    "linear": (_fit_moments, dict(solve=least_squares)),
+    "linear": (MomentFit, dict(solve=least_squares)),
 }
 OPT_IN = ("ardr",)
 

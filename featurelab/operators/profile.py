@@ -198,11 +198,16 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(scaled)
 
 
+def medians_and_mads(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Median and median absolute deviation of each column, exact; all columns together."""
+    medians = exact_quantiles(df, columns, [0.5])
+    away = df.select(*[F.abs(F.col(c) - F.lit(medians[c, 0.5])).alias(c) for c in columns])
+    mads = exact_quantiles(away, columns, [0.5])
+    return {c: (medians[c, 0.5], mads[c, 0.5]) for c in columns}
+
+
 def median_and_mad(df: DataFrame, column: str) -> tuple[float, float]:
-    """Median and median absolute deviation, exact."""
-    median = exact_quantiles(df, [column], [0.5])[column, 0.5]
-    away = df.select(F.abs(F.col(column) - F.lit(median)).alias("away"))
-    return median, exact_quantiles(away, ["away"], [0.5])["away", 0.5]
+    return medians_and_mads(df, [column])[column]
 
 
 def mad_outlier(column: Column, median: float, mad: float, threshold: float) -> Column:

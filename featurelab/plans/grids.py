@@ -87,13 +87,16 @@ def neuron_inputs(spark, sf):
 
 
 def stacked_layers(spark, sf):
-    """Two layers of linear neurons; each column is one neuron's out-of-fold prediction."""
+    """Two layers; each column is one neuron's out-of-fold prediction."""
     facts = folds.random_folds(materialize(order_facts(spark, sf), "facts"), "row_id", 3)
-    linear = learner("linear")
     neurons = [
-        layers.Neuron("linear_N_0_M_0", 0, linear, ["n", "qty"], []),
+        layers.Neuron("linear_N_0_M_0", 0, learner("linear"), ["n", "qty"], []),
         layers.Neuron("bayesridge_N_0_M_1", 0, learner("bayesridge"), ["price"], []),
-        layers.Neuron("linear_N_1_M_0", 1, linear, ["disc"], ["linear_N_0_M_0", "bayesridge_N_0_M_1"]),
+        layers.Neuron("gradientboosting_N_0_M_2", 0, learner("gradientboosting", trees=3), ["price", "disc"], []),
+        layers.Neuron(
+            "linear_N_1_M_0", 1, learner("linear"), ["disc"],
+            ["linear_N_0_M_0", "bayesridge_N_0_M_1", "gradientboosting_N_0_M_2"],
+        ),
     ]
     return layers.train_layers(facts, neurons, 3)
 

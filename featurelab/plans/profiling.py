@@ -71,7 +71,8 @@ def z_score(spark, sf):
 
 def median_mad(spark, sf):
     lines = read_table(spark, sf, "lineitem")
-    rows = [(c, *profile.median_and_mad(lines, c)) for c in ["l_extendedprice", "l_quantity"]]
+    found = profile.medians_and_mads(lines, ["l_extendedprice", "l_quantity"])
+    rows = [(c, *pair) for c, pair in found.items()]
     report = spark.createDataFrame(rows, "column string, median double, mad double")
     return report.select("column", rounded("median").alias("median"), rounded("mad").alias("mad"))
 
