@@ -146,8 +146,13 @@ def weighted_median(values: list[Column], weights: list[float]) -> Column:
     )
 
 
-def ada_boost(rounds: int = 50, rate: float = 1.0, depth: int = 3, seed: int = SEED):
-    """AdaBoost.R2 with linear loss: row weights instead of resampling, weighted median."""
+def ada_boost(
+    rounds: int = 50, rate: float = 1.0, depth: int = 3, seed: int = SEED, write_every: int = 4
+):
+    """AdaBoost.R2 with linear loss: row weights instead of resampling, weighted median.
+
+    Weights are recomputed from the last few trees and written every ``write_every`` rounds.
+    """
 
     def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
         vectors = _assembled(features)
@@ -178,7 +183,9 @@ def ada_boost(rounds: int = 50, rate: float = 1.0, depth: int = 3, seed: int = S
             votes.append(rate * math.log(1.0 / beta))
             if r + 1 < rounds:
                 grown = F.col("_w") * F.pow(F.lit(beta), rate * (1 - F.col("_away") / worst))
-                data = materialize(scored.select(_VECTOR, "_y", grown.alias("_w")), "ada")
+                data = scored.select(_VECTOR, "_y", grown.alias("_w"))
+                if r % write_every == write_every - 1:
+                    data = materialize(data, "ada")
 
         def predict(df: DataFrame) -> DataFrame:
             scored, columns = vectors.transform(df), []

@@ -312,7 +312,8 @@ def evolve(
     """Run all searches of ``population`` (run_id, n, pc, pm, idx, genome) side by side.
 
     ``max_iterations + 1`` generations, fewer if every run stands still. ``score`` adds a
-    ``score`` column. Lineage is cut with a reliable checkpoint every few generations.
+    ``score`` column. Lineage is cut with a reliable checkpoint every few generations; a
+    score that runs jobs of its own wants ``cut_every=1``.
     """
     # Few rows per run: many runs share a partition, and the hash spreads them evenly.
     placed = population.repartition("run_id")
@@ -346,6 +347,7 @@ def sweep_settings(
     best_possible: float | None = None,
     cost: float = 0.1,
     seed: int = SEED,
+    cut_every: int = 4,
 ) -> DataFrame:
     """Score settings genomes by the search they describe; one run per distinct genome.
 
@@ -356,7 +358,7 @@ def sweep_settings(
     distinct = with_settings(settings.select("genome").distinct())
     runs = distinct.withColumnRenamed("genome", "run_id")
     start = random_population(runs, length, seed)
-    final = evolve(start, score, max_iterations, seed=seed)
+    final = evolve(start, score, max_iterations, seed=seed, cut_every=cut_every)
     best = F.lit(float(length) if best_possible is None else best_possible)
     return final.groupBy(F.col("run_id").alias("genome")).agg(
         F.max("n").alias("n"),

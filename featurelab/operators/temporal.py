@@ -19,6 +19,8 @@ from featurelab.operators.profile import group_sum
 KINDS = ("ewm", "rolling", "expanding")
 # Weights below this share of the newest one do not change a double sum.
 _FADED = 1e-40
+# Largest natural logarithm of a weight inside a block.
+_STEEPEST = 575.0
 
 
 def series(df: DataFrame, date: str, values: list[str], categories: list[str]) -> DataFrame:
@@ -41,30 +43,61 @@ def _windowed(value: str, kind: str, lag: int, width: int, order) -> Column:
     return F.when(full, F.avg(value).over(frame))
 
 
-def _weighted(data: DataFrame, value: str, width: int, out: str, categories: list[str], order) -> DataFrame:
-    """Exponentially weighted mean of all values so far, span ``width``, adjusted weights.
+def _blocks(widths: list[int]) -> list[tuple[int, list[int]]]:
+    """Widths that can share a block of rows, and its length.
 
-    Weights are kept in range by restarting a running sum every ``block`` rows; the block
-    before enters through its last sum, and older ones have faded to nothing.
+    A block is long enough for the slowest weights to fade over it and short enough for
+    the fastest ones, taken backwards, to stay a finite double.
     """
-    keep = 1.0 - 2.0 / (width + 1.0)
-    if keep == 0.0:
-        return data.withColumn(out, F.col(value))
-    block = math.ceil(math.log(_FADED) / math.log(keep))
-    step = F.col("_row") % block
-    inside = Window.partitionBy(*categories, F.floor(F.col("_row") / block)).orderBy("_row")
-    # Powers of `keep` below one row: older rows weigh less, so the newest dominates the sum.
-    scaled = F.col(value) * F.pow(F.lit(keep), -step)
-    local = F.sum(scaled).over(inside) * F.pow(F.lit(keep), step)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    closed = F.last(F.when(F.col("_row") % block == block - 1, F.col("_local")), ignorenulls=True)
-    weight = (1.0 - F.pow(F.lit(keep), F.col("_row") + 1)) / (1.0 - keep)
-    return (
-        data.withColumn("_local", local)
-        .withColumn("_before", F.coalesce(closed.over(earlier), F.lit(0.0)))
-        .withColumn(out, (F.col("_local") + F.col("_before") * F.pow(F.lit(keep), step + 1)) / weight)
-        .drop("_local", "_before")
-    )
+    groups: list[tuple[int, list[int]]] = []
+    for width in sorted(set(widths)):
+        pace = -math.log(1.0 - 2.0 / (width + 1.0))
+        needed = math.ceil(-math.log(_FADED) / pace)
+        if groups and needed * -math.log(1.0 - 2.0 / (groups[-1][1][0] + 1.0)) < _STEEPEST:
+            groups[-1] = (needed, [*groups[-1][1], width])
+        else:
+            groups.append((needed, [width]))
+    return groups
+
+
+def _add_weighted(
+    data: DataFrame, values: list[str], categories: list[str], lags: list[int], widths: list[int]
+) -> DataFrame:
+    """Exponentially weighted means, span ``width``, adjusted weights, up to ``lag`` rows back.
+
+    A running sum restarts every block of rows, in which later rows weigh more; the block
+    before enters through its last sum, and older ones have faded to nothing. All windows
+    of a block length share one sort.
+    """
+    for block, shared in _blocks([w for w in widths if w > 1]):
+        step = F.col("_row") % block
+        data = data.withColumn("_block", F.floor(F.col("_row") / block))
+        order = Window.partitionBy(*categories).orderBy("_block", "_row")
+        inside = Window.partitionBy(*categories, "_block").orderBy("_row")
+        running = inside.rowsBetween(Window.unboundedPreceding, 0)
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        pairs = [(v, w, F.lit(1.0 - 2.0 / (w + 1.0))) for v in values for w in shared]
+        data = data.withColumns(
+            {
+                f"_local_{v}_{w}": F.sum(F.col(v) * F.pow(keep, -step)).over(running) * F.pow(keep, step)
+                for v, w, keep in pairs
+            }
+        )
+        last_row = F.col("_row") % block == block - 1
+        means = {}
+        for v, w, keep in pairs:
+            closed = F.last(F.when(last_row, F.col(f"_local_{v}_{w}")), ignorenulls=True).over(earlier)
+            total = F.col(f"_local_{v}_{w}") + F.coalesce(closed, F.lit(0.0)) * F.pow(keep, step + 1)
+            weight = (1.0 - F.pow(keep, F.col("_row") + 1)) / (1.0 - keep)
+            means[f"_mean_{v}_{w}"] = total / weight
+        data = data.withColumns(means).withColumns(
+            {
+                feature_name(v, "ewm", n, w): F.lag(f"_mean_{v}_{w}", n).over(order)
+                for v, w, _ in pairs
+                for n in lags
+            }
+        )
+    return data
 
 
 def lag_features(
@@ -93,22 +126,17 @@ def window_features(
     one shuffle and sort by category group. Returns the keys and the features.
     """
     order = Window.partitionBy(*categories).orderBy(date)
-    data = series(df, date, values, categories)
-    features: dict[str, Column] = {}
+    wanted = [(v, k, n, w) for v in values for k in kinds for n in lags for w in widths]
+    direct = {"_row": F.row_number().over(order) - 1}
+    for v, k, n, w in wanted:
+        if k != "ewm":
+            direct[feature_name(v, k, n, w)] = _windowed(v, k, n, w, order)
+        elif w == 1:  # all weight on the newest row
+            direct[feature_name(v, k, n, w)] = F.lag(v, n).over(order)
+    data = series(df, date, values, categories).withColumns(direct)
     if "ewm" in kinds:
-        data = data.withColumn("_row", F.row_number().over(order) - 1)
-        for v in values:
-            for w in widths:
-                data = _weighted(data, v, w, f"_ewm_{v}_{w}", categories, order)
-                for n in lags:
-                    features[feature_name(v, "ewm", n, w)] = F.lag(f"_ewm_{v}_{w}", n).over(order)
-    for kind in kinds:
-        if kind != "ewm":
-            for v in values:
-                for n in lags:
-                    for w in widths:
-                        features[feature_name(v, kind, n, w)] = _windowed(v, kind, n, w, order)
-    return data.withColumns(features).select(*categories, date, *features)
+        data = _add_weighted(data, values, categories, lags, widths)
+    return data.select(*categories, date, *[feature_name(*f) for f in wanted])
 
 
 def fill_dates(

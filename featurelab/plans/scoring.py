@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
+from featurelab.functions.genes import random_genome
 from featurelab.models import boosting, learners
 from featurelab.models.gram import fold_moments, least_squares, linear_prediction
 from featurelab.models.masks import LinearScorer, score_masks, search_masks
 from featurelab.operators import folds, metrics
 from featurelab.operators import population as pop
 from featurelab.plans.fixtures import (
-    ORDER_CLASSES, ORDER_FACTS, ORDER_FEATURES, genomes, order_classes, order_facts, rounded,
+    GENES, ORDER_CLASSES, ORDER_FACTS, ORDER_FEATURES, genomes, order_classes, order_facts, rounded,
 )
 from featurelab.plans.profiling import sql_folds
 from featurelab.sources.tables import load_solutions, read_table, save_solutions
@@ -123,12 +124,21 @@ def feature_search(spark, sf, iterations=5):
     )
 
 
-def search_solutions(spark, sf):
-    """The memo of a short search, saved and restored, with its equal scores."""
+def settings_sweep_masks(spark, sf):
+    """Settings read from the suppliers' draws, each scored by a feature search under them."""
     scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y")
-    runs = read_table(spark, sf, "region").select(
-        F.col("r_regionkey").alias("run_id"), F.lit(10).alias("n"), F.lit(0.22).alias("pc"), F.lit(0.1).alias("pm")
+    settings = read_table(spark, sf, "supplier").select(random_genome(GENES, F.col("s_suppkey"), "settings").alias("genome"))
+    return pop.sweep_settings(
+        settings, len(ORDER_FEATURES), max_iterations=2, score=scorer, best_possible=0.0, cut_every=1
     )
+
+
+def search_solutions(spark, sf):
+    """The memo of a short search, saved and restored."""
+    scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y")
+    runs = read_table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 20).alias("run_id")).agg(
+        F.count(F.lit(1)).cast("int").alias("n")
+    ).withColumns({"pc": F.lit(0.22), "pm": F.lit(0.1)})
     search_masks(runs, scorer, ORDER_FEATURES, 2)
     path = new_path(spark, "solutions")
     save_solutions(scorer.solutions(), path)
@@ -214,7 +224,8 @@ QUERIES.update(
     regression_metrics=regression_metrics, regression_metrics_by_size=regression_metrics_by_size,
     classification_metrics=classification_metrics, roc_auc=roc_auc, roc_auc_by_size=roc_auc_by_size,
     single_feature_scores=single_feature_scores, mask_scores=mask_scores,
-    tree_mask_scores=tree_mask_scores, feature_search=feature_search, search_solutions=search_solutions,
+    tree_mask_scores=tree_mask_scores, feature_search=feature_search,
+    settings_sweep_masks=settings_sweep_masks, search_solutions=search_solutions,
     feature_pair_scores=feature_pair_scores, multinomial_classes=_bayes("multinomial"),
     gaussian_classes=_bayes("gaussiannb"),
     least_squares_fit=least_squares_fit, learner_bake_off=learner_bake_off,
