@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from featurelab.functions import genes
 from featurelab.operators import population as pop
+from featurelab.plans import generation_sql as sql
 from featurelab.plans.fixtures import (
-    GENES, GENOMES, ORDER_FEATURES, RUN_SIZE, genomes, rounded, sql_bits, sql_digest, sql_draw, sql_int,
+    GENES, GENOMES, ORDER_FEATURES, RUN_SIZE, genomes, rounded, sql_bits, sql_digest, sql_int,
 )
 from featurelab.sources.tables import read_table
 
@@ -169,6 +170,7 @@ def one_generation(spark, sf):
 
 
 _GENERATIONS = 3
+_SEARCH_GENES = 30
 
 
 def three_generations(spark, sf):
@@ -183,14 +185,16 @@ def three_generations(spark, sf):
 def onemax_search(spark, sf):
     """One search per supplier: 20 individuals, up to 13 generations."""
     runs = _runs(spark, sf).withColumns({"pc": F.lit(0.25), "pm": F.lit(0.1)})
-    start = pop.random_population(runs, 30)
-    return pop.summary(pop.evolve(start, pop.ones_score, max_iterations=12))
+    start = pop.random_population(runs, _SEARCH_GENES)
+    found = pop.summary(pop.evolve(start, pop.ones_score, max_iterations=12))
+    return found.withColumn("mean", rounded("mean"))
 
 
 def settings_sweep(spark, sf):
     """Each customer's genome read as search settings and scored by the search it describes."""
     settings = genomes(spark, sf).select("genome")
-    return pop.sweep_settings(settings, length=30, max_iterations=5)
+    swept = pop.sweep_settings(settings, length=_SEARCH_GENES, max_iterations=5)
+    return swept.withColumns({c: rounded(c, 6) for c in ["pc", "pm", "score"]})
 
 
 def settings_search(spark, sf):
@@ -200,7 +204,7 @@ def settings_search(spark, sf):
     runs = suppliers.agg(F.count(F.lit(1)).cast("int").alias("n")).withColumns(
         {"pc": F.lit(0.25), "pm": F.lit(0.1)}
     )
-    best = pop.search_settings(runs, length=30, inner_iterations=3, outer_iterations=1)
+    best = pop.search_settings(runs, length=_SEARCH_GENES, inner_iterations=3, outer_iterations=1)
     return best.select("run_id", "idx", "genome", "score")
 
 
@@ -220,71 +224,12 @@ QUERIES.update(
 _ONES = "length(replace(genome, '0', ''))"
 _SCORED = f"""{GENOMES},
 scored AS (SELECT *, CAST({_ONES} AS DOUBLE) AS score FROM genomes)"""
-_RANKED = f"""{_SCORED},
-ranked AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, idx) - 1 AS idx,
-                  genome, score, count(*) OVER (PARTITION BY run_id) AS n FROM scored)"""
-
-
-def _sql_slices(own: str, other: str) -> str:
-    """The child as four slices at e <= c <= s; slices count from 0."""
-    def cut(g, a, b):
-        return f"substr({g}, CAST({a} + 1 AS INT), CAST({b} - {a} AS INT))"
-
-    return " || ".join(
-        [cut(other, "0", "e"), cut(own, "e", "c"), cut(other, "c", "s"), cut(own, "s", str(GENES))]
-    )
-
-
-def _sql_crossed(source: str, step: int = 0) -> str:
-    pair = "least(idx, n - 1 - idx)"
-    half = f"CAST(round_even({GENES} / 2.0, 0) AS BIGINT)"
-    t = _tag(step)
-    return f"""
-pairs{t} AS (SELECT *, {pair} AS pair, {sql_int(f"{GENES} + 1", "run_id", str(step), pair, "'cut'")} AS c,
-                 {sql_draw("run_id", str(step), pair, "'cross'")} AS u FROM {source}),
-cuts{t} AS (SELECT a.*, b.genome AS other, greatest(0, a.c + {half} - {GENES}) AS e,
-                least(a.c + {half}, {GENES}) AS s
-         FROM pairs{t} a JOIN pairs{t} b ON a.run_id = b.run_id AND b.idx = a.n - 1 - a.idx),
-crossed{t} AS (SELECT run_id, idx, CASE WHEN pair < n // 2 AND u < {_PC} THEN {_sql_slices("genome", "other")}
-                                ELSE genome END AS genome FROM cuts{t})"""
-
-
-def _tag(step: int) -> str:
-    return f"_{step}" if step else ""
-
-
-def _sql_mutated(source: str, pm, step: int = 0) -> str:
-    gene = sql_int(str(GENES), "run_id", str(step), "idx", "'gene'")
-    t = _tag(step)
-    return f"""
-drawn{t} AS (SELECT *, {gene} AS g, {sql_draw("run_id", str(step), "idx", "'mutate'")} AS u FROM {source}),
-mutated{t} AS (SELECT * EXCLUDE (g, u, genome), CASE WHEN u < {pm}
-              THEN substr(genome, 1, CAST(g AS INT)) || translate(substr(genome, CAST(g + 1 AS INT), 1), '01', '10')
-                   || substr(genome, CAST(g + 2 AS INT)) ELSE genome END AS genome FROM drawn{t})"""
-
-
-def _sql_pool(parents: str, step: int = 0) -> str:
-    t = _tag(step)
-    return f"""
-pool{t} AS (SELECT run_id, idx, genome, CAST({_ONES} AS DOUBLE) AS score, 0 AS source FROM mutated{t}
-         UNION ALL SELECT run_id, idx, genome, score, 1 FROM {parents}),
-placed{t} AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, source, idx) - 1 AS place FROM pool{t})"""
-
-
-_KEPT = f"""{_RANKED}, {_sql_crossed("ranked")}, {_sql_mutated("crossed", _PM)}, {_sql_pool("ranked")}"""
-
-
-def _sql_generations(count: int) -> str:
-    """Unrolled generations: kept_g is the population after generation g."""
-    parts, parents = [_RANKED], "ranked"
-    for g in range(count):
-        t = _tag(g)
-        parts += [_sql_crossed(parents, g), _sql_mutated(f"crossed{t}", _PM, g), _sql_pool(parents, g)]
-        parts.append(f"""
-kept{t} AS (SELECT run_id, place AS idx, genome, score, n FROM placed{t}
-  JOIN (SELECT run_id, count(*) AS n FROM ranked GROUP BY run_id) USING (run_id) WHERE place < n)""")
-        parents = f"kept{t}"
-    return f"WITH {', '.join(parts)} SELECT run_id, idx, genome, score FROM {parents}"
+_START = f"""{_SCORED},
+start AS (SELECT run_id, idx, genome, count(*) OVER (PARTITION BY run_id) AS n, {_PC} AS pc, {_PM} AS pm FROM genomes)"""
+_RANKED = f"{_START}, {sql.ranked('start')}"
+_CROSSED = f"{_RANKED}, {sql.crossed('ranked', GENES)}"
+_KEPT = f"{_CROSSED}, {sql.mutated('crossed_0', GENES)}, {sql.kept('ranked')}"
+_PEOPLE = "SELECT run_id, idx, genome, score FROM {last}"
 
 
 def _sql_names(genome: str, names: list[str]) -> str:
@@ -334,14 +279,31 @@ UNION ALL
 SELECT -1, o_orderkey, list_sum(list_transform(string_split(CAST(o_orderkey * 100 AS VARCHAR), ''), lambda d: CAST(d AS BIGINT)))::BIGINT
 FROM orders""",
     rank_population=f"WITH {_RANKED} SELECT run_id, idx, genome, score FROM ranked",
-    crossover=f"WITH {_RANKED}, {_sql_crossed('ranked')} SELECT * FROM crossed",
-    mutation=f"WITH {GENOMES}, {_sql_mutated('genomes', _PM)} SELECT run_id, idx, genome FROM mutated",
-    select_best=f"WITH {_KEPT} SELECT run_id, place AS idx, genome, score FROM placed WHERE place < {RUN_SIZE}",
-    one_generation=f"""
-WITH {_KEPT}
-SELECT run_id, place AS idx, genome, score FROM placed
-WHERE place < (SELECT count(*) FROM ranked r WHERE r.run_id = placed.run_id)""",
-    three_generations=_sql_generations(_GENERATIONS),
+    crossover=f"WITH {_CROSSED} SELECT run_id, idx, genome FROM crossed_0",
+    mutation=f"WITH {_START}, {sql.mutated('start', GENES)} SELECT run_id, idx, genome FROM mutated_0",
+    select_best=f"WITH {_KEPT} SELECT run_id, idx, genome, score FROM kept_0",
+    one_generation=sql.generations(_START, "start", GENES, 1, _PEOPLE),
+    three_generations=sql.generations(_START, "start", GENES, _GENERATIONS, _PEOPLE),
+    onemax_search=sql.generations(
+        f"""
+start AS (SELECT s_suppkey AS run_id, idx, substr({sql_bits(sql_digest("s_suppkey", "idx"))}, 1, {_SEARCH_GENES}) AS genome,
+                 20 AS n, 0.25 AS pc, 0.1 AS pm FROM supplier, range(0, 20) t(idx))""",
+        "start", _SEARCH_GENES, 13,
+        """
+SELECT run_id, count(*) AS n, sum(score) AS total, round(avg(score), 4) AS mean, max(score) AS max_score, min(score) AS min_score,
+       arg_max(genome, score * 1000 - idx) AS best_genome, count(*) - count(DISTINCT genome) AS equal_individuals
+FROM {last} GROUP BY run_id""",
+    ),
+    settings_sweep=sql.generations(
+        f"""{GENOMES},
+settings AS (SELECT *, {_SETTINGS_SQL} FROM (SELECT DISTINCT genome FROM genomes)),
+start AS (SELECT genome AS run_id, idx, substr({sql_bits(sql_digest("genome", "idx"))}, 1, {_SEARCH_GENES}) AS genome, n, pc, pm
+          FROM settings, range(0, 32) t(idx) WHERE idx < n)""",
+        "start", _SEARCH_GENES, 6,
+        f"""
+SELECT run_id AS genome, max(n) AS n, round(max(pc), 6) AS pc, round(max(pm), 6) AS pm, max(score) AS best_found,
+       round(-({_SEARCH_GENES} - max(score)) - 0.1 * 6, 6) AS score FROM {{last}} GROUP BY run_id""",
+    ),
     population_summary=f"""
 WITH {_SCORED}
 SELECT run_id, count(*) AS n, sum(score) AS total, round(avg(score), 4) AS mean, max(score) AS max_score,
@@ -368,19 +330,19 @@ SELECT a.run_id, a.genome, a.score, count(*) AS equal_scores,
        CAST(avg(({GENES} - hamming(a.genome, b.genome)) / {GENES}.0) < 0.95 AS BIGINT) AS unlike
 FROM memo a JOIN memo b ON a.run_id = b.run_id AND a.score = b.score AND a.genome <> b.genome GROUP BY ALL""",
     population_overlap=f"""
-WITH {_RANKED}, {_sql_mutated('ranked', _PM)}
+WITH {_RANKED}, {sql.mutated('ranked', GENES)}
 SELECT run_id, count(*) AS compared,
        count(*) FILTER (WHERE a.genome = b.genome) AS equal_genome, count(*) FILTER (WHERE a.score = b.score) AS equal_score,
        CAST(count(*) FILTER (WHERE a.genome = b.genome) = count(*) AS BIGINT) AS all_equal_genome,
        CAST(count(*) FILTER (WHERE a.score = b.score) = count(*) AS BIGINT) AS all_equal_score
-FROM ranked a JOIN mutated b USING (run_id, idx) GROUP BY run_id""",
+FROM ranked a JOIN mutated_0 b USING (run_id, idx) GROUP BY run_id""",
     genome_features=f"""
 WITH {GENOMES}
 SELECT run_id, idx, {_sql_names("genome", ORDER_FEATURES)} AS baseline,
        {_sql_names(f"substr(genome, {len(ORDER_FEATURES) + 1})", _EXMODEL + ["m4", "m5"])} AS exmodel FROM genomes""",
     inconsistent_individuals=f"""
-WITH {GENOMES}, {_sql_mutated('genomes', 1 / 7)}
-SELECT m.run_id, m.idx, m.genome FROM mutated m JOIN genomes g USING (run_id, idx) WHERE m.genome <> g.genome""",
+WITH {_START}, {sql.mutated('start', GENES, pm=str(1 / 7))}
+SELECT m.run_id, m.idx, m.genome FROM mutated_0 m JOIN genomes g USING (run_id, idx) WHERE m.genome <> g.genome""",
     decoded_settings=f"""
 WITH {GENOMES}
 SELECT run_id, idx, n, round(pc, 6) AS pc, round(pm, 6) AS pm FROM (SELECT *, {_SETTINGS_SQL} FROM genomes)""",
