@@ -27,6 +27,8 @@ from featurelab.operators.metrics import regression_report
 from featurelab.sources.work import materialize
 
 _VECTOR = "_features"
+# Features MLlib's solver on sums of products accepts.
+_NORMAL_FEATURES = 4096
 
 
 @dataclass
@@ -228,15 +230,17 @@ def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5):
     """1/(2n) |y - Xw|^2 + alpha l1_ratio |w|_1 + alpha (1 - l1_ratio) / 2 |w|_2^2.
 
     MLlib divides the L2 part by the spread of the target, so that part is scaled up here.
+    Its solver on sums of products takes the spread over n, the iterative one over n - 1.
     """
 
     def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
-        spread = train.agg(F.stddev_samp(target).alias("s")).first()["s"] or 0.0
+        few = len(features) <= _NORMAL_FEATURES
+        spread = train.agg((F.stddev_pop if few else F.stddev_samp)(target).alias("s")).first()["s"] or 0.0
         l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * spread
         total = l1 + l2
         estimator = LinearRegression(
             regParam=total, elasticNetParam=l1 / total if total else 0.0, standardization=False,
-            maxIter=1000, tol=1e-8,
+            maxIter=1000, tol=1e-8, solver="normal" if few else "l-bfgs",
         )
         return _fit_trees(estimator)(train, features, target)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from featurelab.functions.draws import SEED, hash32
 from featurelab.operators.ranks import SPREAD_BUCKETS, hash_cuts, ordered_position, section
 from featurelab.operators.sized import broadcast_if_small
+from featurelab.sources.work import materialize
 
 TEST_SHARE = 0.33
 
@@ -53,7 +54,7 @@ def group_folds(
     row count, so that the folds hold similar numbers of rows.
     """
     if balance == "count":
-        groups = df.select(group).distinct()
+        groups = materialize(df.select(group).distinct(), "groups")
 
         def starts(rows: int) -> list[int]:
             return [rows * k // folds for k in range(1, folds)]
@@ -66,6 +67,7 @@ def group_folds(
         {"_draw": hash32(F.col(group), "fold", seed=seed)}
     )
     # Larger groups first; the hash spreads the many groups of one size over the ranges.
+    sizes = materialize(sizes, "groups")
     sizes = sizes.withColumn("_key", -F.col("_rows") + F.col("_draw") / F.lit(2.0**32))
     order = [F.col("_rows").desc(), F.col("_draw"), F.col(group)]
     dealt = ordered_position(sizes, "_key", order, "_place", SPREAD_BUCKETS)

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import functions as F
 
 from featurelab.functions.genes import random_genome
 from featurelab.models import boosting, learners
 from featurelab.models.gram import fold_moments, least_squares, linear_prediction
-from featurelab.models.masks import LinearScorer, score_masks, search_masks
+from featurelab.models.masks import LearnerScorer, LinearScorer, score_masks, search_masks
 from featurelab.operators import folds, metrics
+from featurelab.operators.encode import feature_vector
 from featurelab.operators import population as pop
 from featurelab.plans.fixtures import (
     GENES, ORDER_CLASSES, ORDER_FACTS, ORDER_FEATURES, genomes, order_classes, order_facts, rounded,
 )
 from featurelab.plans.profiling import sql_folds
-from featurelab.sources.tables import load_solutions, read_table, save_solutions
+from featurelab.sources.tables import load_model, load_solutions, read_table, save_model, save_solutions
 from featurelab.sources.work import materialize, new_path
 
 QUERIES, ORACLE = {}, {}
@@ -109,6 +111,18 @@ def tree_mask_scores(spark, sf):
     return score_masks(_prepared(spark, sf), masks, one, ORDER_FEATURES, "y")
 
 
+def tree_feature_search(spark, sf):
+    """A short search whose masks are scored by boosted trees, one run of five per 100 suppliers."""
+    one = learners.learner("gradientboosting", trees=2, depth=2)
+    scorer = LearnerScorer(_prepared(spark, sf), one, ORDER_FEATURES, "y")
+    group = F.floor(F.col("s_suppkey") / 100).cast("bigint")
+    runs = read_table(spark, sf, "supplier").select(group.alias("run_id")).distinct().withColumns(
+        {"n": F.lit(5), "pc": F.lit(0.22), "pm": F.lit(0.1)}
+    )
+    found = search_masks(runs, scorer, ORDER_FEATURES, 0)
+    return found.select("run_id", F.col("idx").cast("bigint"), "genome", "score")
+
+
 def feature_search(spark, sf, iterations=5):
     """One search per 50 suppliers, each over the masks of the order features."""
     scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y")
@@ -156,6 +170,23 @@ def least_squares_fit(spark, sf):
     )
 
 
+def model_restore(spark, sf):
+    """Predictions of a linear model that was saved and loaded."""
+    facts = materialize(order_facts(spark, sf), "facts")
+    vectors = feature_vector(facts, ["qty"])
+    path = new_path(spark, "model")
+    save_model(LinearRegression(labelCol="y").fit(vectors), path)
+    scored = load_model(LinearRegressionModel, path).transform(vectors)
+    return scored.select("row_id", rounded("prediction", 6).alias("prediction"))
+
+
+def elastic_net_fit(spark, sf):
+    """Predictions of an elastic net on one feature, which has a closed form."""
+    facts = materialize(order_facts(spark, sf), "facts")
+    scored = learners.learner("elasticnet").fit(facts, ["price"], "y").predict(facts)
+    return scored.select("row_id", rounded("prediction", 3).alias("prediction"))
+
+
 _TARGET_FEATURES = ["qty", "price", "disc", "tax"]
 _SMALL = {
     "lgbm": dict(trees=6, patience=3), "xgboost": dict(trees=6, patience=3), "adaboost": dict(rounds=4),
@@ -224,10 +255,11 @@ QUERIES.update(
     regression_metrics=regression_metrics, regression_metrics_by_size=regression_metrics_by_size,
     classification_metrics=classification_metrics, roc_auc=roc_auc, roc_auc_by_size=roc_auc_by_size,
     single_feature_scores=single_feature_scores, mask_scores=mask_scores,
-    tree_mask_scores=tree_mask_scores, feature_search=feature_search,
+    tree_mask_scores=tree_mask_scores, feature_search=feature_search, tree_feature_search=tree_feature_search,
     settings_sweep_masks=settings_sweep_masks, search_solutions=search_solutions,
     feature_pair_scores=feature_pair_scores, multinomial_classes=_bayes("multinomial"),
     gaussian_classes=_bayes("gaussiannb"),
+    model_restore=model_restore, elastic_net_fit=elastic_net_fit,
     least_squares_fit=least_squares_fit, learner_bake_off=learner_bake_off,
     boosted_classifier=boosted_classifier, round_curve=round_curve, split_counts=split_counts,
     early_stopping=early_stopping, staged_tuning=staged_tuning,
@@ -287,6 +319,14 @@ w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay
 e AS (SELECT l.genome, k, avg((y - (my + wa * (a - ma) + wb * (b - mb))) ** 2) AS e
       FROM long l JOIN w ON l.genome = w.genome AND l.fold = w.k GROUP BY l.genome, k)
 SELECT genome, round(-avg(e) - 0.00002, 4) AS score FROM e GROUP BY genome""",
+    model_restore=f"""
+WITH {ORDER_FACTS}, fit AS (SELECT regr_slope(y, qty) AS s, regr_intercept(y, qty) AS i FROM facts)
+SELECT row_id, round(i + s * qty, 6) AS prediction FROM facts, fit""",
+    elastic_net_fit=f"""
+WITH {ORDER_FACTS},
+m AS (SELECT avg(price) AS mx, avg(y) AS my, covar_pop(price, y) AS c, var_pop(price) AS v FROM facts),
+w AS (SELECT *, sign(c) * greatest(abs(c) - 0.5, 0) / (v + 0.5) AS w FROM m)
+SELECT row_id, round(my + w * (price - mx), 3) AS prediction FROM facts, w""",
     multinomial_classes=f"""
 WITH {ORDER_FACTS},
 c AS (SELECT n, count(*) AS rows, {", ".join(f"sum({f}) AS s_{f}" for f in _TARGET_FEATURES)} FROM facts GROUP BY n),
