@@ -19,7 +19,7 @@ _CUT_BITS = 16
 # Ranges a whole-table order is split into.
 SPREAD_BUCKETS = 1024
 # Distinct values a final order-statistic window may hold.
-_FINISH_DISTINCT = 1_000_000
+_FINISH_DISTINCT = 100_000
 
 
 def range_bucket(
@@ -178,18 +178,31 @@ def exact_quantiles(
 
 
 def _narrow(data: DataFrame, bands: dict) -> None:
-    """One sketch and one counting pass for all open bands; updates them in place."""
+    """One sketch and one counting pass for all open bands; updates them in place.
+
+    Quantiles looked for in the same band of a column share a sketch.
+    """
     names = {f"q{i}": key for i, key in enumerate(bands)}
-    sketches = []
+    shared: dict[tuple, list[str]] = {}
     for name, key in names.items():
-        band, value = bands[key], F.col(key[0])
-        slack = 2.0 / band["accuracy"]
-        first = (band["first"] - band["below"]) / band["inside"]
-        last = (band["last"] + 1 - band["below"]) / band["inside"]
-        ends = F.array(F.lit(max(0.0, first - slack)), F.lit(min(1.0, last + slack)))
-        inside = F.when(_band_rows(value, band["low"], band["high"]), value)
-        sketches.append(F.percentile_approx(inside, ends, F.lit(band["accuracy"])).alias(name))
-    bracket = data.agg(*sketches).first()
+        band = bands[key]
+        shared.setdefault((key[0], band["low"], band["high"], band["accuracy"]), []).append(name)
+    sketches = []
+    for i, ((column, low, high, accuracy), users) in enumerate(shared.items()):
+        ends: list[float] = []
+        for name in users:
+            band = bands[names[name]]
+            first = (band["first"] - band["below"]) / band["inside"]
+            last = (band["last"] + 1 - band["below"]) / band["inside"]
+            ends += [max(0.0, first - 2.0 / accuracy), min(1.0, last + 2.0 / accuracy)]
+        inside = F.when(_band_rows(F.col(column), low, high), F.col(column))
+        sketches.append(F.percentile_approx(inside, ends, accuracy).alias(f"s{i}"))
+    sketched = data.agg(*sketches).first()
+    bracket = {
+        name: sketched[f"s{i}"][2 * u : 2 * u + 2]
+        for i, users in enumerate(shared.values())
+        for u, name in enumerate(users)
+    }
     counted = []
     for name, key in names.items():
         low, high = bracket[name]

@@ -14,8 +14,9 @@ _LAGS, _WIDTHS = [1, 2], [1, 2, 3]
 
 
 def _text_keys(df, names):
+    """Weighted means are rounded; plain means of whole units agree to the last bit."""
     keys = [F.col("agency").cast("bigint"), F.col("product"), F.col("date").cast("string")]
-    return df.select(*keys, *[rounded(n).alias(n) for n in names])
+    return df.select(*keys, *[rounded(n).alias(n) if "_ewm_" in n or n == "price" else n for n in names])
 
 
 def lag_features(spark, sf):
@@ -70,7 +71,7 @@ def _sql_window(kind: str, lag: int, width: int) -> str:
         frame = f"({_PART} ROWS BETWEEN UNBOUNDED PRECEDING AND {lag} PRECEDING)"
         full = f">= {width}"
     mean = f"CASE WHEN count(units) OVER {frame} {full} THEN avg(units) OVER {frame} END"
-    return f"round({mean}, 4) AS units_{kind}_l{lag}_w{width}"
+    return f"{mean} AS units_{kind}_l{lag}_w{width}"
 
 
 def _sql_ewm(lags, widths) -> str:
