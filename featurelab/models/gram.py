@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featurelab.sources.work import few_partials
+
 _MOMENTS = "fold int, at int, value double"
 
 
@@ -86,8 +88,8 @@ def fold_moments(df: DataFrame, features: list[str], target: str, fold: str | No
                 names=["fold", "at", "value"],
             )
 
-    # At most folds * size * (size + 1) / 2 rows, whatever the number of input rows.
-    total = data.mapInArrow(sums, _MOMENTS).groupBy("fold", "at").agg(F.sum("value").alias("value"))
+    # Collects folds * size * (size + 1) / 2 rows, whatever the number of input rows.
+    total = few_partials(data).mapInArrow(sums, _MOMENTS).groupBy("fold", "at").agg(F.sum("value").alias("value"))
     result: dict[int, Moments] = {}
     for row in total.collect():
         moments = result.setdefault(row["fold"], Moments(np.zeros((size, size)), shift))

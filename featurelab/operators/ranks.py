@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 
 from featurelab.functions.draws import hash32
 
-# Hash buckets counted to place a cut: 2**16 rows of (bucket, count) reach the driver.
-_CUT_BITS = 16
+# Bits of the hash counted per pass to place a cut: 2**10 counts per open bucket.
+_CUT_BITS = 10
+# Rows of one hash bucket that are ranked to place a cut.
+_CUT_ROWS = 200_000
 # Ranges a whole-table order is split into.
 SPREAD_BUCKETS = 1024
 # Distinct values a final order-statistic window may hold.
@@ -77,28 +79,37 @@ class Cut:
 
 
 def hash_cuts(
-    df: DataFrame, key: str, positions: Callable[[int], list[int]], *purpose, seed: int
+    df: DataFrame,
+    key: str,
+    positions: Callable[[int], list[int]],
+    *purpose,
+    seed: int,
+    rank_rows: int = _CUT_ROWS,
 ) -> list[Cut]:
     """The (hash, key) found at 0-based positions of the hash order of ``key``.
 
     ``key`` must be unique; ``positions`` gives them for the number of rows, and those past
-    the last row give no cut. Counting hash buckets finds the few buckets that hold a
-    position; only their rows are ranked. The table itself is never shuffled.
+    the last row give no cut. Counting hash buckets finds the few that hold a position;
+    large ones are counted again by further bits, and only the rows of the last, small
+    ones are ranked. The table itself is never shuffled.
     """
     drawn = df.select(F.col(key).alias("key"), hash32(F.col(key), *purpose, seed=seed).alias("draw"))
-    bucket = F.shiftright("draw", 32 - _CUT_BITS)
-    counts = sorted(drawn.groupBy(bucket.alias("b")).count().collect())
-    total = sum(row["count"] for row in counts)
-    asked = [p for p in positions(total) if p < total]
-    targets = sorted(set(asked))
-    wanted, start, at = {}, 0, 0
-    for row in counts:
-        while at < len(targets) and targets[at] < start + row["count"]:
-            wanted.setdefault(row["b"], []).append(targets[at] - start)
-            at += 1
-        start += row["count"]
-    if not wanted:
-        return []
+    asked, wanted, bits = None, {0: []}, 0
+    while True:
+        rows = drawn if asked is None else drawn.filter(F.shiftright("draw", 32 - bits).isin(*wanted))
+        fine = F.shiftright("draw", 32 - bits - _CUT_BITS)
+        counts = sorted(tuple(r) for r in rows.groupBy(fine.alias("b")).count().collect())
+        if asked is None:
+            total = sum(count for _, count in counts)
+            asked = [p for p in positions(total) if p < total]
+            wanted = {0: sorted(set(asked))}
+            if not asked:
+                return []
+        bits += _CUT_BITS
+        wanted, largest = _holding(wanted, counts)
+        if largest <= rank_rows or bits + _CUT_BITS > 32:
+            break
+    bucket = F.shiftright("draw", 32 - bits)
     place = Window.partitionBy("b").orderBy("draw", "key")
     ranked = (
         drawn.withColumn("b", bucket)
@@ -107,10 +118,25 @@ def hash_cuts(
     )
     hit = reduce(or_, [(F.col("b") == b) & F.col("place").isin(*ps) for b, ps in wanted.items()])
     rows = ranked.filter(hit).select("draw", "key").collect()
-    by_place = {p: c for p, c in zip(targets, sorted((r["draw"], r["key"]) for r in rows))}
+    by_place = dict(zip(sorted(set(asked)), sorted((r["draw"], r["key"]) for r in rows)))
     return [Cut(*by_place[p]) for p in asked]
 
 
+def _holding(wanted: dict[int, list[int]], counts: list[tuple[int, int]]) -> tuple[dict[int, list[int]], int]:
+    """The finer buckets that hold the wanted positions, and the rows of the largest one."""
+    found: dict[int, list[int]] = {}
+    start, coarse, largest = 0, None, 0
+    for bucket, count in counts:
+        if bucket >> _CUT_BITS != coarse:
+            start, coarse = 0, bucket >> _CUT_BITS
+        here = [p - start for p in wanted[coarse] if start <= p < start + count]
+        if here:
+            found[bucket] = here
+            largest = max(largest, count)
+        start += count
+    return found, largest
+
+
 def section(key: str, cuts: list[Cut], *purpose, seed: int) -> Column:
     """How many cuts lie at or before the row: a narrow expression, no join and no shuffle."""
     draw = hash32(F.col(key), *purpose, seed=seed)

@@ -6,7 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from featurelab.functions.draws import hash32
 from featurelab.operators import clean, encode, folds, temporal
+from featurelab.operators.ranks import hash_cuts
 from featurelab.sources import tables
 from featurelab.sources.work import checkpoint_dir, new_path
 
@@ -46,6 +48,14 @@ def test_folds_do_not_depend_on_partitions(spark):
     assert found[0] == found[1] == found[2]
 
 
+@pytest.mark.parametrize("rank_rows", [1, 20, 200_000])
+def test_hash_cuts_refine_to_the_same_rows(spark, rank_rows):
+    df = spark.range(3000)
+    cuts = hash_cuts(df, "id", lambda n: [0, 1, 1499, n - 1, n, 700, 700], "t", seed=1, rank_rows=rank_rows)
+    order = df.select("id", hash32(F.col("id"), "t", seed=1).alias("h")).orderBy("h", "id").collect()
+    assert [c.key for c in cuts] == [order[p]["id"] for p in [0, 1, 1499, 2999, 700, 700]]
+
+
 @pytest.mark.parametrize("balance", ["count", "rows"])
 @pytest.mark.parametrize("groups,k", [(40, 5), (3, 5)])
 def test_group_folds_never_split_a_group(spark, balance, groups, k):
