@@ -71,6 +71,17 @@ def test_mask_scores_match_numpy(spark, data, metric):
         assert scorer.known[g] == pytest.approx(-np.mean(errors) - 1e-5 * len(picked), rel=1e-9)
 
 
+def test_masks_beyond_a_page_are_scored_too(spark, data):
+    _, df = data
+    folded = folds.random_folds(df, "row_id", 3)
+    people = spark.createDataFrame([("".join(g),) for g in itertools.product("01", repeat=4)] * 2, "genome string")
+    whole = masks.LinearScorer(folded, FEATURES, "y")(people)
+    paged = masks.LinearScorer(folded, FEATURES, "y", page=6)(people)
+    scores = {r["genome"]: r["score"] for r in paged.collect()}
+    assert scores == pytest.approx({r["genome"]: r["score"] for r in whole.collect()})
+    assert paged.count() == whole.count() == 32
+
+
 def test_generic_scorer_agrees_with_the_linear_one(data):
     _, df = data
     folded = folds.random_folds(df, "row_id", 3)
