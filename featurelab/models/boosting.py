@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurelab.functions.draws import SEED, uniform
+from featurelab.models.jobs import side_by_side
+from featurelab.operators.clean import stack_rows
 from featurelab.operators.metrics import accuracy, roc_auc
 from featurelab.sources.work import materialize, new_path
 
@@ -119,11 +122,13 @@ def fit_classifier(
     spark, rounds = df.sparkSession, estimator.getMaxIter()
     curve = spark.createDataFrame([], "round int, auc double, folds bigint")
     if fold:
-        per_fold = None
-        for k in sorted(r[0] for r in data.select(fold).distinct().collect()):
+
+        def tested(k: int) -> DataFrame:
             model = estimator.fit(data.filter(F.col(fold) != k))
-            tested = roc_auc(margins(model, data.filter(F.col(fold) == k)), "label", "margin", ["round"])
-            per_fold = tested if per_fold is None else per_fold.unionByName(tested)
+            return roc_auc(margins(model, data.filter(F.col(fold) == k)), "label", "margin", ["round"])
+
+        numbers = sorted(r[0] for r in data.select(fold).distinct().collect())
+        per_fold = stack_rows(*side_by_side([partial(tested, k) for k in numbers]))
         averaged = per_fold.groupBy("round").agg(F.avg("auc").alias("auc"), F.count("auc").alias("folds"))
         rows = sorted(averaged.collect())  # one row per round
         curve = spark.createDataFrame(rows, averaged.schema)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelab.functions.draws import SEED, hash32, integer
 from featurelab.models.gram import fold_moments, least_squares, linear_prediction, total_moments
+from featurelab.models.jobs import side_by_side
 from featurelab.models.learners import Learner, MomentFit
-from featurelab.operators.clean import clamp_negative
+from featurelab.operators.clean import clamp_negative, stack_rows
 from featurelab.sources.work import materialize
 
 
@@ -170,17 +172,25 @@ def _fold_value(table: DataFrame, neurons: list[Neuron], folds: int) -> dict[str
 
 def _long_predictions(table: DataFrame, neurons: list[Neuron], folds: int) -> DataFrame:
     """(row_id, fold, neuron, prediction) of learners that are fitted fold by fold."""
-    long = None
-    for neuron in neurons:
+
+    def part(neuron: Neuron, k: int) -> DataFrame:
         names = [*neuron.baseline, *neuron.exmodel]
         inputs = table.select("row_id", "fold", "y", *names)
-        for k in range(folds):
-            model = neuron.learner.fit(inputs.filter(F.col("fold") != k), names, "y")
-            part = model.predict(inputs.filter(F.col("fold") == k)).select(
-                "row_id", "fold", F.lit(neuron.name).alias("neuron"), "prediction"
-            )
-            long = part if long is None else long.unionByName(part)
-    return long
+        model = neuron.learner.fit(inputs.filter(F.col("fold") != k), names, "y")
+        return model.predict(inputs.filter(F.col("fold") == k)).select(
+            "row_id", "fold", F.lit(neuron.name).alias("neuron"), "prediction"
+        )
+
+    return stack_rows(*side_by_side([partial(part, n, k) for n in neurons for k in range(folds)]))
+
+
+def system_neurons(neurons: DataFrame, system_id, learners: dict[str, Learner]) -> list[Neuron]:
+    """The neurons of one system of ``random_neurons``, with their learners: a few rows."""
+    rows = neurons.filter(F.col("system_id") == system_id).orderBy("layer", "neuron").collect()
+    return [
+        Neuron(r["name"], r["layer"], learners[r["model"]], r["baseline_features"], r["exmodel_features"])
+        for r in rows
+    ]
 
 
 def train_layers(data: DataFrame, neurons: list[Neuron], folds: int, clip_negative: bool = False) -> DataFrame:

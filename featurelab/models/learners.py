@@ -6,6 +6,7 @@ import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -23,6 +24,7 @@ from featurelab.models.boosting import fit_with_patience, hold_out
 from featurelab.models.gram import (
     Moments, bayesian_ridge, fold_moments, least_squares, linear_prediction, relevance_regression,
 )
+from featurelab.models.jobs import JOBS, side_by_side
 from featurelab.operators.metrics import regression_report
 from featurelab.sources.work import materialize
 
@@ -315,13 +317,19 @@ def catalogue(changes: dict[str, dict] | None = None) -> dict[str, Learner]:
 
 
 def bake_off(
-    train: DataFrame, test: DataFrame, features: list[str], target: str, learners: dict[str, Learner]
+    train: DataFrame,
+    test: DataFrame,
+    features: list[str],
+    target: str,
+    learners: dict[str, Learner],
+    jobs: int = JOBS,
 ) -> DataFrame:
     """Fit every learner on ``train`` and report its errors on ``test``, one row each."""
     train, test = materialize(train, "train"), materialize(test, "test")
+    fitted = side_by_side([partial(one.fit, train, features, target) for one in learners.values()], jobs)
     report = None
-    for name, one in learners.items():
-        scored = one.fit(train, features, target).predict(test)
+    for name, model in zip(learners, fitted):
+        scored = model.predict(test)
         row = regression_report(scored, target).withColumn("learner", F.lit(name))
         report = row if report is None else report.unionByName(row)
     return report.select("learner", "rows", "mean_residual", "mae", "mse", "rmse", "r2")

@@ -233,6 +233,19 @@ def test_layers_use_only_lower_outputs(spark):
         assert r["baseline_features"] == [f for f, g in zip(FEATURES, r["baseline_genes"]) if g == "1"]
 
 
+def test_a_drawn_system_trains(spark, data):
+    _, df = data
+    systems = spark.range(3).withColumnRenamed("id", "system_id")
+    names = ["linear", "bayesridge", "gradientboosting"]
+    grid = layers.random_grids(systems, names, 2, 2)
+    drawn = layers.random_neurons(grid, FEATURES, 2, 2)
+    few = {n: learners.learner(n, **({"trees": 2} if n == "gradientboosting" else {})) for n in names}
+    neurons = layers.system_neurons(drawn, 1, few)
+    out = layers.train_layers(folds.random_folds(df, "row_id", 2), neurons, 2)
+    assert out.columns == ["row_id", "fold", *[n.name for n in neurons]] and len(neurons) == 4
+    assert out.count() == 600 and out.na.drop().count() == 600
+
+
 def test_stacking_is_out_of_fold(spark, data):
     pdf, df = data
     folded = folds.random_folds(df, "row_id", 3)

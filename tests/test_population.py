@@ -73,7 +73,9 @@ def test_best_score_never_falls_and_onemax_is_solved(spark):
 
 
 def test_standing_still_ends_a_run(spark):
-    same = runs(spark, n=5, count=1, pc=0.0, pm=0.0).withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("genome", F.lit("111"))
+    same = runs(spark, n=5, count=1, pc=0.0, pm=0.0).withColumn(
+        "idx", F.explode(F.sequence(F.lit(0), F.lit(4)))
+    ).withColumn("genome", F.lit("111"))
     final = pop.evolve(same, pop.ones_score, 30, still_limit=3, cut_every=2)
     assert {(r["still"], r["age"]) for r in final.collect()} == {(3, 3)}
 
