@@ -21,10 +21,16 @@ def test_names_match():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+def has_no_cross_join(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_equals_sql(spark, con, name):
     df = contract.queries()[name](spark, FOLDER)
     rows = df.collect()
+    assert has_no_cross_join(df)
     cursor = con.execute(contract.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
@@ -34,7 +40,8 @@ def test_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
 def test_gives_rows(spark, name):
-    assert contract.queries()[name](spark, FOLDER).count() > 0
+    df = contract.queries()[name](spark, FOLDER)
+    assert df.count() > 0 and has_no_cross_join(df)
 
 
 def test_entry(spark):
