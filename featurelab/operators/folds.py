@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelab.functions.draws import SEED, hash32
@@ -24,24 +24,34 @@ def train_test_split(
     df: DataFrame, key: str, test_share: float = TEST_SHARE, seed: int = SEED, out: str = "part"
 ) -> DataFrame:
     """Mark ``ceil(test_share * rows)`` rows as test, drawn by hash; ``key`` must be unique."""
-    cuts = hash_cuts(df, key, lambda rows: [math.ceil(test_share * rows)], "split", seed=seed)
-    part = F.when(section(key, cuts, "split", seed=seed) == 0, "test").otherwise("train")
+    draw = hash32(F.col(key), "split", seed=seed)
+    cuts = hash_cuts(df, key, draw, lambda rows: [math.ceil(test_share * rows)])
+    part = F.when(section(key, draw, cuts) == 0, "test").otherwise("train")
     return df.withColumn(out, part)
 
 
+def fold_draw(key: str, seed: int = SEED) -> Column:
+    """The hash that orders rows into folds. A table that is written once and scanned often
+    may store it, and ``random_folds`` then only compares numbers."""
+    return hash32(F.col(key), "fold", seed=seed)
+
+
 def random_folds(
-    df: DataFrame, key: str, folds: int, seed: int = SEED, out: str = "fold"
+    df: DataFrame, key: str, folds: int, seed: int = SEED, out: str = "fold", draw: str | None = None
 ) -> DataFrame:
     """Folds of round(rows/folds) rows each (halves to even); the last takes the rest.
 
-    ``key`` must be unique and is never a feature.
+    ``key`` must be unique and is never a feature. ``draw`` names a stored ``fold_draw``,
+    which is used up.
     """
+    drawn = F.col(draw) if draw else fold_draw(key, seed)
 
     def starts(rows: int) -> list[int]:
         return [k * round(rows / folds) for k in range(1, folds)]
 
-    cuts = hash_cuts(df, key, starts, "fold", seed=seed)
-    return df.withColumn(out, section(key, cuts, "fold", seed=seed).cast("int"))
+    cuts = hash_cuts(df, key, drawn, starts)
+    folded = df.withColumn(out, section(key, drawn, cuts).cast("int"))
+    return folded.drop(draw) if draw else folded
 
 
 def group_folds(
@@ -59,12 +69,12 @@ def group_folds(
         def starts(rows: int) -> list[int]:
             return [rows * k // folds for k in range(1, folds)]
 
-        cuts = hash_cuts(groups, group, starts, "fold", seed=seed)
-        return df.withColumn(out, section(group, cuts, "fold", seed=seed).cast("int"))
+        draw = fold_draw(group, seed)
+        return df.withColumn(out, section(group, draw, hash_cuts(groups, group, draw, starts)).cast("int"))
     if balance != "rows":
         raise ValueError("balance is 'count' or 'rows'")
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")).withColumns(
-        {"_draw": hash32(F.col(group), "fold", seed=seed)}
+        {"_draw": fold_draw(group, seed)}
     )
     # Larger groups first; the hash spreads the many groups of one size over the ranges.
     sizes = materialize(sizes, "groups")

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from featurelab.functions.draws import hash32
-
 # Bits of the hash counted per pass to place a cut: 2**10 counts per open bucket.
 _CUT_BITS = 10
 # Rows of one hash bucket that are ranked to place a cut.
@@ -81,19 +79,18 @@ class Cut:
 def hash_cuts(
     df: DataFrame,
     key: str,
+    draw: Column,
     positions: Callable[[int], list[int]],
-    *purpose,
-    seed: int,
     rank_rows: int = _CUT_ROWS,
 ) -> list[Cut]:
-    """The (hash, key) found at 0-based positions of the hash order of ``key``.
+    """The (hash, key) found at 0-based positions of the order by (draw, key).
 
-    ``key`` must be unique; ``positions`` gives them for the number of rows, and those past
+    ``draw`` is a hash of the unique ``key`` in [0, 2**32); ``positions`` gives them for the number of rows, and those past
     the last row give no cut. Counting hash buckets finds the few that hold a position;
     large ones are counted again by further bits, and only the rows of the last, small
     ones are ranked. The table itself is never shuffled.
     """
-    drawn = df.select(F.col(key).alias("key"), hash32(F.col(key), *purpose, seed=seed).alias("draw"))
+    drawn = df.select(F.col(key).alias("key"), draw.alias("draw"))
     asked, wanted, bits = None, {0: []}, 0
     while True:
         rows = drawn if asked is None else drawn.filter(F.shiftright("draw", 32 - bits).isin(*wanted))
@@ -137,9 +134,8 @@ def _holding(wanted: dict[int, list[int]], counts: list[tuple[int, int]]) -> tup
     return found, largest
 
 
-def section(key: str, cuts: list[Cut], *purpose, seed: int) -> Column:
+def section(key: str, draw: Column, cuts: list[Cut]) -> Column:
     """How many cuts lie at or before the row: a narrow expression, no join and no shuffle."""
-    draw = hash32(F.col(key), *purpose, seed=seed)
     passed = [
         ((draw > c.draw) | ((draw == c.draw) & (F.col(key) >= F.lit(c.key)))).cast("int")
         for c in cuts

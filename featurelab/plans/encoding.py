@@ -6,10 +6,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from featurelab.operators import encode, folds
-from featurelab.plans.fixtures import ORDER_FACTS, ORDER_FEATURES, order_facts, rounded, sql_hash
+from featurelab.plans.fixtures import ORDER_FACTS, ORDER_FEATURES, folded, order_facts, rounded, sql_hash
 from featurelab.plans.profiling import sql_folds
 from featurelab.sources.tables import read_table
-from featurelab.sources.work import materialize
 
 QUERIES, ORACLE = {}, {}
 
@@ -55,7 +54,7 @@ def balanced_group_folds(spark, sf):
 
 def fold_views(spark, sf):
     """Rows and feature sums of the train and the test side of every fold."""
-    data = folds.random_folds(materialize(order_facts(spark, sf), "facts"), "row_id", 3)
+    data = folded(order_facts(spark, sf))
     sides = None
     for k in range(3):
         for part, rows in [("train", folds.train_rows(data, k)), ("test", folds.test_rows(data, k))]:

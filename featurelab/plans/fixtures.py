@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from featurelab.functions.draws import uniform
 from featurelab.functions.genes import random_genome
+from featurelab.operators import folds
 from featurelab.sources.tables import read_table
+from featurelab.sources.work import materialize
 
 # Individuals per run of the genome fixture, as in the feature search's settings.
 RUN_SIZE = 50
@@ -97,6 +99,14 @@ facts AS (
          {", ".join(f"{sql_draw('l_orderkey', str(i))} AS z{i}" for i in range(1, 5))}
   FROM lineitem GROUP BY l_orderkey)"""
 
+
+
+def folded(df: DataFrame, k: int = 3) -> DataFrame:
+    """The facts written once with their fold draw, and their folds."""
+    written = materialize(df.withColumn("draw", folds.fold_draw("row_id")), "facts")
+    return folds.random_folds(written, "row_id", k, draw="draw")
+
+
 LABEL_ABOVE = 100.0
 
 

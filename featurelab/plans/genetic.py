@@ -205,7 +205,7 @@ def settings_search(spark, sf):
         {"pc": F.lit(0.25), "pm": F.lit(0.1)}
     )
     best = pop.search_settings(runs, length=_SEARCH_GENES, inner_iterations=3, outer_iterations=1)
-    return best.select("run_id", "idx", "genome", "score")
+    return best.select("run_id", F.col("idx").cast("bigint"), "genome", "score")
 
 
 QUERIES.update(
@@ -304,6 +304,14 @@ start AS (SELECT genome AS run_id, idx, substr({sql_bits(sql_digest("genome", "i
 SELECT run_id AS genome, max(n) AS n, round(max(pc), 6) AS pc, round(max(pm), 6) AS pm, max(score) AS best_found,
        round(-({_SEARCH_GENES} - max(score)) - 0.1 * 6, 6) AS score FROM {{last}} GROUP BY run_id""",
     ),
+    settings_search=sql.settings_search(
+        f"""
+runs AS (SELECT s_suppkey // 10 AS run_id, count(*) AS n FROM supplier GROUP BY 1),
+start AS (SELECT run_id, idx, substr({sql_bits(sql_digest("run_id", "idx"))}, 1, {GENES}) AS genome, n, 0.25 AS pc, 0.1 AS pm
+          FROM runs, range(0, 10) t(idx) WHERE idx < n)""",
+        "start", GENES, _SEARCH_GENES, 4, 2, _SETTINGS_SQL,
+        lambda run, idx: f"substr({sql_bits(sql_digest(run, idx))}, 1, {_SEARCH_GENES})",
+    ),
     population_summary=f"""
 WITH {_SCORED}
 SELECT run_id, count(*) AS n, sum(score) AS total, round(avg(score), 4) AS mean, max(score) AS max_score,

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from featurelab.models import layers
 from featurelab.models.learners import learner
-from featurelab.operators import folds
 from featurelab.plans.fixtures import (
-    LAYERS, MODEL_NAMES, NEURONS, ORDER_FACTS, ORDER_FEATURES, order_facts, rounded, sql_hash, sql_int, systems,
+    LAYERS, MODEL_NAMES, NEURONS, ORDER_FACTS, ORDER_FEATURES, folded, order_facts, rounded, sql_hash, sql_int,
+    systems,
 )
 from featurelab.plans.profiling import sql_folds
-from featurelab.sources.work import materialize
 
 QUERIES, ORACLE = {}, {}
 
@@ -70,7 +69,7 @@ def _predictions(facts):
 
 
 def neuron_outputs(spark, sf):
-    facts = folds.random_folds(materialize(order_facts(spark, sf), "facts"), "row_id", 3)
+    facts = folded(order_facts(spark, sf))
     wide = layers.output_table(_predictions(facts), ["m0", "m1", "m2", "m3"])
     return wide.select(
         "row_id", F.col("fold").cast("bigint"), *[rounded(c, 8).alias(c) for c in ["m0", "m1", "m2", "m3"]]
@@ -78,7 +77,7 @@ def neuron_outputs(spark, sf):
 
 
 def neuron_inputs(spark, sf):
-    facts = folds.random_folds(materialize(order_facts(spark, sf), "facts"), "row_id", 3)
+    facts = folded(order_facts(spark, sf))
     outputs = layers.output_table(_predictions(facts), ["m0", "m1", "m2", "m3"])
     table = layers.neuron_inputs(facts, outputs, ["qty", "n"], ["m1", "m3"])
     return table.select(
@@ -88,7 +87,7 @@ def neuron_inputs(spark, sf):
 
 def stacked_layers(spark, sf):
     """Two layers; each column is one neuron's out-of-fold prediction."""
-    facts = folds.random_folds(materialize(order_facts(spark, sf), "facts"), "row_id", 3)
+    facts = folded(order_facts(spark, sf))
     neurons = [
         layers.Neuron("linear_N_0_M_0", 0, learner("linear"), ["n", "qty"], []),
         layers.Neuron("bayesridge_N_0_M_1", 0, learner("bayesridge"), ["price"], []),
@@ -103,7 +102,7 @@ def stacked_layers(spark, sf):
 
 def stacked_baseline(spark, sf):
     """One layer of one single-feature neuron: its out-of-fold predictions have a closed form."""
-    facts = folds.random_folds(materialize(order_facts(spark, sf), "facts"), "row_id", 3)
+    facts = folded(order_facts(spark, sf))
     neuron = layers.Neuron("linear_N_0_M_0", 0, learner("linear"), ["qty"], [])
     outputs = layers.train_layers(facts, [neuron], 3)
     return outputs.select("row_id", F.col("fold").cast("bigint"), rounded("linear_N_0_M_0", 6).alias("linear_N_0_M_0"))

@@ -14,7 +14,8 @@ from featurelab.operators import folds, metrics
 from featurelab.operators.encode import feature_vector
 from featurelab.operators import population as pop
 from featurelab.plans.fixtures import (
-    GENES, ORDER_CLASSES, ORDER_FACTS, ORDER_FEATURES, genomes, order_classes, order_facts, rounded,
+    GENES, ORDER_CLASSES, ORDER_FACTS, ORDER_FEATURES, folded, genomes, order_classes, order_facts,
+    rounded,
 )
 from featurelab.plans.profiling import sql_folds
 from featurelab.sources.tables import load_model, load_solutions, read_table, save_model, save_solutions
@@ -26,7 +27,7 @@ _FOLDS = 3
 
 
 def _prepared(spark, sf):
-    return folds.random_folds(materialize(order_facts(spark, sf), "facts"), "row_id", _FOLDS)
+    return folded(order_facts(spark, sf), _FOLDS)
 
 
 def regression_metrics(spark, sf):
@@ -216,7 +217,7 @@ _CLASS_FEATURES = ["n", "disc", "tax", "z1", "z2"]
 
 
 def _classes(spark, sf):
-    return folds.random_folds(materialize(order_classes(spark, sf), "classes"), "row_id", _FOLDS)
+    return folded(order_classes(spark, sf), _FOLDS)
 
 
 def boosted_classifier(spark, sf):

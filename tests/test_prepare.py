@@ -40,6 +40,12 @@ def test_random_folds_sizes(spark, rows, k):
     assert [sizes.get(i, 0) for i in range(k)] == expected
 
 
+def test_a_stored_draw_gives_the_same_folds(spark):
+    plain = folds.random_folds(spark.range(500), "id", 4)
+    stored = folds.random_folds(spark.range(500).withColumn("d", folds.fold_draw("id")), "id", 4, draw="d")
+    assert sorted(plain.collect()) == sorted(stored.collect())
+
+
 def test_folds_do_not_depend_on_partitions(spark):
     found = []
     for parts in [1, 4, 16]:
@@ -51,8 +57,9 @@ def test_folds_do_not_depend_on_partitions(spark):
 @pytest.mark.parametrize("rank_rows", [1, 20, 200_000])
 def test_hash_cuts_refine_to_the_same_rows(spark, rank_rows):
     df = spark.range(3000)
-    cuts = hash_cuts(df, "id", lambda n: [0, 1, 1499, n - 1, n, 700, 700], "t", seed=1, rank_rows=rank_rows)
-    order = df.select("id", hash32(F.col("id"), "t", seed=1).alias("h")).orderBy("h", "id").collect()
+    draw = hash32(F.col("id"), "t", seed=1)
+    cuts = hash_cuts(df, "id", draw, lambda n: [0, 1, 1499, n - 1, n, 700, 700], rank_rows)
+    order = df.select("id", draw.alias("h")).orderBy("h", "id").collect()
     assert [c.key for c in cuts] == [order[p]["id"] for p in [0, 1, 1499, 2999, 700, 700]]
 
 
