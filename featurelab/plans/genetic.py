@@ -232,7 +232,7 @@ _KEPT = f"{_CROSSED}, {sql.mutated('crossed_0', GENES)}, {sql.kept('ranked')}"
 _PEOPLE = "SELECT run_id, idx, genome, score FROM {last}"
 
 
-def _sql_names(genome: str, names: list[str]) -> str:
+def sql_names(genome: str, names: list[str]) -> str:
     cells = ", ".join(
         f"CASE WHEN substr({genome}, {i + 1}, 1) = '1' THEN '{n}' END" for i, n in enumerate(names)
     )
@@ -249,7 +249,7 @@ bits AS (SELECT run_id, idx, part,
                 string_agg(CASE WHEN place <= CASE part WHEN 'b' THEN base ELSE extra END THEN '1' ELSE '0' END, '' ORDER BY i) AS genes
          FROM placed JOIN wanted USING (run_id, idx) GROUP BY ALL)"""
 
-_SETTINGS_SQL = """
+SETTINGS_SQL = """
   CAST('0b' || substr(genome, 1, 5) AS BIGINT) + 1 AS n,
   1.0::DOUBLE / (CAST('0b' || substr(genome, 6, 5) AS BIGINT) + 0.0001::DOUBLE) AS pc,
   1.0::DOUBLE / (CAST('0b' || substr(genome, 11, 5) AS BIGINT) + 0.0001::DOUBLE) AS pm"""
@@ -269,8 +269,8 @@ totals AS (SELECT *, {sql_int(str(_MAX_FEATURES + 1), "run_id", "idx", "'total'"
                   {sql_int(str(len(ORDER_FEATURES) + 1), "run_id", "idx", "'baseline'")} AS b FROM people),
 wanted AS (SELECT run_id, idx, least(b, total) AS base, least(total - least(b, total), {len(_EXMODEL)}) AS extra FROM totals),
 {_SAMPLE_BITS}
-SELECT b.run_id, b.idx, b.genes || x.genes AS genome, {_sql_names("b.genes", ORDER_FEATURES)} AS baseline,
-       {_sql_names("x.genes", _EXMODEL)} AS exmodel
+SELECT b.run_id, b.idx, b.genes || x.genes AS genome, {sql_names("b.genes", ORDER_FEATURES)} AS baseline,
+       {sql_names("x.genes", _EXMODEL)} AS exmodel
 FROM (SELECT * FROM bits WHERE part = 'b') b JOIN (SELECT * FROM bits WHERE part = 'x') x USING (run_id, idx)""",
     onemax=f"""
 WITH {GENOMES}
@@ -296,7 +296,7 @@ FROM {last} GROUP BY run_id""",
     ),
     settings_sweep=sql.generations(
         f"""{GENOMES},
-settings AS (SELECT *, {_SETTINGS_SQL} FROM (SELECT DISTINCT genome FROM genomes)),
+settings AS (SELECT *, {SETTINGS_SQL} FROM (SELECT DISTINCT genome FROM genomes)),
 start AS (SELECT genome AS run_id, idx, substr({sql_bits(sql_digest("genome", "idx"))}, 1, {_SEARCH_GENES}) AS genome, n, pc, pm
           FROM settings, range(0, 32) t(idx) WHERE idx < n)""",
         "start", _SEARCH_GENES, 6,
@@ -309,7 +309,7 @@ SELECT run_id AS genome, max(n) AS n, round(max(pc), 6) AS pc, round(max(pm), 6)
 runs AS (SELECT s_suppkey // 10 AS run_id, count(*) AS n FROM supplier GROUP BY 1),
 start AS (SELECT run_id, idx, substr({sql_bits(sql_digest("run_id", "idx"))}, 1, {GENES}) AS genome, n, 0.25 AS pc, 0.1 AS pm
           FROM runs, range(0, 10) t(idx) WHERE idx < n)""",
-        "start", GENES, _SEARCH_GENES, 4, 2, _SETTINGS_SQL,
+        "start", GENES, _SEARCH_GENES, 4, 2, SETTINGS_SQL,
         lambda run, idx: f"substr({sql_bits(sql_digest(run, idx))}, 1, {_SEARCH_GENES})",
     ),
     population_summary=f"""
@@ -346,17 +346,17 @@ SELECT run_id, count(*) AS compared,
 FROM ranked a JOIN mutated_0 b USING (run_id, idx) GROUP BY run_id""",
     genome_features=f"""
 WITH {GENOMES}
-SELECT run_id, idx, {_sql_names("genome", ORDER_FEATURES)} AS baseline,
-       {_sql_names(f"substr(genome, {len(ORDER_FEATURES) + 1})", _EXMODEL + ["m4", "m5"])} AS exmodel FROM genomes""",
+SELECT run_id, idx, {sql_names("genome", ORDER_FEATURES)} AS baseline,
+       {sql_names(f"substr(genome, {len(ORDER_FEATURES) + 1})", _EXMODEL + ["m4", "m5"])} AS exmodel FROM genomes""",
     inconsistent_individuals=f"""
 WITH {_START}, {sql.mutated('start', GENES, pm=str(1 / 7))}
 SELECT m.run_id, m.idx, m.genome FROM mutated_0 m JOIN genomes g USING (run_id, idx) WHERE m.genome <> g.genome""",
     decoded_settings=f"""
 WITH {GENOMES}
-SELECT run_id, idx, n, round(pc, 6) AS pc, round(pm, 6) AS pm FROM (SELECT *, {_SETTINGS_SQL} FROM genomes)""",
+SELECT run_id, idx, n, round(pc, 6) AS pc, round(pm, 6) AS pm FROM (SELECT *, {SETTINGS_SQL} FROM genomes)""",
     good_settings=f"""
 WITH {_SCORED}
 SELECT count(*) AS settings, round(avg(n), 6) AS avg_n, round(avg(least(pc, 1.0)), 6) AS avg_pc,
        round(avg(least(pm, 1.0)), 6) AS avg_pm
-FROM (SELECT *, {_SETTINGS_SQL} FROM scored WHERE score * -30 > -200)""",
+FROM (SELECT *, {SETTINGS_SQL} FROM scored WHERE score * -30 > -200)""",
 )

@@ -14,9 +14,11 @@ from featurelab.operators import folds, metrics
 from featurelab.operators.encode import feature_vector
 from featurelab.operators import population as pop
 from featurelab.plans.fixtures import (
-    GENES, ORDER_CLASSES, ORDER_FACTS, ORDER_FEATURES, folded, genomes, order_classes, order_facts,
-    rounded,
+    GENES, GENOMES, ORDER_CLASSES, ORDER_FACTS, ORDER_FEATURES, folded, genomes, order_classes, order_facts,
+    rounded, sql_bits, sql_digest, sql_draw, sql_int,
 )
+from featurelab.plans import mask_sql
+from featurelab.plans.genetic import SETTINGS_SQL, sql_names
 from featurelab.plans.profiling import sql_folds
 from featurelab.sources.tables import load_model, load_solutions, read_table, save_model, save_solutions
 from featurelab.sources.work import materialize, new_path
@@ -103,7 +105,7 @@ def mask_scores(spark, sf):
     """Every genome of the customers' populations, read as a mask over the order features."""
     masks = genomes(spark, sf).select("run_id", "idx", F.substring("genome", 1, len(ORDER_FEATURES)).alias("genome"))
     scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y", max_features=7)
-    return scorer(masks).withColumn("score", rounded("score", 6))
+    return scorer(masks).select("run_id", "idx", "genome", rounded("score", 6).alias("score"))
 
 
 def tree_mask_scores(spark, sf):
@@ -124,17 +126,20 @@ def tree_feature_search(spark, sf):
     return found.select("run_id", F.col("idx").cast("bigint"), "genome", "score")
 
 
-def feature_search(spark, sf, iterations=5):
+_SEARCH_ITERATIONS = 5
+
+
+def feature_search(spark, sf):
     """One search per 50 suppliers, each over the masks of the order features."""
     scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y")
     group = F.floor(F.col("s_suppkey") / 50).cast("bigint")
     runs = read_table(spark, sf, "supplier").groupBy(group.alias("run_id")).agg(
         F.count(F.lit(1)).cast("int").alias("n")
     ).withColumns({"pc": F.lit(0.22), "pm": F.lit(0.1)})
-    found = search_masks(runs, scorer, ORDER_FEATURES, iterations)
+    found = search_masks(runs, scorer, ORDER_FEATURES, _SEARCH_ITERATIONS)
     named = pop.with_features(found, ORDER_FEATURES, [])
     return named.select(
-        "run_id", F.col("idx").cast("bigint"), "genome", "score",
+        "run_id", F.col("idx").cast("bigint"), "genome", rounded("score", 6).alias("score"),
         F.array_join("baseline_features", ",").alias("features"),
     )
 
@@ -143,21 +148,22 @@ def settings_sweep_masks(spark, sf):
     """Settings read from the suppliers' draws, each scored by a feature search under them."""
     scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y")
     settings = read_table(spark, sf, "supplier").select(random_genome(GENES, F.col("s_suppkey"), "settings").alias("genome"))
-    return pop.sweep_settings(
+    swept = pop.sweep_settings(
         settings, len(ORDER_FEATURES), max_iterations=2, score=scorer, best_possible=0.0, cut_every=1
     )
+    return swept.withColumns({c: rounded(c, 6) for c in ["pc", "pm", "best_found", "score"]})
 
 
 def search_solutions(spark, sf):
     """The memo of a short search, saved and restored."""
     scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y")
-    runs = read_table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 20).alias("run_id")).agg(
+    runs = read_table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 20).cast("bigint").alias("run_id")).agg(
         F.count(F.lit(1)).cast("int").alias("n")
     ).withColumns({"pc": F.lit(0.22), "pm": F.lit(0.1)})
     search_masks(runs, scorer, ORDER_FEATURES, 2)
     path = new_path(spark, "solutions")
     save_solutions(scorer.solutions(), path)
-    return load_solutions(spark, path)
+    return load_solutions(spark, path).withColumn("score", rounded("score", 6))
 
 
 def least_squares_fit(spark, sf):
@@ -276,6 +282,64 @@ _AUC = """
         FROM (SELECT {by} score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
               FROM scored GROUP BY ALL)) {group}"""
 
+_SIZE = len(ORDER_FEATURES)
+_FOLDED = f"{ORDER_FACTS}, b AS MATERIALIZED ({sql_folds('facts', 'row_id', _FOLDS)})"
+
+
+def _sql_runs(per_run: int) -> str:
+    """Searches of up to ``per_run`` suppliers each, starting from random masks."""
+    total = sql_int("1001", "run_id", "idx", "'total'")
+    some = sql_int(str(_SIZE + 1), "run_id", "idx", "'baseline'")
+    draw = sql_draw("run_id", "idx", "'b'", "i")
+    return f"""
+runs AS (SELECT s_suppkey // {per_run} AS run_id, count(*) AS n FROM supplier GROUP BY 1),
+people AS (SELECT run_id, idx, n, least({some}, {total}) AS wanted FROM runs, range(0, {per_run}) t(idx) WHERE idx < n),
+places AS (SELECT run_id, idx, n, wanted, i, row_number() OVER (PARTITION BY run_id, idx ORDER BY {draw}, i) AS place
+           FROM people, range(0, {_SIZE}) t(i)),
+start AS (SELECT run_id, idx, any_value(n) AS n, 0.22 AS pc, 0.1 AS pm,
+                 string_agg(CASE WHEN place <= wanted THEN '1' ELSE '0' END, '' ORDER BY i) AS genome
+          FROM places GROUP BY run_id, idx)"""
+
+
+def _sql_search(start: str, count: int, select: str) -> str:
+    """A search over all masks of the order features; ``select`` reads from {last}."""
+    steps, last = mask_sql.search("start", _SIZE, count)
+    parts = [
+        _FOLDED, mask_sql.every_mask(_SIZE), *mask_sql.mask_scores("b", "masks", ORDER_FEATURES, _FOLDS, 1000),
+        start, *steps,
+    ]
+    return f"WITH {', '.join(parts)} {select.format(last=last)}"
+
+
+ORACLE.update(
+    mask_scores=f"""
+WITH {_FOLDED}, {GENOMES},
+people AS (SELECT run_id, idx, substr(genome, 1, {_SIZE}) AS genome FROM genomes),
+{", ".join(mask_sql.mask_scores("b", "people", ORDER_FEATURES, _FOLDS, 7))}
+SELECT run_id, idx, genome, round(score, 6) AS score FROM people JOIN mask_scores USING (genome)""",
+    feature_search=_sql_search(
+        _sql_runs(50), _SEARCH_ITERATIONS + 1,
+        f"""
+SELECT run_id, idx, genome, round(score, 6) AS score, {sql_names("genome", ORDER_FEATURES)} AS features FROM {{last}}""",
+    ),
+    search_solutions=_sql_search(
+        _sql_runs(20), 3,
+        """
+SELECT DISTINCT genome, round(score, 6) AS score
+FROM (SELECT genome, score FROM ranked UNION ALL SELECT genome, score FROM children_0
+      UNION ALL SELECT genome, score FROM children_1 UNION ALL SELECT genome, score FROM children_2)""",
+    ),
+    settings_sweep_masks=_sql_search(
+        f"""
+drawn AS (SELECT DISTINCT substr({sql_bits(sql_digest("s_suppkey", "'settings'"))}, 1, {GENES}) AS genome FROM supplier),
+start AS (SELECT genome AS run_id, idx, substr({sql_bits(sql_digest("genome", "idx"))}, 1, {_SIZE}) AS genome, n, pc, pm
+          FROM (SELECT *, {SETTINGS_SQL} FROM drawn), range(0, 32) t(idx) WHERE idx < n)""",
+        3,
+        """
+SELECT run_id AS genome, max(n) AS n, round(max(pc), 6) AS pc, round(max(pm), 6) AS pm, round(max(score), 6) AS best_found,
+       round(max(score) - 0.1::DOUBLE * 3, 6) AS score FROM {last} GROUP BY run_id""",
+    ),
+)
 ORACLE.update(
     regression_metrics=f"WITH {ORDER_FACTS} SELECT {_REGRESSION} FROM (SELECT y, price * 0.95 AS p FROM facts)",
     regression_metrics_by_size=f"""
