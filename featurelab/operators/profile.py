@@ -25,6 +25,10 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, StringType)]
 
 
+def _double(column: str) -> Column:
+    return F.col(column).cast("double")
+
+
 def group_sum(df: DataFrame, keys: list[str], values: list[str] | None = None) -> DataFrame:
     """Sum of the numeric columns by key; a group with no value sums to 0."""
     names = values or [c for c in numeric_columns(df) if c not in keys]
@@ -55,7 +59,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
         F.struct(
             F.lit(c).alias("column"),
             F.count(c).alias("count"),
-            F.avg(c).alias("mean"),
+            F.avg(_double(c)).alias("mean"),
             F.stddev_samp(c).alias("std"),
             F.min(c).cast("double").alias("min"),
             *[
@@ -129,7 +133,7 @@ def rare_categories(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def _moments(df: DataFrame, columns: list[str]) -> Column:
     stats = df.agg(
         F.struct(
-            *[F.avg(c).alias(f"mean_{c}") for c in columns],
+            *[F.avg(_double(c)).alias(f"mean_{c}") for c in columns],
             *[F.stddev_samp(c).alias(f"std_{c}") for c in columns],
         )
     )
@@ -151,7 +155,7 @@ def outlier_counts(
                     F.lit(c).alias("column"),
                     F.lit(k).alias("k"),
                     F.first(threshold).alias("threshold"),
-                    F.count_if(F.col(c) >= threshold).alias("count"),
+                    F.count_if(_double(c) >= threshold).alias("count"),
                 )
             )
     return df.agg(F.array(*cells).alias("r")).select(F.inline("r"))
@@ -177,7 +181,7 @@ def z_score(df: DataFrame, columns: list[str]) -> DataFrame:
     moments = _moments(df, columns)
     return df.withColumns(
         {
-            c: F.try_divide(F.col(c) - moments[f"mean_{c}"], moments[f"std_{c}"])
+            c: F.try_divide(_double(c) - moments[f"mean_{c}"], moments[f"std_{c}"])
             for c in columns
         }
     )
@@ -187,21 +191,21 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     """Scale to [0, 1]; a constant column gives 0."""
     ends = df.agg(
         F.struct(
-            *[F.min(c).alias(f"min_{c}") for c in columns],
-            *[F.max(c).alias(f"max_{c}") for c in columns],
+            *[F.min(_double(c)).alias(f"min_{c}") for c in columns],
+            *[F.max(_double(c)).alias(f"max_{c}") for c in columns],
         )
     ).scalar()
     scaled = {}
     for c in columns:
         low, high = ends[f"min_{c}"], ends[f"max_{c}"]
-        scaled[c] = F.when(high == low, F.col(c) * 0.0).otherwise((F.col(c) - low) / (high - low))
+        scaled[c] = F.when(high == low, _double(c) * 0.0).otherwise((_double(c) - low) / (high - low))
     return df.withColumns(scaled)
 
 
 def medians_and_mads(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Median and median absolute deviation of each column, exact; all columns together."""
     medians = exact_quantiles(df, columns, [0.5])
-    away = df.select(*[F.abs(F.col(c) - F.lit(medians[c, 0.5])).alias(c) for c in columns])
+    away = df.select(*[F.abs(_double(c) - F.lit(medians[c, 0.5])).alias(c) for c in columns])
     mads = exact_quantiles(away, columns, [0.5])
     return {c: (medians[c, 0.5], mads[c, 0.5]) for c in columns}
 
@@ -223,7 +227,7 @@ def label_likes(df: DataFrame, column: str, threshold: float, out: str = "like")
     Whether a value is an outlier depends on the value alone, so no row can be both
     and the two sides need no join.
     """
-    data = df.withColumn(column, clamp_negative(F.col(column)))
+    data = df.withColumn(column, clamp_negative(_double(column)))
     median, mad = median_and_mad(data, column)
     value, outlier = F.col(column), mad_outlier(F.col(column), median, mad, threshold)
     regular = data.filter(~outlier).agg(

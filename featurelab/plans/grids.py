@@ -108,11 +108,23 @@ def stacked_baseline(spark, sf):
     return outputs.select("row_id", F.col("fold").cast("bigint"), rounded("linear_N_0_M_0", 6).alias("linear_N_0_M_0"))
 
 
+def stacked_linear(spark, sf):
+    """Two neurons of one feature and a second layer on their outputs: solved in closed form."""
+    one = learner("linear")
+    neurons = [
+        layers.Neuron("linear_N_0_M_0", 0, one, ["qty"], []),
+        layers.Neuron("linear_N_0_M_1", 0, one, ["disc"], []),
+        layers.Neuron("linear_N_1_M_0", 1, one, [], ["linear_N_0_M_0", "linear_N_0_M_1"]),
+    ]
+    outputs = layers.train_layers(folded(order_facts(spark, sf)), neurons, 3)
+    return outputs.select("row_id", F.col("fold").cast("bigint"), *[rounded(n.name, 6).alias(n.name) for n in neurons])
+
+
 QUERIES.update(
     model_grids=model_grids, grid_chromosomes=grid_chromosomes, decoded_grids=decoded_grids,
     neuron_masks=neuron_masks, neuron_chromosomes=neuron_chromosomes, lower_outputs=lower_outputs,
     neuron_outputs=neuron_outputs, neuron_inputs=neuron_inputs, stacked_layers=stacked_layers,
-    stacked_baseline=stacked_baseline,
+    stacked_baseline=stacked_baseline, stacked_linear=stacked_linear,
 )
 
 _NAMES = "[" + ", ".join(f"'{m}'" for m in MODEL_NAMES) + "]"
@@ -164,6 +176,16 @@ SELECT row_id, fold, {", ".join(f"round(m{i}, 8) AS m{i}" for i in range(4))} FR
 WITH {ORDER_FACTS}, b AS ({sql_folds("facts", "row_id", 3)}), o AS (SELECT row_id, fold, {_OUTPUTS} FROM b)
 SELECT row_id, fold, qty, n, round(m1, 8) AS m1, round(m3, 8) AS m3, round(y, 8) AS y
 FROM b JOIN o USING (row_id, fold)""",
+    stacked_linear=f"""
+WITH {ORDER_FACTS}, b AS ({sql_folds("facts", "row_id", 3)}),
+f0 AS (SELECT k, regr_slope(y, qty) AS s, regr_intercept(y, qty) AS i, regr_slope(y, disc) AS t, regr_intercept(y, disc) AS j
+       FROM b, range(0, 3) r(k) WHERE fold <> k GROUP BY k),
+o AS (SELECT row_id, fold, y, i + s * qty AS p, j + t * disc AS q FROM b JOIN f0 ON fold = k),
+m AS (SELECT k, var_pop(p) AS pp, var_pop(q) AS qq, covar_pop(p, q) AS pq, covar_pop(p, y) AS py, covar_pop(q, y) AS qy,
+             avg(p) AS mp, avg(q) AS mq, avg(y) AS my FROM o, range(0, 3) r(k) WHERE fold <> k GROUP BY k),
+f1 AS (SELECT *, (py * qq - qy * pq) / (pp * qq - pq * pq) AS wp, (qy * pp - py * pq) / (pp * qq - pq * pq) AS wq FROM m)
+SELECT row_id, fold, round(p, 6) AS "linear_N_0_M_0", round(q, 6) AS "linear_N_0_M_1",
+       round(my + wp * (p - mp) + wq * (q - mq), 6) AS "linear_N_1_M_0" FROM o JOIN f1 ON fold = k""",
     stacked_baseline=f"""
 WITH {ORDER_FACTS}, b AS ({sql_folds("facts", "row_id", 3)}),
 fits AS (SELECT k, regr_slope(y, qty) AS s, regr_intercept(y, qty) AS i FROM b, range(0, 3) t(k) WHERE fold <> k GROUP BY k)

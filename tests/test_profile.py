@@ -107,3 +107,13 @@ def test_profile_object(spark):
     assert p.numeric().count() == 1 and p.strings().count() == 1
     assert p.outliers().count() == 4 and p.categories().count() == 2
     assert {r["c"] for r in p.with_rare_folded("c", 0.6).data.collect()} == {"x_y"}
+
+
+def test_decimal_and_whole_columns(spark):
+    df = spark.sql("SELECT cast(v AS decimal(10, 2)) AS d, cast(v AS int) AS i, v AS x FROM VALUES (1.5D), (2.5D), (9.0D), (-3.0D) t(v)")
+    rows = {r["column"]: r for r in profile.describe_numeric(df).collect()}
+    assert rows["d"]["mean"] == rows["x"]["mean"] == 2.5 and rows["i"]["q50"] == 1.5
+    assert profile.outlier_counts(df).count() == 12
+    assert [r["d"] for r in profile.z_score(df, ["d"]).collect()] == pytest.approx([r["x"] for r in profile.z_score(df, ["x"]).collect()])
+    assert profile.min_max(df, ["d", "i"]).count() == 4 and profile.label_likes(df, "d", 1.0).count() == 4
+    assert profile.group_sum(df, ["i"]).count() == 4
