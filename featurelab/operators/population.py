@@ -64,11 +64,15 @@ def random_masks(
         draws = F.transform(
             places, lambda i: F.struct(uniform(*who, part, i, seed=seed).alias("u"), i.alias("i"))
         )
-        chosen = F.transform(
-            F.slice(F.array_sort(draws), F.lit(1), wanted.cast("int")), lambda d: d["i"]
-        )
-        gene = F.transform(places, lambda i: F.when(F.array_contains(chosen, i), "1").otherwise("0"))
-        return F.array_join(gene, "")
+        # Smallest draws first: split once into set and unset genes, then back in place.
+        ordered, size = F.array_sort(draws), wanted.cast("int")
+
+        def marked(part: Column, gene: str) -> Column:
+            return F.transform(part, lambda d: F.struct(d["i"].alias("i"), F.lit(gene).alias("gene")))
+
+        on = marked(F.slice(ordered, F.lit(1), size), "1")
+        off = marked(F.slice(ordered, size + 1, F.lit(len(names))), "0")
+        return F.array_join(F.transform(F.array_sort(F.concat(on, off)), lambda g: g["gene"]), "")
 
     return (
         people.withColumn("baseline_genes", bits(baseline, "b", F.col("_base")))

@@ -10,16 +10,26 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header row. Without a schema the types are inferred, which costs one more scan."""
-    reader = spark.read.option("header", True)
+# Quotes inside a quoted field are doubled, as other CSV tools write them.
+_CSV = {"header": True, "escape": '"'}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, **options
+) -> DataFrame:
+    """CSV with a header row. Without a schema the types are inferred, which costs one more scan.
+
+    ``options`` go to the reader; ``multiLine=True`` reads line breaks inside quotes, at the
+    price of one task per file.
+    """
+    reader = spark.read.options(**_CSV, **options)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    df.write.mode("errorifexists").options(**_CSV).csv(path)
 
 
 def save_solutions(solutions: DataFrame, path: str) -> None:

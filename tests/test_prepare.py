@@ -18,13 +18,21 @@ def test_checkpoint_dir_is_the_named_one(spark):
 
 
 def test_csv_round_trip(spark):
-    df = spark.createDataFrame([(1, "a,b", 2.5, None)], "i int, s string, x double, n int")
+    df = spark.createDataFrame([(1, 'a,"b" c', 2.5, None)], "i int, s string, x double, n int")
     path = new_path(spark, "csv")
     tables.write_csv(df, path)
     assert tables.read_csv(spark, path, df.schema).collect() == df.collect()
     assert dict(tables.read_csv(spark, path).dtypes)["x"] == "double"
 
 
+def test_csv_written_elsewhere(spark, tmp_path):
+    pd.DataFrame({"i": [1, 2], "s": ['say "hi", you', "two\nlines"], "d": ["2020-01-31", None]}).to_csv(
+        tmp_path / "t.csv", index=False
+    )
+    rows = tables.read_csv(spark, str(tmp_path / "t.csv"), "i int, s string, d string", multiLine=True).collect()
+    assert [tuple(r) for r in rows] == [(1, 'say "hi", you', "2020-01-31"), (2, "two\nlines", None)]
+
+
 def test_clamp_keeps_null(spark):
     df = spark.createDataFrame([(None,), (-1.0,), (2.0,)], "x double")
     assert [r[0] for r in df.select(clean.clamp_negative(F.col("x"))).collect()] == [None, 0.0, 2.0]
