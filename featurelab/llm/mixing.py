@@ -72,7 +72,7 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
 def _told(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
     """``docs`` as the struct ``row``, with id, of (the source), size, draw and its range."""
     text = F.col(text_col)
-    draw = digest(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(F.coalesce(text, F.lit(""))), seed=seed)
+    draw = digest(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))), seed=seed)
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
         F.struct(F.col(source_col).alias("source")).alias("of"), word_count(text).alias("size"), draw.alias("draw"),
@@ -122,7 +122,7 @@ def _copied(told: DataFrame, goals: DataFrame) -> DataFrame:
     # A document is in if half of it lies below the mark: the nearest that whole documents come.
     at = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     edge = placed.where(at_edge).withColumn("more", (at + F.col("size") / 2 <= F.col("extra")).cast("bigint"))
-    rest = placed.where(~at_edge).withColumn("more", F.coalesce(F.col("range") < F.col("edge"), F.lit(False)).cast("bigint"))
+    rest = placed.where(~at_edge).withColumn("more", F.coalesce(F.col("range") < F.col("edge"), F.lit(True)).cast("bigint"))
     return edge.unionByName(rest).withColumn("copies", F.col("whole") + F.col("more"))
 
 

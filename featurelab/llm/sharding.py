@@ -173,13 +173,11 @@ def uniform_shards(df: DataFrame, shards: int, seed: int = 42, block_rows: int =
     Shard sizes differ by at most one row. The order of rows over shards and slots is a uniform
     permutation, however the rows are partitioned: a hot group of equal rows is spread evenly. NULLs
     and repeated rows are rows like any other; an empty table gives an empty one. Columns of ``df``
-    must not be called ``shard`` or ``slot`` (ValueError); any other name is free.
+    called ``shard`` or ``slot`` are replaced; any other name is free.
     """
-    clash = {"shard", "slot"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")]
     staged = materialize(
-        df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.rand(seed).alias("draw"))
+        df.select(F.struct(*kept).alias("row"), F.rand(seed).alias("draw"))
         .sortWithinPartitions("draw")
         .select("row", F.monotonically_increasing_id().alias("uid")),
         "staged",
