@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +29,9 @@ from featurelab.llm.common import number_within
 from featurelab.sources.work import materialize
 
 # Steps of the search before the best answer so far is taken.
-MAX_STEPS = 4_000
+MAX_STEPS = 3_000
 # Fillings tried for one longest length.
-MAX_BRANCHES = 12
+MAX_BRANCHES = 4
 # Fixed value: how byte-level tokenizers cut a text into words.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -166,15 +166,15 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [x for room in rooms for x in free[room]]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int) -> Iterator[tuple[int, Filling]]:
-    """(waste, filling) of undominated sets that leave at most ``allowed`` of ``room``, longest first.
+def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int, most: int) -> list[tuple[int, Filling]]:
+    """At most ``most`` (waste, filling) of undominated sets that leave at most ``allowed`` of ``room``.
 
-    A set is dominated, and left out, if one of its lengths can be replaced by a longer one that is
-    still to be had, or if another length fits in as well.
+    By waste, then longest lengths first. Which sums can be made from each place of the list on is
+    kept as bits, so that every path that is followed ends in a set. A set is dominated, and left out,
+    if one of its lengths can be replaced by a longer one still to be had, or another fits in as well.
     """
-    # What sums the lengths from each place on can make: bit s is set if s can be made.
-    reach = [1] * (len(lengths) + 1)
     full = (1 << (room + 1)) - 1
+    reach = [1] * (len(lengths) + 1)
     for i in range(len(lengths) - 1, -1, -1):
         bits, length = reach[i + 1], lengths[i]
         left, step = min(counts[length], room // length), 1
@@ -184,35 +184,49 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int
             left -= step
             step *= 2
         reach[i] = bits
+    ascending = lengths[::-1]
+    found: list[tuple[int, Filling]] = []
+    sums = reach[0]
+    while sums and len(found) < most:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        waste = room - total
+        if waste > allowed:
+            break
+        begin = len(lengths) - bisect_right(ascending, total)
+        for head in range(begin, min(begin + 4 * most, len(lengths))):  # each path starts with another length
+            if len(found) == most:
+                break
+            chosen, left, i = [], total, head
+            while left:
+                i = max(i, len(lengths) - bisect_right(ascending, left))
+                k = min(counts[lengths[i]], left // lengths[i]) if i < len(lengths) else 0
+                while k and not reach[i + 1] >> (left - k * lengths[i]) & 1:
+                    k -= 1
+                if k:
+                    chosen.append((lengths[i], k))
+                    left -= k * lengths[i]
+                elif i == head or i >= len(lengths):
+                    break
+                i += 1
+            if not left and _undominated(chosen, waste, ascending, counts):
+                found.append((waste, tuple(chosen)))
+            if not total:
+                break
+        if not total and not found:
+            found.append((waste, ()))
+    return found
 
-    def undominated(chosen: list[tuple[int, int]], waste: int) -> bool:
-        taken = dict(chosen)
-        spare = [n for n in lengths if counts[n] > taken.get(n, 0)]
-        if not spare:
-            return True
-        ascending = spare[::-1]
-        if ascending[0] <= waste:
-            return False
-        for n in taken:
-            at = bisect_left(ascending, n + 1)
-            if at < len(ascending) and ascending[at] <= n + waste:
-                return False
-        return True
-
-    def walk(i: int, left: int, chosen: list[tuple[int, int]]) -> Iterator[tuple[int, Filling]]:
-        best = (reach[i] & ((1 << (left + 1)) - 1)).bit_length() - 1
-        if left - best > allowed:
-            return
-        while i < len(lengths) and lengths[i] > left:
-            i += 1
-        if i == len(lengths):
-            if undominated(chosen, left):
-                yield left, tuple(chosen)
-            return
-        for k in range(min(counts[lengths[i]], left // lengths[i]), -1, -1):
-            yield from walk(i + 1, left - k * lengths[i], [*chosen, (lengths[i], k)] if k else chosen)
 
-    yield from walk(0, room, [])
+def _undominated(chosen: list[tuple[int, int]], waste: int, ascending: list[int], counts: dict[int, int]) -> bool:
+    taken = dict(chosen)
+    for n in (0, *taken):  # 0: what fits in besides
+        at = bisect_right(ascending, n)
+        while at < len(ascending) and ascending[at] <= n + waste:
+            if counts[ascending[at]] > taken.get(ascending[at], 0):
+                return False
+            at += 1
+    return True
 
 
 def complete_bins(counts: dict[int, int], capacity: int, max_steps: int = MAX_STEPS, max_branches: int = MAX_BRANCHES) -> list[tuple[Filling, int]]:
@@ -245,13 +259,9 @@ def complete_bins(counts: dict[int, int], capacity: int, max_steps: int = MAX_ST
             rest = dict(state)
             rest[longest] -= 1
             lengths = sorted((n for n, c in rest.items() if c and n <= capacity - longest), reverse=True)
-            tried = 0
-            for gap, extra in fillings(lengths, rest, capacity - longest, spare):
+            for gap, extra in fillings(lengths, rest, capacity - longest, spare, max_branches):
                 options.append((gap, ((longest, 1), *extra) if not extra or extra[0][0] != longest else ((longest, 1 + extra[0][1]), *extra[1:])))
-                tried += 1
-                if gap == 0 or tried == max_branches:
-                    break
-            options.sort(key=lambda x: -x[0])  # the least waste is taken from the end
+            options.reverse()  # the least waste is taken from the end
         if options:
             stack.append((state, made, sequences, waste, options))
         while stack and not stack[-1][4]:
