@@ -147,7 +147,8 @@ def top_k(
                     score = rows @ points.T
                     score[batch.column(1).to_numpy()[:, None] == known[None]] = -np.inf
                     bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(rows), -np.inf)
-                    bound = np.maximum(bound, batch.column(4).to_numpy())
+                    # Sums of products may differ in their last digits from one block to another.
+                    bound = np.maximum(bound, batch.column(4).to_numpy()) - 1e-12 * np.sqrt(norm2 * most)
                     first = np.lexsort((dist, away), axis=1)[:, 0] if len(number) > 1 else np.zeros(len(rows), int)
                     if home:
                         meets = np.zeros(away.shape, dtype=bool)
