@@ -16,8 +16,18 @@ def clean_name(name: str) -> str:
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
-    """Rename every column; only the schema changes."""
-    return df.toDF(*[clean_name(c) for c in df.columns])
+    """Rename every column; only the schema changes. Of names that become equal, ignoring case, the
+    later ones get a number: ``a b`` and ``a.b`` become ``a_b`` and ``a_b_2``."""
+    taken: set[str] = set()
+    names = []
+    for name in map(clean_name, df.columns):
+        number, free = 1, name
+        while free.lower() in taken:
+            number += 1
+            free = f"{name}_{number}"
+        taken.add(free.lower())
+        names.append(free)
+    return df.toDF(*names)
 
 
 def clean_value(value: Column) -> Column:

@@ -212,17 +212,22 @@ def tune_in_stages(
         scores = search.fit(data).avgMetrics
         for g, s in zip(grid, scores):
             full = {**best, **g}
-            tried.append((number, *[full[k] for k in ("stepSize", "maxIter", "maxDepth", "minInstancesPerNode")], float(s)))
+            node = max(full["minInstancesPerNode"], int(rows * full.get("minWeightFractionPerNode", 0.0)))
+            tried.append((number, *[full[k] for k in ("stepSize", "maxIter", "maxDepth")], node, float(s)))
         choose = max if judge.isLargerBetter() else min
         return {**best, **grid[scores.index(choose(scores))]}
 
     best = stage(1, [{"stepSize": r, "maxIter": t} for r in rates or RATES for t in trees or TREES], start)
-    nodes = sorted({max(1, int(rows * s)) for s in split_shares or SPLIT_SHARES})
-    best = stage(2, [{"maxDepth": d, "minInstancesPerNode": n} for d in depths or DEPTHS for n in nodes], best)
+    # As shares of all rows: a row count may not fit the 32-bit setting.
+    shares = sorted(set(split_shares or SPLIT_SHARES))
+    grid = [
+        {"maxDepth": d, "minInstancesPerNode": 1, "minWeightFractionPerNode": s} for d in depths or DEPTHS for s in shares
+    ]
+    best = stage(2, grid, best)
     stage(
         3,
         [{"stepSize": best["stepSize"] / s, "maxIter": best["maxIter"] * s} for s in [1, *(slower or SLOWER)]],
         best,
     )
-    schema = "stage int, rate double, trees int, depth int, node_rows int, " + f"{metric_name} double"
+    schema = "stage int, rate double, trees int, depth int, node_rows long, " + f"{metric_name} double"
     return df.sparkSession.createDataFrame(tried, schema)

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from featurelab.functions import genes
 from featurelab.functions.draws import SEED, integer, uniform
-from featurelab.sources.work import cut_lineage
+from featurelab.sources.work import cut_lineage, materialize
 
 # Share of equal individuals that counts as standing still, and how many
 # such generations end a run of the generic search and of the feature search.
@@ -213,8 +213,10 @@ def score_once(
     keys: list[str],
     version: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Score each unseen genome once and join all scores back: (population, new memo)."""
-    fresh = score(unscored(population, solutions, keys)).withColumn("version", F.lit(version))
+    """Score each unseen genome once and join all scores back: (population, new memo).
+
+    New scores are written before the population and the memo are joined with them."""
+    fresh = materialize(score(unscored(population, solutions, keys)).withColumn("version", F.lit(version)), "fresh")
     memo = remember(solutions, fresh.select(*keys, "score", "version"), keys)
     return population.drop("score").join(memo.select(*keys, "score"), keys), memo
 
@@ -232,7 +234,7 @@ def likeness(solutions: DataFrame, length: int, run: str = "run_id", warn_below:
     """Mean share of equal genes between a genome and all others with its score.
 
     Counting the ones of each gene per (run, score) gives the exact mean over all pairs
-    of a genome without forming a pair.
+    of a genome without forming a pair. The warning is on that mean, which can hide a single unlike pair.
     """
     positions = range(1, length + 1)
     group = solutions.groupBy(run, "score").agg(
@@ -243,14 +245,11 @@ def likeness(solutions: DataFrame, length: int, run: str = "run_id", warn_below:
     )
     members = solutions.join(group.filter(F.col("equal_scores") > 0), [run, "score"])
     n = F.col("equal_scores") + 1
-    agreeing = [
-        F.when(F.substring("genome", i, 1) == "1", F.col("_ones")[i - 1]).otherwise(
-            n - F.col("_ones")[i - 1]
-        )
-        for i in positions
-    ]
+    agreeing = F.zip_with(
+        F.split("genome", ""), F.col("_ones"), lambda gene, ones: F.when(gene == "1", ones).otherwise(n - ones)
+    )
     # A genome agrees with itself on every gene: take it out of the count.
-    same = sum(agreeing[1:], agreeing[0]) - length
+    same = F.aggregate(F.slice(agreeing, 1, length), F.lit(0).cast("bigint"), lambda a, x: a + x) - length
     mean = same / (F.col("equal_scores") * length)
     return (
         members.withColumn("likeness", mean)

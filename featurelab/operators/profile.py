@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from featurelab.functions.names import clean_columns, clean_values
 from featurelab.operators.clean import clamp_negative
@@ -29,10 +29,16 @@ def _double(column: str) -> Column:
     return F.col(column).cast("double")
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN of floating columns as NULL: both mean that there is no value."""
+    floating = [f.name for f in df.schema if isinstance(f.dataType, (FloatType, DoubleType))]
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floating})
+
+
 def group_sum(df: DataFrame, keys: list[str], values: list[str] | None = None) -> DataFrame:
     """Sum of the numeric columns by key; a group with no value sums to 0."""
     names = values or [c for c in numeric_columns(df) if c not in keys]
-    return df.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return without_nan(df).groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
 
 
 def classify_columns(df: DataFrame) -> DataFrame:
@@ -52,8 +58,9 @@ def classify_columns(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """count, mean, std (n-1), min, quartiles and max, one row per column."""
+    """count, mean, std (n-1), min, quartiles and max, one row per column; NaN counts as NULL."""
     names = columns or numeric_columns(df)
+    df = without_nan(df)
     quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
     rows = [
         F.struct(
@@ -95,22 +102,23 @@ def category_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def describe_strings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Non-null count, distinct values and the top value (ties: smallest text first)."""
-    counts = category_counts(df, columns)
-    # Smallest text among the most frequent values: first by count, then by value.
-    best = F.max(F.col("count"))
-    per_column = counts.groupBy("column").agg(
-        F.sum("count").alias("count"), F.count(F.lit(1)).alias("unique"), best.alias("top_count")
-    )
-    top = (
-        counts.join(
-            F.broadcast(per_column.select("column", F.col("top_count").alias("count"))),
-            ["column", "count"],
-        )  # one row per column of the schema
+    """Non-null count, distinct values and the top value (ties: smallest text first).
+
+    A column without a value has count and unique 0 and no top."""
+    names = columns or string_columns(df)
+    told = (
+        category_counts(df, names)
         .groupBy("column")
-        .agg(F.min("value").alias("top"))
+        .agg(
+            F.sum("count").alias("count"), F.count(F.lit(1)).alias("unique"),
+            F.min(F.struct((-F.col("count")).alias("less"), "value")).alias("first"),
+        )
+    )
+    every = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    return every.join(told, "column", "left").select(
+        "column", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("unique", F.lit(0)).alias("unique"),
+        F.col("first.value").alias("top"), (-F.col("first.less")).alias("top_count"),
     )
-    return per_column.join(top, "column").select("column", "count", "unique", "top", "top_count")
 
 
 def rare_categories(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -145,6 +153,7 @@ def outlier_counts(
 ) -> DataFrame:
     """Rows at or above mean + k standard deviations, for each column and k: two scans, no join."""
     names = columns or numeric_columns(df)
+    df = without_nan(df)
     moments = _moments(df, names)
     cells = []
     for c in names:
@@ -177,7 +186,8 @@ def fold_rare(
 
 
 def z_score(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - mean) / std (n-1); a constant column gives NULL."""
+    """(x - mean) / std (n-1); a constant column gives NULL, and so does NaN."""
+    df = without_nan(df)
     moments = _moments(df, columns)
     return df.withColumns(
         {
@@ -188,7 +198,8 @@ def z_score(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Scale to [0, 1]; a constant column gives 0."""
+    """Scale to [0, 1]; a constant column gives 0, NaN gives NULL."""
+    df = without_nan(df)
     ends = df.agg(
         F.struct(
             *[F.min(_double(c)).alias(f"min_{c}") for c in columns],

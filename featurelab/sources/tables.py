@@ -12,6 +12,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 # Quotes inside a quoted field are doubled, as other CSV tools write them.
 _CSV = {"header": True, "escape": '"'}
+# A value that does not fit its type, or a row of another length, stops the scan instead of being lost.
+_STRICT = {"mode": "FAILFAST"}
 
 
 def read_csv(
@@ -20,9 +22,9 @@ def read_csv(
     """CSV with a header row. Without a schema the types are inferred, which costs one more scan.
 
     ``options`` go to the reader; ``multiLine=True`` reads line breaks inside quotes, at the
-    price of one task per file.
+    price of one task per file. A malformed row raises an error; ``mode="PERMISSIVE"`` reads on.
     """
-    reader = spark.read.options(**_CSV, **options)
+    reader = spark.read.options(**{**_CSV, **_STRICT, **options})
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="featurelab-")
     context.setCheckpointDir(named)
@@ -34,15 +35,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/featurelab/{name}-{uuid.uuid4().hex}"
 
 
-def few_partials(df: DataFrame) -> DataFrame:
-    """Input splits grouped, without a shuffle, into a few tasks per core.
-
-    For steps that send on one partial result per task: their number then follows the
-    cluster, not the data.
-    """
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: columnar, pruned by later scans, and
     safe when executors are lost. For tables that several jobs scan."""

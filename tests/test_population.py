@@ -150,3 +150,27 @@ def test_evolution_does_not_depend_on_partitions(spark):
         final = pop.evolve(start, pop.ones_score, 3)
         found.append(sorted((r["run_id"], r["idx"], r["genome"]) for r in final.collect()))
     assert found[0] == found[1]
+
+
+def test_likeness_of_long_genomes(spark):
+    genomes = ["1" * 784, "1" * 392 + "0" * 392, "0" * 784]
+    table = spark.createDataFrame([(0, g, 1.0) for g in genomes], "run_id int, genome string, score double")
+    got = {r["genome"]: r["likeness"] for r in pop.likeness(table, 784).collect()}
+    assert got == {genomes[0]: 0.25, genomes[1]: 0.5, genomes[2]: 0.25}
+
+
+def test_new_genomes_are_scored_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(df):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(count, df.schema).withColumn("score", F.lit(1.0))
+
+    people = spark.createDataFrame([("01",), ("01",), ("10",)], "genome string").withColumn("score", F.lit(None).cast("double"))
+    memo = spark.createDataFrame([], "genome string, score double, version int")
+    scored, after = pop.score_once(people, memo, score, ["genome"])
+    assert scored.count() == 3 and after.count() == 2 and seen.value == 2

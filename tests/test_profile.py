@@ -117,3 +117,17 @@ def test_decimal_and_whole_columns(spark):
     assert [r["d"] for r in profile.z_score(df, ["d"]).collect()] == pytest.approx([r["x"] for r in profile.z_score(df, ["x"]).collect()])
     assert profile.min_max(df, ["d", "i"]).count() == 4 and profile.label_likes(df, "d", 1.0).count() == 4
     assert profile.group_sum(df, ["i"]).count() == 4
+
+
+def test_nan_counts_as_null(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", float("nan"))], "k string, x double")
+    row = profile.describe_numeric(df, ["x"]).first()
+    assert (row["count"], row["mean"], row["max"]) == (2, 1.5, 2.0)
+    assert profile.group_sum(df, ["k"]).first()["x"] == 3.0
+    assert [r["x"] for r in profile.min_max(df, ["x"]).select("x").collect()] == [0.0, 1.0, None]
+
+
+def test_text_column_without_values_is_described(spark):
+    df = spark.createDataFrame([("b", None), ("a", None)], "t string, n string")
+    got = {r["column"]: tuple(r)[1:] for r in profile.describe_strings(df).collect()}
+    assert got == {"t": (2, 2, "a", 1), "n": (0, 0, None, None)}
