@@ -217,7 +217,7 @@ def near_duplicates(
     found = materialize(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     points = materialize(found.groupBy("fingerprint").agg(F.min("id").alias("first")), "points")
     links = fingerprint_links(points, max_bits, tree_sample, shard_size)
-    roots = connected_components(links).withColumnRenamed("node", "fingerprint")
+    roots = connected_components(materialize(links, "links")).withColumnRenamed("node", "fingerprint")
     linked = materialize(roots.join(points, "fingerprint"), "linked")
     low = materialize(linked.groupBy("root").agg(F.min("first").alias("low")), "lowest")
     moved = linked.join(low, "root").select("fingerprint", "low")
