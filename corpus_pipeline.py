@@ -25,19 +25,20 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of every group of near copies.
 
-    Of rows that repeat that id one stays. Groups whose ids are all NULL keep their rows.
+    Of rows that repeat that id one stays. A row with a NULL id goes where its group has an id; if the
+    ids of some group are all NULL, rows with a NULL id stay.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), width=3, max_bits=2, seed=42)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(materialize(first, "first"), "doc_id", "left_semi")
-    # Only ids that repeat are looked at again, by a digest of the row.
-    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    found = materialize(simhash.near_duplicates(docs.select("doc_id", "text"), width=3, max_bits=2, seed=42), "groups")
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    # Always a merge join: the texts are dealt out once, at any size.
+    kept = docs.join(materialize(first, "first").hint("merge"), "doc_id")
     by = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    single = kept.join(repeated, "doc_id", "left_anti")
-    one = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(by)).where("_nth = 1")
-    nameless = found.where("component_id is null").limit(1).count()
-    rest = docs.where("doc_id is null") if nameless else docs.limit(0)
-    return single.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(rest.select(*docs.columns))
+    single = kept.where("_rows = 1")
+    one = kept.where("_rows > 1").withColumn("_nth", F.row_number().over(by)).where("_nth = 1")
+    out = single.select(*docs.columns).unionByName(one.select(*docs.columns))
+    if found.where("component_id is null").limit(1).count():
+        out = out.unionByName(docs.where("doc_id is null").select(*docs.columns))
+    return out
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
