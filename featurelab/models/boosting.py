@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
@@ -135,7 +136,7 @@ def fit_classifier(
         errors = [-r["auc"] for r in rows]
         rounds = stop_round(errors, patience) or errors.index(min(errors)) + 1
     model = estimator.copy({estimator.maxIter: rounds}).fit(data)
-    last = margins(model, data).filter(F.col("round") == rounds)
+    last = model.transform(data).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     auc = roc_auc(last, "label", "margin").select("auc").scalar()
     report = last.agg(
         F.count(F.lit(1)).alias("rows"),

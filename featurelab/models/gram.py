@@ -49,6 +49,11 @@ class Moments:
         at = [1 + i for i in picked]
         return sums[at] / n + self.shift[picked], sums[-1] / n + self.shift[-1]
 
+    def squared_error(self, intercept: float, coef: np.ndarray) -> float:
+        """Sum of squared errors of a linear fit with one coefficient per feature on these rows."""
+        away = np.concatenate([[intercept + coef @ self.shift[:-1] - self.shift[-1]], coef, [-1.0]])
+        return max(0.0, float(away @ self.products @ away))
+
 
 def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])

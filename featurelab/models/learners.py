@@ -104,8 +104,8 @@ def extra_trees(trees: int, depth: int = 30, cuts: int = 15, seed: int = SEED):
     thresholds, all rows and no bootstrap; the trees are averaged."""
     def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
         ends = train.agg(*[F.struct(F.min(c), F.max(c)) for c in features]).first()
-        stages = []
-        for t in range(trees):
+
+        def grown(t: int):
             draw = random.Random(f"{seed}|{t}")
             names = [f"_x{i}" for i in range(len(features))]
             splits = []
@@ -120,7 +120,9 @@ def extra_trees(trees: int, depth: int = 30, cuts: int = 15, seed: int = SEED):
             )
             cut = Pipeline(stages=[cutter, VectorAssembler(inputCols=names, outputCol=_VECTOR)])
             prepare = cut.fit(train)
-            stages.append((prepare, tree.fit(prepare.transform(train)), names))
+            return prepare, tree.fit(prepare.transform(train)), names
+
+        stages = side_by_side([partial(grown, t) for t in range(trees)], JOBS)
 
         def predict(df: DataFrame) -> DataFrame:
             scored, columns = df, [f"_p{t}" for t in range(trees)]
@@ -171,12 +173,14 @@ def ada_boost(
             away = F.abs(F.col("_y") - F.col("prediction"))
             scored = model.transform(data).withColumn("_away", away)
             # Weights are left unnormalised: only their shares enter.
-            worst = scored.agg(F.max("_away").alias("m")).first()["m"]
+            worst, far, weight = scored.agg(
+                F.max("_away"), F.sum(F.col("_w") * F.col("_away")), F.sum("_w")
+            ).first()
             if not worst:
                 models.append(model)
                 votes.append(1.0)
                 break
-            loss = scored.agg((F.sum(F.col("_w") * F.col("_away")) / F.sum("_w") / worst).alias("l")).first()["l"]
+            loss = far / weight / worst
             if loss >= 0.5:
                 if not models:
                     models.append(model)

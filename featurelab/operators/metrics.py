@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from featurelab.operators.ranks import SPREAD_BUCKETS, range_bucket
+from featurelab.sources.work import materialize
 
 _SMALLEST_P = 1e-15
 
@@ -80,7 +81,8 @@ def roc_auc(
     cells = df.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )
-    ranged = _ranged(df, cells, score, buckets)
+    # Written once; the bounds are sketched from the distinct scores, so that no range grows with a hot one.
+    ranged = range_bucket(materialize(cells, "scores"), "_score", "_range", buckets)
     inside = Window.partitionBy(*keys, "_range").orderBy("_score")
     below = F.coalesce(
         F.sum("_neg").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -95,9 +97,3 @@ def roc_auc(
     return total.groupBy(*keys).agg(
         F.try_divide(F.sum("_area"), (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc")
     )
-
-
-def _ranged(df: DataFrame, cells: DataFrame, score: str, buckets: int) -> DataFrame:
-    # The bounds come from the raw rows: a sketch in one scan without a shuffle.
-    raw = df.select(F.col(score).cast("double").alias("_score"))
-    return range_bucket(cells, "_score", "_range", buckets, sample_of=raw)

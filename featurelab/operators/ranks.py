@@ -27,16 +27,13 @@ def range_bucket(
     column: str,
     out: str,
     buckets: int = SPREAD_BUCKETS,
-    sample_of: DataFrame | None = None,
 ) -> DataFrame:
     """Number rows by ascending ranges of ``column`` holding about equally many rows.
 
-    The bounds are sketched from ``sample_of`` (by default the table itself). Equal values
-    share a range, so callers fold them to one row first or break ties inside it.
+    Equal values share a range, so callers fold them to one row first or break ties inside it.
     """
     probabilities = [i / buckets for i in range(1, buckets)]
-    source = df if sample_of is None else sample_of
-    inner = source.approxQuantile(column, probabilities, 0.25 / buckets)
+    inner = df.approxQuantile(column, probabilities, 0.25 / buckets)
     splits = [float("-inf"), *sorted(set(inner)), float("inf")]
     if len(splits) < 3:
         return df.withColumn(out, F.lit(0.0))

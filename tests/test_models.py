@@ -71,6 +71,42 @@ def test_mask_scores_match_numpy(spark, data, metric):
         assert scorer.known[g] == pytest.approx(-np.mean(errors) - 1e-5 * len(picked), rel=1e-9)
 
 
+@pytest.mark.parametrize("metric", ["mse", "rmse", "r2"])
+def test_squared_errors_need_no_scan(data, metric, monkeypatch):
+    pdf, df = data
+    folded = folds.random_folds(df, "row_id", 3)
+    fold = folded.select("row_id", "fold").toPandas().set_index("row_id")["fold"].reindex(pdf["row_id"]).to_numpy()
+    scorer = masks.LinearScorer(folded, FEATURES, "y", metric=metric, clip_negative=False)
+    monkeypatch.setattr(scorer, "_scanned", None)
+    scorer.score(["0110", "1111"])
+    for genome, picked in (("0110", FEATURES[1:3]), ("1111", FEATURES)):
+        errors = []
+        for k in range(3):
+            w = lstsq(pdf[fold != k][picked].to_numpy(), pdf[fold != k]["y"].to_numpy())
+            y = pdf[fold == k]["y"].to_numpy()
+            away = np.square(y - w[0] - pdf[fold == k][picked].to_numpy() @ w[1:])
+            errors.append({
+                "mse": away.mean(), "rmse": np.sqrt(away.mean()), "r2": away.sum() / np.square(y - y.mean()).sum() - 1,
+            }[metric])
+        assert scorer.known[genome] == pytest.approx(-np.mean(errors) - 1e-5 * len(picked), rel=1e-9)
+
+
+def test_thousands_of_masks_take_one_scan(spark, monkeypatch):
+    names = [f"f{i}" for i in range(13)]
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(300, 13)), columns=names).assign(y=rng.normal(size=300) + 3, fold=np.arange(300) % 3)
+    scorer = masks.LinearScorer(spark.createDataFrame(pdf), names, "y")
+    scans, scanned = [], scorer._scanned
+    monkeypatch.setattr(scorer, "_scanned", lambda weights: scans.append(weights.shape) or scanned(weights))
+    genomes = [f"{i:013b}" for i in range(1, 5001)]
+    scorer.score(genomes)
+    assert scans == [(3, 14, 5000)]
+    monkeypatch.setattr(masks, "_SCAN_BYTES", 8 * 3 * 15 * 20)  # twenty masks a scan
+    again = masks.LinearScorer(spark.createDataFrame(pdf), names, "y")
+    again.score(genomes[:50])
+    assert {g: scorer.known[g] for g in genomes[:50]} == pytest.approx(again.known)
+
+
 def test_masks_beyond_a_page_are_scored_too(spark, data):
     _, df = data
     folded = folds.random_folds(df, "row_id", 3)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featurelab.operators import clean, folds, metrics, profile, temporal
-from featurelab.operators.ranks import exact_quantiles
+from featurelab.operators.ranks import exact_quantiles, range_bucket
 
 ROWS = 6000
 
@@ -65,6 +65,27 @@ def test_auc_of_a_hot_score(hot):
     assert metrics.roc_auc(df, "label", "x", buckets=16).first()["auc"] == pytest.approx(want)
 
 
+def test_auc_when_nearly_all_scores_are_equal(spark, monkeypatch):
+    df = spark.range(200_000).select(
+        F.when(F.col("id") % 2000 == 0, F.col("id")).otherwise(0).cast("double").alias("x"),
+        (F.col("id") % 3 == 0).cast("int").alias("label"),
+    )
+    held = []
+
+    def watched(cells, column, out, buckets):
+        ranged = range_bucket(cells, column, out, buckets)
+        held.extend(r["count"] for r in ranged.groupBy(out).count().collect())
+        return ranged
+
+    monkeypatch.setattr(metrics, "range_bucket", watched)
+    got = metrics.roc_auc(df, "label", "x", buckets=10).first()["auc"]
+    pdf = df.toPandas()
+    ranks, pos = pdf["x"].rank(), pdf["label"] == 1
+    want = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (float(pos.sum()) * (~pos).sum())
+    assert got == pytest.approx(want)
+    assert sum(held) == 100 and max(held) <= 20
+
+
 def test_copies_of_a_hot_row(hot):
     pdf, df = hot
     folded = folds.random_folds(df, "id", 4)
