@@ -11,7 +11,9 @@ from featurelab.sources.tables import read_table
 
 QUERIES, ORACLE = {}, {}
 
-_LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE_NUMBERS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
 _LIKE_THRESHOLD = 1.5
 
 
@@ -26,7 +28,7 @@ def group_sum(spark, sf):
 def column_classes(spark, sf):
     orders = read_table(spark, sf, "orders")
     part = F.split_part("o_orderpriority", F.lit("-"), F.lit(1))
-    return profile.classify_columns(orders.drop("o_orderdate").withColumn("priority_code", part))
+    return profile.classify_columns(orders.withColumn("priority_code", part))
 
 
 def numeric_describe(spark, sf):
@@ -35,12 +37,8 @@ def numeric_describe(spark, sf):
     return report.select("column", "count", *[rounded(c).alias(c) for c in numbers])
 
 
-def _categories(spark, sf):
-    return read_table(spark, sf, "documents").select("lang", "source")
-
-
 def string_describe(spark, sf):
-    return profile.describe_strings(_categories(spark, sf)).drop("top_count")
+    return profile.describe_strings(read_table(spark, sf, "documents")).drop("top_count")
 
 
 def category_counts(spark, sf):
@@ -71,7 +69,7 @@ def z_score(spark, sf):
 
 def median_mad(spark, sf):
     lines = read_table(spark, sf, "lineitem")
-    found = profile.medians_and_mads(lines, ["l_extendedprice", "l_quantity"])
+    found = profile.medians_and_mads(lines, _LINE_NUMBERS)
     rows = [(c, *pair) for c, pair in found.items()]
     report = spark.createDataFrame(rows, "column string, median double, mad double")
     return report.select("column", rounded("median").alias("median"), rounded("mad").alias("mad"))
@@ -168,6 +166,7 @@ SELECT CAST(agency AS BIGINT) AS agency, product, CAST(date AS VARCHAR) AS date,
 SELECT * FROM (VALUES ('o_orderkey', 1::BIGINT), ('o_custkey', 1), ('o_totalprice', 1)) t("column", is_numeric)
 UNION ALL SELECT 'o_orderstatus', CAST(count(o_orderstatus) = count(TRY_CAST(o_orderstatus AS DOUBLE)) AS BIGINT) FROM orders
 UNION ALL SELECT 'o_orderpriority', CAST(count(o_orderpriority) = count(TRY_CAST(o_orderpriority AS DOUBLE)) AS BIGINT) FROM orders
+UNION ALL SELECT 'o_orderdate', 0
 UNION ALL SELECT 'priority_code', CAST(count(p) = count(TRY_CAST(p AS DOUBLE)) AS BIGINT)
           FROM (SELECT split_part(o_orderpriority, '-', 1) AS p FROM orders)""",
     numeric_describe=_DESCRIBE,
@@ -176,7 +175,7 @@ UNION ALL SELECT 'priority_code', CAST(count(p) = count(TRY_CAST(p AS DOUBLE)) A
 SELECT '{c}' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
        (SELECT {c} FROM documents WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1) AS top
 FROM (SELECT {c}, count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY 1)"""
-        for c in ["lang", "source"]
+        for c in ["text", "lang", "source"]
     ),
     category_counts=_CATEGORIES,
     rare_categories=f"""
@@ -196,7 +195,7 @@ FROM customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM cus
         f"""
 SELECT '{c}' AS "column", round(any_value(m), 4) AS median, round(quantile_cont(abs({c} - m), 0.5), 4) AS mad
 FROM lineitem, (SELECT quantile_cont({c}, 0.5) AS m FROM lineitem)"""
-        for c in ["l_extendedprice", "l_quantity"]
+        for c in _LINE_NUMBERS
     ),
     mad_outliers=f"WITH {_MAD} SELECT c_custkey, CAST(bad AS BIGINT) AS outlier FROM f",
     like_labels=f"""

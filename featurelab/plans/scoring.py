@@ -7,7 +7,7 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import functions as F
 
 from featurelab.functions.genes import random_genome
-from featurelab.models import boosting, learners
+from featurelab.models import boosting, layers, learners
 from featurelab.models.gram import fold_moments, least_squares, linear_prediction
 from featurelab.models.masks import LearnerScorer, LinearScorer, score_masks, search_masks
 from featurelab.operators import folds, metrics
@@ -144,6 +144,30 @@ def feature_search(spark, sf):
     )
 
 
+_BASELINE = ["n", "price", "tax"]
+_OUTPUTS = {"linear_N_0_M_0": "qty", "linear_N_0_M_1": "disc"}
+
+
+def output_feature_search(spark, sf):
+    """Searches over baseline features and the out-of-fold outputs of a layer trained before."""
+    facts, one = _prepared(spark, sf), learners.learner("linear")
+    neurons = [layers.Neuron(name, 0, one, [feature], []) for name, feature in _OUTPUTS.items()]
+    outputs = layers.train_layers(facts, neurons, _FOLDS)
+    table = materialize(layers.neuron_inputs(facts, outputs, _BASELINE, list(_OUTPUTS)), "inputs")
+    names = [*_BASELINE, *_OUTPUTS]
+    group = F.floor(F.col("s_suppkey") / 50).cast("bigint")
+    runs = read_table(spark, sf, "supplier").groupBy(group.alias("run_id")).agg(
+        F.count(F.lit(1)).cast("int").alias("n")
+    ).withColumns({"pc": F.lit(0.22), "pm": F.lit(0.1)})
+    scorer = LinearScorer(table, names, "y")
+    found = search_masks(runs, scorer, _BASELINE, _SEARCH_ITERATIONS, exmodel=list(_OUTPUTS))
+    named = pop.with_features(found, _BASELINE, list(_OUTPUTS))
+    return named.select(
+        "run_id", F.col("idx").cast("bigint"), "genome", rounded("score", 6).alias("score"),
+        F.array_join("baseline_features", ",").alias("features"), F.array_join("exmodel_features", ",").alias("outputs"),
+    )
+
+
 def settings_sweep_masks(spark, sf):
     """Settings read from the suppliers' draws, each scored by a feature search under them."""
     scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y")
@@ -264,6 +288,7 @@ QUERIES.update(
     single_feature_scores=single_feature_scores, mask_scores=mask_scores,
     tree_mask_scores=tree_mask_scores, feature_search=feature_search, tree_feature_search=tree_feature_search,
     settings_sweep_masks=settings_sweep_masks, search_solutions=search_solutions,
+    output_feature_search=output_feature_search,
     feature_pair_scores=feature_pair_scores, multinomial_classes=_bayes("multinomial"),
     gaussian_classes=_bayes("gaussiannb"),
     model_restore=model_restore, elastic_net_fit=elastic_net_fit,
@@ -301,6 +326,48 @@ start AS (SELECT run_id, idx, any_value(n) AS n, 0.22 AS pc, 0.1 AS pm,
           FROM places GROUP BY run_id, idx)"""
 
 
+def _sql_output_search(per_run: int, count: int) -> str:
+    """Searches over the baseline features and the outputs of the first layer."""
+    names, base, more = [*_BASELINE, *_OUTPUTS], len(_BASELINE), len(_OUTPUTS)
+    total = sql_int("1001", "run_id", "idx", "'total'")
+    some = sql_int(str(base + 1), "run_id", "idx", "'baseline'")
+    fits = ", ".join(
+        f"regr_slope(y, {c}) AS s_{c}, regr_intercept(y, {c}) AS i_{c}" for c in _OUTPUTS.values()
+    )
+    wide = ", ".join(f"i_{c} + s_{c} * {c} AS {name}" for name, c in _OUTPUTS.items())
+
+    def genes(part: str, size: int, wanted: str) -> str:
+        return f"""
+bits_{part} AS (
+  SELECT run_id, idx, string_agg(CASE WHEN place <= {wanted} THEN '1' ELSE '0' END, '' ORDER BY i) AS genes
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id, idx ORDER BY {sql_draw("run_id", "idx", f"'{part}'", "i")}, i) AS place
+        FROM people, range(0, {size}) t(i)) GROUP BY run_id, idx)"""
+
+    steps, last = mask_sql.search("start", len(names), count)
+    parts = [
+        _FOLDED,
+        f"fits AS (SELECT k, {fits} FROM b, range(0, {_FOLDS}) t(k) WHERE fold <> k GROUP BY k)",
+        f"wide AS MATERIALIZED (SELECT b.*, {wide} FROM b JOIN fits ON fold = k)",
+        mask_sql.every_mask(len(names)), *mask_sql.mask_scores("wide", "masks", names, _FOLDS, 1000),
+        f"runs AS (SELECT s_suppkey // {per_run} AS run_id, count(*) AS n FROM supplier GROUP BY 1)",
+        f"""people AS (SELECT *, least(total - wanted, {more}) AS extra FROM (
+              SELECT run_id, idx, n, {total} AS total, least({some}, {total}) AS wanted
+              FROM runs, range(0, {per_run}) t(idx) WHERE idx < n))""",
+        genes("b", base, "wanted"), genes("x", more, "extra"),
+        """start AS (SELECT run_id, idx, n, 0.22 AS pc, 0.1 AS pm, b.genes || x.genes AS genome
+             FROM people JOIN bits_b b USING (run_id, idx) JOIN bits_x x USING (run_id, idx))""",
+        *steps,
+    ]
+
+    def named(columns: list[str], first: int) -> str:
+        picks = [f"CASE WHEN substr(genome, {first + i}, 1) = '1' THEN '{c}' END" for i, c in enumerate(columns)]
+        return f"concat_ws(',', {', '.join(picks)})"
+
+    return f"""WITH {", ".join(parts)}
+SELECT run_id, idx, genome, round(score, 6) AS score, {named(_BASELINE, 1)} AS features, {named(list(_OUTPUTS), base + 1)} AS outputs
+FROM {last}"""
+
+
 def _sql_search(start: str, count: int, select: str) -> str:
     """A search over all masks of the order features; ``select`` reads from {last}."""
     steps, last = mask_sql.search("start", _SIZE, count)
@@ -372,6 +439,7 @@ fits AS (SELECT genome, k, regr_slope(y, x) AS slope, regr_intercept(y, x) AS ba
 errors AS (SELECT l.genome, k, avg(abs(y - greatest(0, base + slope * x))) AS e
            FROM long l JOIN fits f ON l.genome = f.genome AND l.fold = f.k GROUP BY l.genome, k)
 SELECT genome, round(-avg(e) - 0.00001, 6) AS score FROM errors GROUP BY genome""",
+    output_feature_search=_sql_output_search(50, _SEARCH_ITERATIONS + 1),
     feature_pair_scores=f"""
 WITH {ORDER_FACTS}, b AS ({sql_folds("facts", "row_id", _FOLDS)}),
 long AS ({" UNION ALL ".join(
