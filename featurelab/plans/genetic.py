@@ -126,6 +126,21 @@ def genome_likeness(spark, sf):
     return alike.withColumn("likeness", rounded("likeness", 6))
 
 
+# Fixed value: genes of the longest genomes that the generic search is run with.
+_LONG = 784
+
+
+def long_genome_likeness(spark, sf):
+    """Likeness of long genomes with equally many ones, drawn for every customer."""
+    key = F.col("c_custkey")
+    people = read_table(spark, sf, "customer").select(
+        F.floor(key / RUN_SIZE).cast("bigint").alias("run_id"), genes.random_genome(_LONG, key, "long").alias("genome")
+    )
+    solutions = pop.ones_score(people).select("run_id", "genome", "score").distinct()
+    alike = pop.likeness(solutions, _LONG)
+    return alike.withColumn("likeness", rounded("likeness", 6))
+
+
 def population_overlap(spark, sf):
     before = pop.ranked(_scored(spark, sf))
     after = pop.mutated(before, 0, _PM)
@@ -214,7 +229,8 @@ QUERIES.update(
     crossover=crossover, mutation=mutation, select_best=select_best,
     population_summary=population_summary, selection_share=selection_share,
     unscored_genomes=unscored_genomes, memo_update=memo_update, batch_scores=batch_scores,
-    equal_scores=equal_scores, genome_likeness=genome_likeness, population_overlap=population_overlap,
+    equal_scores=equal_scores, genome_likeness=genome_likeness,
+    long_genome_likeness=long_genome_likeness, population_overlap=population_overlap,
     genome_features=genome_features, inconsistent_individuals=inconsistent_individuals,
     decoded_settings=decoded_settings, good_settings=good_settings, one_generation=one_generation,
     three_generations=three_generations,
@@ -336,6 +352,16 @@ WITH {_MEMO}
 SELECT a.run_id, a.genome, a.score, count(*) AS equal_scores,
        round(avg(({GENES} - hamming(a.genome, b.genome)) / {GENES}.0), 6) AS likeness,
        CAST(avg(({GENES} - hamming(a.genome, b.genome)) / {GENES}.0) < 0.95 AS BIGINT) AS unlike
+FROM memo a JOIN memo b ON a.run_id = b.run_id AND a.score = b.score AND a.genome <> b.genome GROUP BY ALL""",
+    long_genome_likeness=f"""
+WITH memo AS (
+  SELECT DISTINCT run_id, genome, CAST({_ONES} AS DOUBLE) AS score FROM (
+    SELECT c_custkey // {RUN_SIZE} AS run_id,
+           substr({" || ".join(sql_bits(sql_digest("c_custkey", "'long'", str(b))) for b in range(-(-_LONG // 32)))}, 1, {_LONG}) AS genome
+    FROM customer))
+SELECT a.run_id, a.genome, a.score, count(*) AS equal_scores,
+       round(avg(({_LONG} - hamming(a.genome, b.genome)) / {_LONG}.0), 6) AS likeness,
+       CAST(avg(({_LONG} - hamming(a.genome, b.genome)) / {_LONG}.0) < 0.95 AS BIGINT) AS unlike
 FROM memo a JOIN memo b ON a.run_id = b.run_id AND a.score = b.score AND a.genome <> b.genome GROUP BY ALL""",
     population_overlap=f"""
 WITH {_RANKED}, {sql.mutated('ranked', GENES)}

@@ -94,11 +94,14 @@ _PAIRS = [
 ]
 
 
-def feature_pair_scores(spark, sf):
-    """All masks of two features under mean squared error."""
-    scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y", metric="mse", clip_negative=False)
-    scorer.score(_PAIRS)
-    return scorer.solutions().withColumn("score", rounded("score", 4))
+def _pair_scores(metric):
+    def query(spark, sf):
+        """All masks of two features under a squared error."""
+        scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y", metric=metric, clip_negative=False)
+        scorer.score(_PAIRS)
+        return scorer.solutions().withColumn("score", rounded("score", 4))
+
+    return query
 
 
 def mask_scores(spark, sf):
@@ -289,7 +292,7 @@ QUERIES.update(
     tree_mask_scores=tree_mask_scores, feature_search=feature_search, tree_feature_search=tree_feature_search,
     settings_sweep_masks=settings_sweep_masks, search_solutions=search_solutions,
     output_feature_search=output_feature_search,
-    feature_pair_scores=feature_pair_scores, multinomial_classes=_bayes("multinomial"),
+    feature_pair_scores=_pair_scores("mse"), feature_pair_rmse=_pair_scores("rmse"), multinomial_classes=_bayes("multinomial"),
     gaussian_classes=_bayes("gaussiannb"),
     model_restore=model_restore, elastic_net_fit=elastic_net_fit,
     least_squares_fit=least_squares_fit, learner_bake_off=learner_bake_off,
@@ -326,6 +329,24 @@ start AS (SELECT run_id, idx, any_value(n) AS n, 0.22 AS pc, 0.1 AS pm,
           FROM places GROUP BY run_id, idx)"""
 
 
+def _sql_pair_scores(metric: str) -> str:
+    error = "avg((y - (my + wa * (a - ma) + wb * (b - mb))) ** 2)"
+    if metric == "rmse":
+        error = f"sqrt({error})"
+    return f"""
+WITH {ORDER_FACTS}, b AS ({sql_folds("facts", "row_id", _FOLDS)}),
+long AS ({" UNION ALL ".join(
+    f"SELECT '{g}' AS genome, fold, {a} AS a, {c} AS b, y FROM b"
+    for g, (a, c) in zip(_PAIRS, [(a, c) for i, a in enumerate(ORDER_FEATURES) for c in ORDER_FEATURES[i + 1:]]))}),
+s AS (SELECT genome, k, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_,
+             avg(a) AS ma, avg(b) AS mb, avg(y) AS my
+      FROM long, range(0, {_FOLDS}) t(k) WHERE fold <> k GROUP BY genome, k),
+w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM s),
+e AS (SELECT l.genome, k, {error} AS e
+      FROM long l JOIN w ON l.genome = w.genome AND l.fold = w.k GROUP BY l.genome, k)
+SELECT genome, round(-avg(e) - 0.00002, 4) AS score FROM e GROUP BY genome"""
+
+
 def _sql_output_search(per_run: int, count: int) -> str:
     """Searches over the baseline features and the outputs of the first layer."""
     names, base, more = [*_BASELINE, *_OUTPUTS], len(_BASELINE), len(_OUTPUTS)
@@ -439,19 +460,8 @@ fits AS (SELECT genome, k, regr_slope(y, x) AS slope, regr_intercept(y, x) AS ba
 errors AS (SELECT l.genome, k, avg(abs(y - greatest(0, base + slope * x))) AS e
            FROM long l JOIN fits f ON l.genome = f.genome AND l.fold = f.k GROUP BY l.genome, k)
 SELECT genome, round(-avg(e) - 0.00001, 6) AS score FROM errors GROUP BY genome""",
+    feature_pair_scores=_sql_pair_scores("mse"), feature_pair_rmse=_sql_pair_scores("rmse"),
     output_feature_search=_sql_output_search(50, _SEARCH_ITERATIONS + 1),
-    feature_pair_scores=f"""
-WITH {ORDER_FACTS}, b AS ({sql_folds("facts", "row_id", _FOLDS)}),
-long AS ({" UNION ALL ".join(
-    f"SELECT '{g}' AS genome, fold, {a} AS a, {c} AS b, y FROM b"
-    for g, (a, c) in zip(_PAIRS, [(a, c) for i, a in enumerate(ORDER_FEATURES) for c in ORDER_FEATURES[i + 1:]]))}),
-s AS (SELECT genome, k, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_,
-             avg(a) AS ma, avg(b) AS mb, avg(y) AS my
-      FROM long, range(0, {_FOLDS}) t(k) WHERE fold <> k GROUP BY genome, k),
-w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM s),
-e AS (SELECT l.genome, k, avg((y - (my + wa * (a - ma) + wb * (b - mb))) ** 2) AS e
-      FROM long l JOIN w ON l.genome = w.genome AND l.fold = w.k GROUP BY l.genome, k)
-SELECT genome, round(-avg(e) - 0.00002, 4) AS score FROM e GROUP BY genome""",
     model_restore=f"""
 WITH {ORDER_FACTS}, fit AS (SELECT regr_slope(y, qty) AS s, regr_intercept(y, qty) AS i FROM facts)
 SELECT row_id, round(i + s * qty, 6) AS prediction FROM facts, fit""",
