@@ -6,9 +6,10 @@ rows whatever the corpus; and its answer, a list of fillings with multiplicities
 the pieces by their number within their length. No piece passes through the driver.
 
 The search is bin completion: the longest length left is filled up with an undominated set of
-shorter ones, as often as the counts allow, with branches over other fillings. Waste is bounded by
-the best known answer: a branch that has wasted more than that answer could spare is cut. The first
-answer is best fit decreasing, and the lower bound on the number of sequences ends the search.
+shorter ones, as often as the counts allow, with branches over fewer repetitions and over all other
+such sets. Waste is bounded by the best known answer: a branch that has wasted more than that answer
+could spare is cut. The first answer is best fit decreasing. The lower bound on the number of
+sequences ends the search, or the number of its steps.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from featurelab.sources.work import materialize
 
 # Steps of the search before the best answer so far is taken.
 MAX_STEPS = 3_000
-# Fillings tried for one longest length.
-MAX_BRANCHES = 4
+# Places of a walk over the fillings of one longest length that count as a step.
+WALK = 1_000
 # Fixed value: how byte-level tokenizers cut a text into words.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -166,13 +167,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [x for room in rooms for x in free[room]]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int, most: int) -> list[tuple[int, Filling]]:
-    """At most ``most`` (waste, filling) of undominated sets that leave at most ``allowed`` of ``room``.
-
-    By waste, then longest lengths first. Which sums can be made from each place of the list on is
-    kept as bits, so that every path that is followed ends in a set. A set is dominated, and left out,
-    if one of its lengths can be replaced by a longer one still to be had, or another fits in as well.
-    """
+def _reach(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """Which sums up to ``room`` can be made from each place of the list on, as bits."""
     full = (1 << (room + 1)) - 1
     reach = [1] * (len(lengths) + 1)
     for i in range(len(lengths) - 1, -1, -1):
@@ -184,38 +180,73 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int
             left -= step
             step *= 2
         reach[i] = bits
+    return reach
+
+
+def fillings(
+    lengths: list[int], counts: dict[int, int], room: int, allowed: int, after: tuple[int, Filling] | None = None
+) -> Iterator[tuple[int, Filling] | None]:
+    """Every (waste, filling) of undominated sets that leave at most ``allowed`` of ``room``, lazily.
+
+    By waste; equal ones by their lengths, longest first and oftenest first. Only what comes after
+    ``after`` in this order, which does not depend on the counts. A set is dominated, and left out, if
+    one of its lengths can be replaced by a longer one still to be had, or another fits in as well.
+    ``None`` stands for ``WALK`` places of the walk, so that whoever reads on can stop.
+    """
+    reach = _reach(lengths, counts, room)
     ascending = lengths[::-1]
-    found: list[tuple[int, Filling]] = []
-    sums = reach[0]
-    while sums and len(found) < most:
+    taken: dict[int, int] = {}
+    walked = 0
+
+    def walk(i: int, left: int, waste: int, big: int, reach: list[int], bar: Filling | None) -> Iterator[Filling | None]:
+        # ``bar``: the rest of ``after``, while the walk has taken just what it starts with.
+        nonlocal walked
+        if not left:
+            if bar is None:
+                yield tuple(taken.items())
+            return
+        i = max(i, len(lengths) - bisect_right(ascending, left))
+        if bar is not None:
+            i = max(i, len(lengths) - bisect_right(ascending, bar[0][0]))
+        while i < big and reach[i] >> left & 1:
+            walked += 1
+            if walked % WALK == 0:
+                yield None
+            length, on = lengths[i], i - 1
+            while on >= 0 and lengths[on] <= length + waste and counts[lengths[on]] == taken.get(lengths[on], 0):
+                on -= 1
+            if on < 0 or lengths[on] > length + waste:  # no longer one to be had instead
+                tight = bar is not None and bar[0][0] == length
+                for k in range(min(counts[length], left // length, bar[0][1] if tight else left), 0, -1):
+                    if reach[i + 1] >> (left - k * length) & 1:
+                        taken[length] = k
+                        yield from walk(i + 1, left - k * length, waste, big, reach, bar[1:] if tight and k == bar[0][1] else None)
+                        del taken[length]
+            bar, i = None, i + 1
+
+    sums = reach[0] & ((1 << (room + 1 - after[0])) - 1) if after else reach[0]
+    while sums:
         total = sums.bit_length() - 1
         sums ^= 1 << total
         waste = room - total
         if waste > allowed:
-            break
-        begin = len(lengths) - bisect_right(ascending, total)
-        for head in range(begin, min(begin + 4 * most, len(lengths))):  # each path starts with another length
-            if len(found) == most:
-                break
-            chosen, left, i = [], total, head
-            while left:
-                i = max(i, len(lengths) - bisect_right(ascending, left))
-                k = min(counts[lengths[i]], left // lengths[i]) if i < len(lengths) else 0
-                while k and not reach[i + 1] >> (left - k * lengths[i]) & 1:
-                    k -= 1
-                if k:
-                    chosen.append((lengths[i], k))
-                    left -= k * lengths[i]
-                elif i == head or i >= len(lengths):
-                    break
-                i += 1
-            if not left and _undominated(chosen, waste, ascending, counts):
-                found.append((waste, tuple(chosen)))
-            if not total:
-                break
-        if not total and not found:
-            found.append((waste, ()))
-    return found
+            return
+        # What is no longer than the waste would fit in: such lengths are all taken, the others walked.
+        big = len(lengths) - bisect_right(ascending, waste)
+        small = tuple((n, counts[n]) for n in lengths[big:])
+        left = total - sum(n * c for n, c in small)
+        walked += 1
+        if walked % WALK == 0:
+            yield None
+        ways = _reach(lengths[:big], counts, room) if small and left >= 0 else reach
+        if left < 0 or not ways[0] >> left & 1:
+            continue
+        # A set that leaves the same waste has taken all small ones, so there are none if ``after`` bars here.
+        for found in walk(0, left, waste, big, ways, after[1] if after and after[0] == waste else None):
+            if found is None:
+                yield None
+            elif not small or _undominated([*found, *small], waste, ascending, counts):
+                yield waste, found + small
 
 
 def _undominated(chosen: list[tuple[int, int]], waste: int, ascending: list[int], counts: dict[int, int]) -> bool:
@@ -229,11 +260,17 @@ def _undominated(chosen: list[tuple[int, int]], waste: int, ascending: list[int]
     return True
 
 
-def complete_bins(counts: dict[int, int], capacity: int, max_steps: int = MAX_STEPS, max_branches: int = MAX_BRANCHES) -> list[tuple[Filling, int]]:
+def complete_bins(counts: dict[int, int], capacity: int, max_steps: int = MAX_STEPS) -> list[tuple[Filling, int]]:
     """Fillings with multiplicities that hold each length as often as ``counts`` says.
 
     Ends when the lower bound is met, the search is exhausted or ``max_steps`` steps are made, and
-    returns the best answer found: never worse than best fit decreasing.
+    returns the best answer found: never worse than best fit decreasing, and an optimum unless the
+    steps ended the search.
+
+    Of the optima, take the one whose sequences with the longest length are the fullest, by the fullest
+    of them first, and so on for the next longest. Its fullest sequence with the longest length left is
+    undominated, else an exchange would make it fuller. So it is enough to try every undominated filling
+    with every multiplicity, those of one longest length in one order, each at one place of it.
     """
     counts = {n: c for n, c in counts.items() if c}
     answer = best_fit(counts, capacity)
@@ -241,50 +278,62 @@ def complete_bins(counts: dict[int, int], capacity: int, max_steps: int = MAX_ST
     bound = lower_bound(counts, capacity)
     total = sum(n * c for n, c in counts.items())
     steps = 0
-    # Depth first with a stack of (counts, made so far, sequences so far, waste so far, other fillings).
-    state, made, sequences, waste = dict(counts), [], 0, 0
-    stack: list[tuple] = []
+    # Depth first. A frame is [counts, sequences and waste so far, longest length, fillings to come, the
+    # filling that is tried (waste, what is besides the longest), how often it is tried next].
+    stack: list[list] = []
+    made: list[tuple[Filling, int]] = []
+    state, sequences, waste, after = counts, 0, 0, None
     while used > bound and steps < max_steps:
         steps += 1
-        options: list[tuple[int, Filling]] = []
         spare = (used - 1) * capacity - total - waste  # what a better answer may still waste
-        if not state:
-            if sequences < used:
-                answer, used = list(made), sequences
-            spare = -1
-        elif sequences + -(-sum(n * c for n, c in state.items()) // capacity) >= used:
-            spare = -1
-        if spare >= 0:
+        if not state and sequences < used:
+            answer, used = list(made), sequences
+        elif state and spare >= 0:
             longest = max(state)
             rest = dict(state)
             rest[longest] -= 1
             lengths = sorted((n for n, c in rest.items() if c and n <= capacity - longest), reverse=True)
-            for gap, extra in fillings(lengths, rest, capacity - longest, spare, max_branches):
-                options.append((gap, ((longest, 1), *extra) if not extra or extra[0][0] != longest else ((longest, 1 + extra[0][1]), *extra[1:])))
-            options.reverse()  # the least waste is taken from the end
-        if options:
-            stack.append((state, made, sequences, waste, options))
-        while stack and not stack[-1][4]:
-            stack.pop()
-        if not stack:
+            stack.append([state, sequences, waste, longest, fillings(lengths, rest, capacity - longest, spare, after), (0, ()), 0])
+        while stack:
+            state, sequences, waste, longest, to_come, (gap, extra), times = frame = stack[-1]
+            spare = (used - 1) * capacity - total - waste
+            if times and gap * times <= spare:
+                break
+            if times:
+                frame[6] -= 1
+                continue
+            if steps >= max_steps:
+                break
+            option = next(to_come, ())
+            if option is None:  # a long walk
+                steps += 1
+            elif not option or option[0] > spare:
+                stack.pop()
+            else:
+                frame[5:] = option, min(state[n] // k for n, k in _whole(longest, option[1]))
+        if not stack or steps >= max_steps:
             break
-        state, made, sequences, waste, options = stack[-1]
-        gap, filling = options.pop()
-        spare = (used - 1) * capacity - total - waste
-        times = min(state[n] // k for n, k in filling)
-        if gap:
-            times = min(times, spare // gap)
-        if times < 1:
-            continue
+        frame[6] -= 1
+        filling = _whole(longest, extra)
+        after = (gap, extra)
         state = dict(state)
         for n, k in filling:
             state[n] -= times * k
             if not state[n]:
                 del state[n]
-        made, sequences, waste = [*made, (filling, times)], sequences + times, waste + times * gap
+        if longest not in state:
+            after = None
+        made[len(stack) - 1 :] = [(filling, times)]
+        sequences, waste = sequences + times, waste + times * gap
     return answer
 
 
+def _whole(longest: int, extra: Filling) -> Filling:
+    if extra and extra[0][0] == longest:
+        return ((longest, 1 + extra[0][1]), *extra[1:])
+    return ((longest, 1), *extra)
+
+
 def slots(answer: list[tuple[Filling, int]]) -> dict[str, np.ndarray]:
     """Where the pieces of each length go: the ones numbered from ``first`` on, ``each`` to a sequence
     from ``sequence`` on, at ``offset``. Sorted by length and first number."""

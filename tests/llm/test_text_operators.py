@@ -168,6 +168,40 @@ def test_bin_completion_finds_the_optimum():
     assert sum(t for _, t in packing.complete_bins({4: 1, 3: 2, 2: 5}, 10)) == 2
 
 
+def test_bin_completion_reaches_the_optimum_by_less_than_the_most_repetitions():
+    # In each, four sets for a longest length and each as often as it can be had need one sequence more.
+    cases = [
+        (17, [11, 11, 9, 9, 5, 5, 4, 3, 3, 3, 3], 4), (19, [10, 10, 8, 8, 8, 8, 7, 3, 3, 3, 2, 2, 2, 2], 4),
+        (26, [14, 14, 13, 13, 9, 9, 9, 9, 9, 6, 6, 6, 6], 5), (44, [22, 22, 22, 19, 19, 19, 19, 6, 6, 6, 4, 4, 4, 4], 4),
+        (38, [17, 17, 16, 15, 15, 14, 14, 7, 7, 6, 6, 6, 6, 6], 4), (29, [17, 17, 17, 15, 15, 8, 8, 8, 8, 5, 5, 5, 5], 5),
+    ]
+    for capacity, items, optimum in cases:
+        answer = packing.complete_bins(Counter(items), capacity)
+        held = Counter()
+        for filling, times in answer:
+            assert sum(n * k for n, k in filling) <= capacity
+            held.update({n: k * times for n, k in filling})
+        assert held == Counter(items) and sum(t for _, t in answer) == optimum
+
+
+def test_fillings_are_all_undominated_sets():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        room = int(rng.integers(1, 30))
+        lengths = sorted({*rng.integers(1, room + 1, int(rng.integers(1, 6))).tolist()}, reverse=True)
+        counts = {n: int(rng.integers(1, 4)) for n in lengths}
+        expected = []
+        for ks in product(*[range(counts[n], -1, -1) for n in lengths]):
+            waste = room - sum(n * k for n, k in zip(lengths, ks, strict=True))
+            others = [(0, n) for n, k in zip(lengths, ks, strict=True) if k < counts[n]]
+            others += [(m, n) for _, n in others for m, k in zip(lengths, ks, strict=True) if k and m < n]
+            if waste >= 0 and all(n - m > waste for m, n in others):
+                expected.append((waste, tuple((n, k) for n, k in zip(lengths, ks, strict=True) if k)))
+        assert list(packing.fillings(lengths, counts, room, room)) == sorted(expected, key=lambda x: x[0])
+
+
 def test_hypergeometric_draws(spark):
     rng = np.random.default_rng(0)
     for total, marked, drawn in ((50, 20, 13), (1000, 40, 500), (7, 7, 3), (5, 0, 2), (20_000, 4000, 3000)):
