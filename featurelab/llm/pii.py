@@ -1,13 +1,15 @@
 """Personal data in whole texts: exact patterns, and a linear-chain CRF for what they leave out.
 
 The patterns find e-mail and IP addresses, card and phone numbers. The CRF labels white-space tokens
-by their shape; its spans are added where no pattern span lies and the kind's own check holds, so it
+by their shape and that of the tokens before and after; its spans are added where no pattern span lies and the kind's own check holds, so it
 can find a phone number without a country code but never takes a pattern span away. It is trained
 from a small labelled table, on the driver, and decoded by Viterbi for many stretches at a time.
 
-A token without a digit, an ``@`` or a ``+`` is outside any span by constraint. A text so falls into
-short stretches of other tokens between which nothing is passed on, and decoding the stretches is
-decoding the text.
+Decoded are the tokens that hold a digit, an ``@`` or a ``+``, the words beside them, and separators
+that stand alone (as in ``212 - 555 - 0148``) with the words beside these, as far as they go. Every
+other token is outside any span by constraint: most tokens of a text are never decoded. It so falls
+into stretches between which nothing is passed on, and decoding them is decoding the text under this
+constraint.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
+_SEPARATOR = re.compile(r"[-./()]+")
+# An e-mail address whose parts stand apart, without the white space.
+_APART = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 
 
 def _digits(text: str) -> str:
@@ -87,11 +93,15 @@ def base_spans(text: str) -> list[Span]:
 # Labels: outside, and first and further token of each kind.
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 # Sizes of the buckets a token's shape is described by; see ``_shape``.
-_SIZES = (8, 2, 4, 2, 2, 4, 3, 2, 2, 2)
+_SIZES = (8, 2, 4, 2, 2, 4, 3, 2, 2, 2, 3)
+
+
+def _sort(token: str) -> int:
+    return 0 if _CANDIDATE.search(token) else 1 if _SEPARATOR.fullmatch(token) else 2
 
 
 def _shape(token: str) -> tuple[int, ...]:
-    """Buckets: digits, @, dots, leading plus, brackets, dashes, letters, other signs, all digits, leading zero."""
+    """Buckets: digits, @, dots, leading plus, brackets, dashes, letters, other signs, all digits, leading zero, sort (0: digit, @ or +; 1: separators only; 2: word)."""
     digits = sum("0" <= c <= "9" for c in token)
     letters = sum(c.isalpha() for c in token)
     other = sum(not (c.isalnum() or c in "@.+()-") for c in token.rstrip(".,;:!?"))
@@ -101,27 +111,47 @@ def _shape(token: str) -> tuple[int, ...]:
         sum(digits >= s for s in steps) - 1, int("@" in core), min(core.count("."), 3), int(token[0] == "+"),
         int("(" in core or ")" in core), min(core.count("-"), 3), (letters > 0) + (letters > 3),
         int(other > 0), int(core.isascii() and core.isdigit()), int(token[0] == "0"),
+        _sort(token),
     )
 
 
+_short_shape = lru_cache(1 << 16)(_shape)
+
+
 _STARTS = np.cumsum((0, *_SIZES[:-1]))
-_FEATURES = sum(_SIZES) + 2  # and whether the stretch goes on to the left and to the right
+_OWN = sum(_SIZES)
+_FEATURES = 3 * _OWN + 2  # own, before and after; and whether the stretch goes on to the left and to the right
 
 
 def _features(tokens: list[str]) -> np.ndarray:
     """Indices of the active features of each token of a stretch."""
-    rows = np.array([_shape(t) for t in tokens]) + _STARTS
-    left = np.where(np.arange(len(tokens)) > 0, _FEATURES - 2, _FEATURES)
-    right = np.where(np.arange(len(tokens)) < len(tokens) - 1, _FEATURES - 1, _FEATURES)
-    return np.column_stack([rows, left, right])
+    own = np.array([_short_shape(t) if len(t) <= 64 else _shape(t) for t in tokens], dtype=np.int16) + _STARTS.astype(np.int16)
+    rows = np.full((len(tokens), 3 * len(_SIZES) + 2), _FEATURES, dtype=np.int16)
+    n = len(_SIZES)
+    rows[:, :n] = own
+    rows[1:, n : 2 * n] = own[:-1] + _OWN
+    rows[:-1, 2 * n : 3 * n] = own[1:] + 2 * _OWN
+    rows[1:, 3 * n] = _FEATURES - 2
+    rows[:-1, 3 * n + 1] = _FEATURES - 1
+    return rows
 
 
 def _stretches(text: str) -> Iterator[list[tuple[str, int]]]:
-    """Runs of neighbouring tokens with a digit, an @ or a +, with their places."""
+    """Runs of neighbouring tokens that are decoded, with their places: tokens with a digit, an @ or a +;
+    separators beside a decoded token; words beside a token with such a sign or beside a decoded separator."""
+    tokens = [(m[0], m.start()) for m in _TOKEN.finditer(text)]
+    pull = [2 - _sort(t) for t, _ in tokens]
+    inside = [p == 2 for p in pull]
+    for order in (range(len(tokens)), range(len(tokens) - 1, -1, -1)):
+        beside = -1  # the pull of the token before, if it is decoded
+        for i in order:
+            if not inside[i] and (beside > 0 or beside == 0 and pull[i]):
+                inside[i] = True
+            beside = pull[i] if inside[i] else -1
     run: list[tuple[str, int]] = []
-    for m in _TOKEN.finditer(text):
-        if _CANDIDATE.search(m[0]):
-            run.append((m[0], m.start()))
+    for token, decoded in zip(tokens, inside, strict=True):
+        if decoded:
+            run.append(token)
         elif run:
             yield run
             run = []
@@ -138,7 +168,10 @@ class Crf:
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         padded = np.vstack([self.weights, np.zeros((1, len(LABELS)))])
-        return padded[features].sum(axis=-2)
+        out = np.zeros((len(features), len(LABELS)))
+        for column in features.T:
+            out += padded[column]
+        return out
 
 
 def _allowed() -> np.ndarray:
@@ -150,6 +183,13 @@ def _allowed() -> np.ndarray:
     return moves
 
 
+def _allowed_words() -> np.ndarray:
+    """A word is outside or part of an e-mail address."""
+    weights = np.zeros((_FEATURES + 1, len(LABELS)))
+    weights[_OWN - 1, [j for j, label in enumerate(LABELS) if label[2:] not in ("", "email")]] = -1e9
+    return weights
+
+
 def _gold(run: list[tuple[str, int]], spans: list[Span]) -> list[int]:
     labels = []
     for token, at in run:
@@ -168,7 +208,7 @@ def train_crf(rows: list[tuple[str, list[Span]]], steps: int = 300, rate: float
         (_features([t for t, _ in run]), np.array(_gold(run, spans))) for text, spans in rows for run in _stretches(text)
     ]
     size = len(LABELS)
-    fixed = _allowed()
+    fixed, words = _allowed(), _allowed_words()
     params = [np.zeros((_FEATURES + 1, size)), np.zeros((size, size))]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
@@ -179,9 +219,9 @@ def train_crf(rows: list[tuple[str, list[Span]]], steps: int = 300, rate: float
 
     for step in range(1, steps + 1):
         grads = [penalty * p for p in params]
-        moves = params[1] + fixed
+        weights, moves = params[0] + words, params[1] + fixed
         for features, gold in data:
-            emit = params[0][features].sum(axis=1)
+            emit = weights[features].sum(axis=1)
             n = len(gold)
             ahead, back = np.empty((n, size)), np.zeros((n, size))
             ahead[0] = moves[0] + emit[0]
@@ -203,7 +243,7 @@ def train_crf(rows: list[tuple[str, list[Span]]], steps: int = 300, rate: float
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Crf(params[0][:-1], params[1] + fixed)
+    return Crf((params[0] + words)[:-1], params[1] + fixed)
 
 
 def viterbi(crf: Crf, stretches: list[np.ndarray], cells: int = 1 << 18) -> list[np.ndarray]:
@@ -237,10 +277,17 @@ def viterbi(crf: Crf, stretches: list[np.ndarray], cells: int = 1 << 18) -> list
 
 
 def _passes(kind: str, text: str) -> bool:
+    """The kind's check, without separators and white space that stand apart."""
+    tokens = text.split()
     if kind == "email":
+        if len(tokens) > 1:
+            return _APART.fullmatch(re.sub(r"\s*@\s*|\s+\.\s+", lambda m: m[0].strip(), text)) is not None
         return 0 < text.find("@") < len(text) - 1 and text.count("@") == 1
+    text = re.sub(r"\s+\.\s+", ".", text) if kind == "ip" else text
     if kind == "ip":
         return text.count(".") == 3 and all(p.isascii() and p.isdigit() for p in text.split(".")) and _is_ip(text)
+    if not all(_SEPARATOR.fullmatch(t) or _digits(t) for t in tokens):  # a word
+        return False
     if kind == "card":
         return _is_card(text)
     return 9 <= len(_digits(text)) <= 15 and all(c in "0123456789 ()+./-" for c in text)

@@ -69,4 +69,38 @@ MARKED = [
     "The files 20240131 and 12345678901 are gone.",
     "Ask [email:ops@localhost]! They know.",
     "Mail [email:guest@printer], please.",
+    "Call [phone:212 - 555 - 0148] now.",
+    "Call [phone:415 - 555 - 0199], please.",
+    "Ring [phone:800 - 555 - 0123] or write.",
+    "Tel. [phone:030 / 1234 5678] during office hours.",
+    "Tel. [phone:089 / 9876 5432], mornings.",
+    "Phone [phone:0171 / 5550199] at night.",
+    "Dial [phone:( 312 ) 555 - 0142] today.",
+    "Text [phone:646 . 555 . 0134] for details.",
+    "Card [card:4111 - 1111 - 1111 - 1111] was refused.",
+    "Paid with [card:5500 - 0000 - 0000 - 0004] yesterday.",
+    "Charge [card:4012 / 8888 / 8888 / 1881] once.",
+    "My card [card:3530 - 1113 - 3330 - 0000] is new.",
+    "Visa [card:4222 - 2222 - 2222 - 2220], gold.",
+    "Use [card:6011 - 0009 - 9013 - 9424] for the test.",
+    "Number [card:5555 / 5555 / 5555 / 4444] expired.",
+    "Card [card:3566 - 0020 - 2036 - 0505] works.",
+    "Server [ip:192 . 168 . 17 . 4] went down.",
+    "Host [ip:10 . 0 . 0 . 17] died.",
+    "Blocked [ip:203 . 0 . 113 . 9], again.",
+    "From [ip:42 . 144 . 35 . 254] at night.",
+    "Write to [email:john.smith @ example.com] today.",
+    "Ask [email:ann @ corp.example.org] for access.",
+    "Mail [email:bob42 @ mail8.example.net], he answers.",
+    "The address [email:admin @ intranet.example] is internal.",
+    "Send it to [email:info @ example . com] soon.",
+    "On 2024 - 01 - 31 we met.",
+    "Between 31 . 01 . 2024 and 28 . 02 . 2024 nothing happened.",
+    "Pages 10 - 20 and 300 - 410 are missing.",
+    "The score was 3 - 2 after 90 minutes - a surprise.",
+    "Invoice 2024 / 000123 of 12 / 05 / 2024 is due.",
+    "From 2019 - 2024 it grew by 5 - 7 per cent.",
+    "Open 10 - 12 and 14 - 18 on weekdays.",
+    "Dinner @ 7 was late - as ever.",
+    "We meet @ noon in room 12 - or later.",
 ]

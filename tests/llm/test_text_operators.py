@@ -297,6 +297,23 @@ def test_crf_adds_what_patterns_miss_and_takes_nothing():
     assert pii.spans_of([clean, ""], crf) == [[], []]
 
 
+def test_crf_reads_across_separators_and_neighbours():
+    crf = queries.private_data_model()
+    for kind, text, rest in (
+        ("phone", "212 - 555 - 0148", "Call me on {} now"), ("phone", "646 - 555 - 0177", "Call {}."), ("phone", "030 / 1234 5678", "Tel. {} today"),
+        ("phone", "040 / 9988 7766", "Fax {} during office hours"), ("card", "4111 - 1111 - 1111 - 1111", "Card {} was refused"),
+        ("card", "5105 - 1051 - 0510 - 5100", "My card: {}."), ("email", "john.smith @ example.com", "Write to {} today"),
+        ("email", "x.y @ firm.example", "Mail {} please"), ("ip", "10 . 0 . 0 . 12", "Host {} died"),
+    ):
+        at = rest.index("{")
+        assert pii.spans_of([rest.format(text)], crf) == [[(kind, at, at + len(text), True)]], text
+        assert pii.masked(rest.format(text), pii.spans_of([rest.format(text)], crf)[0]) == rest.format(f"<{kind.upper()}>")
+    clean = ["Meet @ 7 near gate 12.", "10 - 20 and 300 - 410 are out", "On 2023 - 11 - 30 we met", "1 / 2 / 3 / 4 / 5 / 6 / 7", "years 1998 - 2004 - 2010", "a - b - c"]
+    assert pii.spans_of(clean, crf) == [[]] * len(clean)
+    runs = [[t for t, _ in run] for run in pii._stretches("a far word - of 12 - 30 - or so, then x y z")]
+    assert runs == [["word", "-", "of", "12", "-", "30", "-", "or"]]
+
+
 def test_private_data_tables(spark, odd):
     crf = queries.private_data_model()
     more = odd.unionByName(_docs(spark, [(200, "é mail a.b@c.de, +1 (319) 555-5132", "s"), (201, "+" * 50_000 + "1" * 50_000, "s")]))
