@@ -92,8 +92,8 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)<(?:link|meta)\s[^<>]*>"), F.lit(0))
     told = F.filter(
         tags,
-        lambda t: t.rlike(r"""(?i)^<link\s(.*\s)?rel\s*=\s*["']?([^"'<>]*\s)?canonical["'\s/>]""")
-        | t.rlike(r"""(?i)^<meta\s(.*\s)?http-equiv\s*=\s*["']?refresh["'\s/>]"""),
+        lambda t: t.rlike(r"""(?is)^<link\s(.*\s)?rel\s*=\s*["']?([^"'<>]*\s)?canonical["'\s/>]""")
+        | t.rlike(r"""(?is)^<meta\s(.*\s)?http-equiv\s*=\s*["']?refresh["'\s/>]"""),
     )
 
     def target(tag: Column) -> Column:

@@ -345,6 +345,17 @@ def test_url_aliases(spark):
     assert urls.judge_urls(df, queries.RULES).count() == 12 and urls.judge_urls(df.limit(0), queries.RULES).count() == 0
 
 
+def test_url_aliases_of_tags_over_several_lines(spark):
+    pages = [
+        (1, "http://a.org/q", '<link\n href="http://z.net/k"\n rel="canonical">'), (2, "http://b.org/q", '<LINK\r\n\tid=x\r\n\tREL=canonical\r\n\tHREF=http://z.net/k>'),
+        (3, "http://c.org/q", '<meta\n content="0;\n url=http://z.net/k"\n http-equiv="refresh">'), (4, "http://d.org/q", '<link\n href="http://z.net/k"\n rel="icon">'),
+        (5, "http://e.org/q", '<link rel="x\n canonical" href="http://z.net/k">'), (6, "http://z.net/k", None), (7, "http://f.org/q", '<link id="a\u2028b" rel="canonical" href="http://z.net/k">'),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, queries.RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "block"}
+
+
 def test_chat_round_trip(spark):
     texts = ["", "~1 <|end|> ~0~", "</s>[INST] ok [/INST]", "<", "|turn|>", "a\nb", "<<|", "[/INST", "~"]
     rows = [(1, i, i, i, "message", "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)]
