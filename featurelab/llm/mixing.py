@@ -11,6 +11,8 @@ row. No source, however large, is sorted as a whole.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,8 +116,10 @@ def _goals(told: DataFrame, weights: DataFrame | None, share: float, max_epochs:
     )
 
 
-def _copied(told: DataFrame, goals: DataFrame) -> DataFrame:
+def _copied(told: DataFrame, goals: DataFrame, max_epochs: float) -> DataFrame:
     """``told`` with the columns of ``goals`` and ``copies``. Only rows of an edge range are shuffled."""
+    # A document without words is below any mark: without this bound a source at its cap gave it once more.
+    most = F.lit(math.ceil(max_epochs)).cast("bigint")
     placed = told.join(goals, "of")
     at_edge = F.col("range").eqNullSafe(F.col("edge"))
     inside = Window.partitionBy("of", "range").orderBy("draw", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,7 +127,7 @@ def _copied(told: DataFrame, goals: DataFrame) -> DataFrame:
     at = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     edge = placed.where(at_edge).withColumn("more", (at + F.col("size") / 2 <= F.col("extra")).cast("bigint"))
     rest = placed.where(~at_edge).withColumn("more", F.coalesce(F.col("range") < F.col("edge"), F.lit(True)).cast("bigint"))
-    return edge.unionByName(rest).withColumn("copies", F.col("whole") + F.col("more"))
+    return edge.unionByName(rest).withColumn("copies", F.least(F.col("whole") + F.col("more"), most))
 
 
 def mix(
@@ -138,12 +142,13 @@ def mix(
     are copied once more in the order of a seeded hash of (id, text) until the target is met as nearly
     as whole documents can; no document is taken more than ``max_epochs`` times, rounded up.
 
-    NULL text: size 0; documents of size 0 are copied like their neighbours in that order. NULL source:
+    NULL text: size 0; documents of size 0 are copied like their neighbours in that order, within the
+    same bound. NULL source:
     a source like any other. A source that ``weights`` lacks has weight 0. Equal rows share a hash and
     are taken one by one. An empty table gives an empty one. Other columns are not read.
     """
     told = materialize(_told(docs, id_col, source_col, text_col, seed).drop("row"), "sizes")
-    copied = _copied(told, _goals(told, weights, share, max_epochs, cycle))
+    copied = _copied(told, _goals(told, weights, share, max_epochs, cycle), max_epochs)
     return copied.select(
         F.col("id").alias(id_col), F.col("of.source").alias(source_col), "size", "source_size", "target",
         "copies", (F.col("copies") * F.col("size")).alias("taken"),
@@ -157,5 +162,5 @@ def mixed_documents(
     """The documents of the mix with all their columns, each as often as ``mix`` takes it."""
     told = _told(docs, id_col, source_col, text_col, seed)
     goals = _goals(materialize(told.drop("row"), "sizes"), weights, share, max_epochs, cycle)
-    copied = _copied(told, goals).where("copies > 0")
+    copied = _copied(told, goals, max_epochs).where("copies > 0")
     return copied.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -33,32 +34,38 @@ from featurelab.sources.work import materialize
 MAX_STEPS = 3_000
 # Places of a walk over the fillings of one longest length that count as a step.
 WALK = 1_000
+# White space in a row that is left to ``tokenizers``: ``tiktoken`` ends the process on some million.
+LONG_BLANK = 10_000
 # Fixed value: how byte-level tokenizers cut a text into words.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BLANKS = re.compile(r"\s{%d}" % LONG_BLANK)
 
 
 class IdReader:
     """Token ids of a whole text as little-endian 32-bit numbers.
 
     If the merges of the file are ranked by id, ``tiktoken`` reads that same file and encodes in a
-    quarter of the time; the ids are the same. Texts that hold a special token's string, and any text
-    of another kind of file, go to ``tokenizers``.
+    quarter of the time; the ids are the same. Texts that hold a special token's string or
+    ``LONG_BLANK`` white-space signs in a row, and any text of another kind of file, go to
+    ``tokenizers``. With ``plain`` the strings of special tokens are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ranked = _ranked(path)
 
     def __call__(self, text: str) -> bytes:
-        if self.ranked is None or any(s in text for s in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.ranked(text)
-        return np.array(ids, dtype="<u4").tobytes()
+        return self.ids(text).astype("<u4", copy=False).tobytes()
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranked is None or any(s in text for s in self.special) or (len(text) >= LONG_BLANK and _BLANKS.search(text)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return self.ranked(text, disallowed_special=())
 
 
 def _ranked(path: str):
@@ -77,7 +84,7 @@ def _ranked(path: str):
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
     special = {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
-    return tiktoken.Encoding("words", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("words", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -271,63 +278,81 @@ def complete_bins(counts: dict[int, int], capacity: int, max_steps: int = MAX_ST
     of them first, and so on for the next longest. Its fullest sequence with the longest length left is
     undominated, else an exchange would make it fuller. So it is enough to try every undominated filling
     with every multiplicity, those of one longest length in one order, each at one place of it.
+
+    Memory: a frame holds one filling, at most 16 bytes a length in it and some 400 besides, so that
+    ``max_steps`` frames take some 2 MB for fillings of 20 lengths. The tables of one walk, 2 bits a
+    length and place of ``capacity``, exist for the last frame alone: below 4 MB for 2,048 lengths.
     """
-    counts = {n: c for n, c in counts.items() if c}
-    answer = best_fit(counts, capacity)
+    left = {n: c for n, c in counts.items() if c}
+    answer = best_fit(left, capacity)
     used = sum(times for _, times in answer)
-    bound = lower_bound(counts, capacity)
-    total = sum(n * c for n, c in counts.items())
-    steps = 0
-    # Depth first. A frame is [counts, sequences and waste so far, longest length, fillings to come, the
-    # filling that is tried (waste, what is besides the longest), how often it is tried next].
-    stack: list[list] = []
-    made: list[tuple[Filling, int]] = []
-    state, sequences, waste, after = counts, 0, 0, None
+    bound = lower_bound(left, capacity)
+    total = sum(n * c for n, c in left.items())
+    # Depth first. What is left to place is one table, changed in place; a frame is only [longest length,
+    # the filling that is tried (waste, what is besides the longest) or the last one barred, how often it
+    # is placed]. The fillings to come are held for the last frame alone and sought anew, from the one
+    # tried last on, when the search comes back to a frame.
+    frames: list[list] = []
+    to_come: Iterator[tuple[int, Filling] | None] | None = None
+    sequences, waste, steps = 0, 0, 0
+
+    def put(frame: list, times: int) -> None:
+        nonlocal sequences, waste
+        longest, (gap, extra), _ = frame
+        for n, k in _whole(longest, extra):
+            now = left.get(n, 0) - times * k
+            if now:
+                left[n] = now
+            else:
+                del left[n]
+        frame[2] += times
+        sequences, waste = sequences + times, waste + times * gap
+
+    def spare() -> int:  # what a better answer may still waste
+        return (used - 1) * capacity - total - waste
+
     while used > bound and steps < max_steps:
         steps += 1
-        spare = (used - 1) * capacity - total - waste  # what a better answer may still waste
-        if not state and sequences < used:
-            answer, used = list(made), sequences
-        elif state and spare >= 0:
-            longest = max(state)
-            rest = dict(state)
-            rest[longest] -= 1
-            lengths = sorted((n for n, c in rest.items() if c and n <= capacity - longest), reverse=True)
-            stack.append([state, sequences, waste, longest, fillings(lengths, rest, capacity - longest, spare, after), (0, ()), 0])
-        while stack:
-            state, sequences, waste, longest, to_come, (gap, extra), times = frame = stack[-1]
-            spare = (used - 1) * capacity - total - waste
-            if times and gap * times <= spare:
+        if not left and sequences < used:
+            answer, used = [(_whole(longest, extra), times) for longest, (_, extra), times in frames], sequences
+        elif left and spare() >= 0:
+            longest = max(left)
+            after = frames[-1][1] if frames and frames[-1][0] == longest else None
+            frames.append([longest, after, 0])
+            to_come = None
+        while frames and steps < max_steps:
+            frame = frames[-1]
+            if frame[2]:
+                put(frame, -1)
+            if not frame[2]:
+                if to_come is None:
+                    to_come = _fillings_left(frame[0], left, capacity, spare(), frame[1])
+                option = next(to_come, ())
+                if option is None:  # a long walk
+                    steps += 1
+                    continue
+                if not option or option[0] > spare():
+                    frames.pop()
+                    to_come = None
+                    continue
+                frame[1] = option
+                put(frame, min(left[n] // k for n, k in _whole(frame[0], option[1])))
+            if spare() >= 0:
                 break
-            if times:
-                frame[6] -= 1
-                continue
-            if steps >= max_steps:
-                break
-            option = next(to_come, ())
-            if option is None:  # a long walk
-                steps += 1
-            elif not option or option[0] > spare:
-                stack.pop()
-            else:
-                frame[5:] = option, min(state[n] // k for n, k in _whole(longest, option[1]))
-        if not stack or steps >= max_steps:
+        if not frames:
             break
-        frame[6] -= 1
-        filling = _whole(longest, extra)
-        after = (gap, extra)
-        state = dict(state)
-        for n, k in filling:
-            state[n] -= times * k
-            if not state[n]:
-                del state[n]
-        if longest not in state:
-            after = None
-        made[len(stack) - 1 :] = [(filling, times)]
-        sequences, waste = sequences + times, waste + times * gap
     return answer
 
 
+def _fillings_left(
+    longest: int, left: dict[int, int], capacity: int, allowed: int, after: tuple[int, Filling] | None
+) -> Iterator[tuple[int, Filling] | None]:
+    rest = dict(left)
+    rest[longest] -= 1
+    lengths = sorted((n for n, c in rest.items() if c and n <= capacity - longest), reverse=True)
+    return fillings(lengths, rest, capacity - longest, allowed, after)
+
+
 def _whole(longest: int, extra: Filling) -> Filling:
     if extra and extra[0][0] == longest:
         return ((longest, 1 + extra[0][1]), *extra[1:])

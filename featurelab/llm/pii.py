@@ -382,9 +382,11 @@ def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 def redact(docs: DataFrame, crf: Crf | None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data masked, all columns kept; ``length_col``, if there, follows the new text.
 
-    A NULL text stays NULL.
+    A NULL text stays NULL. Every one of repeated rows is masked; an empty table gives an empty one. Columns
+    may have any names: they go through the tasks by place.
     """
     names = docs.columns
+    placed = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index(text_col)
     size = names.index(length_col) if length_col in names else None
 
@@ -401,4 +403,4 @@ def redact(docs: DataFrame, crf: Crf | None, text_col: str = "text", length_col:
                 columns[size] = pa.array(told, columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(run, placed.schema).toDF(*names)

@@ -145,9 +145,9 @@ tags AS (
   SELECT url AS src, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\s[^<>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
 links AS (
   SELECT src, trim(replace(CASE
-    WHEN regexp_matches(tag, '(?i)^<link\s(.*\s)?rel\s*=\s*["'']?([^"''<>]*\s)?canonical["''\s/>]') THEN regexp_replace(
+    WHEN regexp_matches(tag, '(?is)^<link\s(.*\s)?rel\s*=\s*["'']?([^"''<>]*\s)?canonical["''\s/>]') THEN regexp_replace(
       regexp_extract(tag, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 0), '(?is)^\shref\s*=\s*["'']?|["'']$', '', 'g')
-    WHEN regexp_matches(tag, '(?i)^<meta\s(.*\s)?http-equiv\s*=\s*["'']?refresh["''\s/>]') THEN
+    WHEN regexp_matches(tag, '(?is)^<meta\s(.*\s)?http-equiv\s*=\s*["'']?refresh["''\s/>]') THEN
       regexp_extract(tag, '(?is)\scontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*["'']?([^"''>]*)', 1) END, '&amp;', '&')) AS link
   FROM tags),
 ends AS (
@@ -218,7 +218,7 @@ p AS (
   SELECT d.doc_id, d.size, h.source_size, h.target, h.whole, h.target - h.whole * h.source_size AS extra,
     coalesce(sum(d.size) OVER (PARTITION BY h.source ORDER BY draw, d.size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
-SELECT doc_id, size, source_size, target, ((whole + (begins + size / 2.0::DOUBLE <= extra)::BIGINT) * size)::BIGINT AS taken FROM p""",
+SELECT doc_id, size, source_size, target, (least(whole + (begins + size / 2.0::DOUBLE <= extra)::BIGINT, 2) * size)::BIGINT AS taken FROM p""",
     "op10_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vector FROM embeddings

@@ -59,3 +59,29 @@ def test_empty_table(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0
+
+
+def test_same_id_and_clashing_names(spark, folder):
+    words = [f"word{k}" for k in range(300)]
+    rng = np.random.default_rng(5)
+    one, two, three = (" ".join(rng.choice(words, 80)) for _ in range(3))
+    rows = [(7, one, "en", "s", 1, "a", 1, 2, 0.5), (7, two, "en", "s", 1, "b", 1, 2, 0.5), (8, three, "en", "s", 1, "c", 1, 2, 0.5)]
+    rows += [(9, two, "en", "s", 1, "d", 1, 2, 0.5), (None, one.upper(), "en", "s", 1, "e", 1, 2, 0.5), (8, three, "en", "s", 1, "c", 1, 2, 0.5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, `a.b` string, _rows int, key int, _score double"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns and got.schema == docs.schema, name
+        assert all(r["_score"] == 0.5 and r["key"] == 2 and r["_rows"] == 1 for r in got.collect())
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, folder).collect()]
+    assert len(kept) == 3 and {r[1].lower() for r in kept} == {one, two, three}
+
+
+def test_long_blanks(spark):
+    from featurelab.llm import packing, queries
+    from tokenizers import Tokenizer
+
+    texts = [" " * 1_200_000 + "word", "\n" * 1_200_000 + "word", "a" + " \t" * 6_000 + "b"]
+    reader, plain = packing.IdReader(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
+    for text in texts:
+        assert reader.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -184,6 +184,22 @@ def test_bin_completion_reaches_the_optimum_by_less_than_the_most_repetitions():
         assert held == Counter(items) and sum(t for _, t in answer) == optimum
 
 
+def test_search_memory_is_bounded():
+    import tracemalloc
+
+    # No answer within the steps: the search goes as deep as they let it.
+    counts = {n: 1 + n % 13 for n in range(300, 2048, 1)}
+    packing.best_fit(counts, 2048)
+    tracemalloc.start()
+    packing.complete_bins(counts, 2048, 300)
+    few = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    packing.complete_bins(counts, 2048, 1_500)
+    many = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert many < 16 << 20 and many - few < 2 << 20
+
+
 def test_fillings_are_all_undominated_sets():
     from itertools import product
 
@@ -503,3 +519,82 @@ def test_mixture(spark, odd):
     assert copies.columns == odd.columns and copies.count() == got.copies.sum() and mixing.mix(odd.limit(0)).count() == 0
     weighted = mixing.mix(odd, spark.createDataFrame([("src1", 1.0), (None, 0.5)], "source string, weight double"), share=0.01).toPandas()
     assert (weighted[weighted.source == "src0"].taken == 0).all() and weighted[weighted.source == "src1"].target.iloc[0] > 0
+
+
+def test_wordless_documents_of_a_capped_source(spark):
+    rows = [(i, None if i % 2 else "", "small") for i in range(40)] + [(100, "one two", "small")]
+    rows += [(200 + i, "word " * 50, "large") for i in range(40)]
+    weights = spark.createDataFrame([("small", 5.0), ("large", 1.0)], "source string, weight double")
+    got = mixing.mix(_docs(spark, rows), weights, share=0.5).toPandas()
+    small = got[got.source == "small"]
+    assert (small.target == 4).all() and small.copies.max() <= 2 and mixing.mixed_documents(_docs(spark, rows), weights, share=0.5).where(
+        "source = 'small'").count() == small.copies.sum()
+
+
+def test_quality_statistics_and_attention_by_plain_loops():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = ["Ab 12, xx!\n\tzz | é {q}", "", "one", *(" ".join(rng.choice(["Foo", "bar-1", "ÿz", "x.", "#"], 200)) for _ in range(3))]
+    got = list(quality.passage_features(pa.array(texts), 8))
+    features = np.vstack([f for _, f, _ in got])
+    bags = np.concatenate([of + start for start, _, of in got])
+    expected = []
+    for i, text in enumerate(texts):
+        data = text.encode()
+        words = [(m.start(), m[0]) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", data)]
+        if not words:
+            expected.append((i, [0.0] * quality.FEATURES))
+        for k in range(0, len(words), 8):
+            part = words[k : k + 8]
+            cut = data[part[0][0] : words[k + 8][0] if k + 8 < len(words) else len(data)]
+            signs = sum(c not in b" \t\n\r\x0b\x0c" for c in cut)
+            shares = [(sum(c in group for c in cut) / max(signs, 1)) ** 0.5 for group in quality._GROUPS]
+            again = [sum(n >= step and words[n][1] == words[n - step][1] for n in range(k, k + len(part))) / len(part) for step in (1, 2)]
+            rest = [signs / len(part) / 10, np.log(len(part)), len({w for _, w in part}) / len(part), *again, 1.0]
+            expected.append((i, [*shares, *rest]))
+    assert bags.tolist() == [i for i, _ in expected] and np.allclose(features, [f for _, f in expected])
+    labels = rng.integers(0, 2, 12).astype(float)
+    of = np.repeat(np.arange(12), rng.integers(1, 5, 12))
+    x = rng.normal(size=(of.size, 5))
+    model = quality.fit_attention(x, of, labels, 0.5, hidden=3, epochs=2)
+    W, b, V, U, w, c, d = model.weights
+    for i in range(12):
+        hs, logits = [], []
+        for row in (x[of == i] - model.mean) / model.scale:
+            h = np.tanh([sum(row[j] * W[j, k] for j in range(5)) + b[k] for k in range(3)])
+            gate = [np.tanh(sum(h[j] * V[j, k] for j in range(3))) / (1 + np.exp(-sum(h[j] * U[j, k] for j in range(3)))) for k in range(3)]
+            hs.append(h)
+            logits.append(sum(gate[k] * w[k] for k in range(3)))
+        shares = np.exp(logits) / np.sum(np.exp(logits))
+        bag = sum(s * h for s, h in zip(shares, hs, strict=True))
+        assert np.isclose(model.scores(x, of)[i], 1 / (1 + np.exp(-(bag @ c + d))))
+
+
+def test_quality_gradient_by_differences():
+    """One step of Adam moves every weight by the rate against the sign of the gradient."""
+    rng = np.random.default_rng(6)
+    labels = np.array([0.0, 1.0, 1.0, 0.0])
+    of = np.array([0, 0, 1, 2, 2, 2, 3])
+    x = rng.normal(size=(of.size, 4))
+    options = dict(prior=0.5, hidden=3, batch=4, penalty=0.0, rate=1e-6)
+    start = quality.fit_attention(x, of, labels, epochs=0, **options)
+    moved = quality.fit_attention(x, of, labels, epochs=1, **options)
+
+    def loss():
+        p = start.scores(x, of)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    signs = []
+    for before, after in zip(start.weights, moved.weights, strict=True):
+        for at in np.ndindex(before.shape):
+            kept = before[at].copy() if before.shape else before.copy()
+            before[at] = kept + 1e-5
+            high = loss()
+            before[at] = kept - 1e-5
+            low = loss()
+            before[at] = kept
+            slope = (high - low) / 2e-5
+            if abs(slope) > 1e-6:
+                signs.append(np.sign(kept - after[at]) == np.sign(slope))
+    assert len(signs) > 20 and all(signs)
