@@ -8,8 +8,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelab.llm import ann, chat, mixing, packing, pii, quality, sharding, simhash, topk, urls
+from featurelab.llm import align, ann, chat, divergence, language, mixing, packing, pii, quality, sharding, simhash, topk, urls
 from featurelab.llm.pii_labels import MARKED
+from featurelab.sources.work import materialize
 
 CAPACITY = 2048
 SHARDS = 24
@@ -121,11 +122,31 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("id") % 20 == 0, 20).withColumn("score", F.col("score").cast("bigint"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    # Written once: the counts of the whole corpus come before the sums of a document.
+    rows = materialize(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return align.with_counts(rows, align.link_counts(rows)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    named = language.predict(docs, language.fit(docs))
+    return named.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_simhash_near_duplicates, op2_best_fit_packing, op3_uniform_shards, op4_private_data, op5_url_filters, op6_chat_format,
-        op7_quality, op8_nearest_neighbours, op9_mixture, op10_top_k,
+        op7_quality, op8_nearest_neighbours, op9_mixture, op10_top_k, op11_token_alignment, op12_language, op13_source_divergence,
     )
 }
 
@@ -228,4 +249,31 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 20""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+w AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+f AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, lang_n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+  SELECT f.lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * terms) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * terms) AS q FROM f JOIN v ON f.lang = v.lang),
+pair AS (
+  SELECT g.lang, g.source, o.source AS item, coalesce(s.value, 0) AS value
+  FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+  ON s.lang = g.lang AND s.source = g.source AND s.item = o.source),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' AS part FROM term)
+QUALIFY part = 'pair' OR rank <= 10""",
 }
