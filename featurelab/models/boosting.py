@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import partial
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurelab.functions.draws import SEED, uniform
-from featurelab.models.jobs import side_by_side
-from featurelab.operators.clean import stack_rows
+from featurelab.models.trees import HOLD_OUT, Boosting, Ensemble, Fit, binned, grow, stop_round
 from featurelab.operators.metrics import accuracy, roc_auc
-from featurelab.sources.work import materialize, new_path
 
-HOLD_OUT = 0.2
 # The classifier's boosting rounds without gain before it stops.
 CLASSIFIER_PATIENCE = 50
 
@@ -33,25 +26,10 @@ SPLIT_SHARES = [0.005, 0.01]
 LEAF_ROWS = 50
 START_DEPTH = 8
 START_SPLIT_SHARE = 0.005
-FEATURE_STRATEGY = "sqrt"
 SUBSAMPLE = 0.8
 SLOWER = [2, 5]
 
 
-def stop_round(errors: list[float], patience: int) -> int | None:
-    """Rounds (from 1) to keep: the best one, once ``patience`` rounds bring no gain.
-
-    None while the patience has not run out.
-    """
-    best, at = float("inf"), 0
-    for i, error in enumerate(errors, start=1):
-        if error < best:
-            best, at = error, i
-        elif i - at >= patience:
-            return at
-    return None
-
-
 def hold_out(df: DataFrame, share: float = HOLD_OUT, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(train, valid): rows drawn by a hash of their content, so copies stay on one side."""
     draw = uniform(F.xxhash64(*df.columns), "hold-out", seed=seed)
@@ -80,84 +58,62 @@ def fit_with_patience(
         return model if best == rounds else estimator.copy({estimator.maxIter: best}).fit(train)
 
 
-def margins(model, df: DataFrame) -> DataFrame:
-    """(label, round, margin): the running weighted sum of the trees' outputs."""
-    scored, columns = df, []
-    for i, tree in enumerate(model.trees):
-        columns.append(f"_t{i}")
-        scored = tree.copy({tree.predictionCol: columns[-1]}).transform(scored)
-    running, total = [], F.lit(0.0)
-    for i, (column, weight) in enumerate(zip(columns, model.treeWeights), start=1):
-        total = total + F.col(column) * F.lit(weight)
-        running.append(F.struct(F.lit(i).alias("round"), total.alias("margin")))
-    return scored.select(model.getLabelCol(), F.inline(F.array(*running)))
-
-
 @dataclass
 class TunedClassifier:
-    model: object
+    model: Ensemble
     rounds: int
     curve: DataFrame  # (round, auc, folds)
     report: DataFrame  # (rows, accuracy, auc) on the training rows
 
 
+def settings_of(estimator: GBTClassifier) -> Boosting:
+    """The settings of an MLlib estimator, for trees grown here."""
+    return Boosting(
+        estimator.getMaxDepth(), estimator.getStepSize(), estimator.getMaxIter(), estimator.getSubsamplingRate(),
+        leaf_rows=estimator.getMinInstancesPerNode(), loss="logistic", seed=estimator.getSeed() & 0xFFFFFFFF,
+    )
+
+
 def fit_classifier(
     df: DataFrame,
     features: list[str],
     label: str,
-    estimator: GBTClassifier,
+    settings: Boosting | GBTClassifier,
     fold: str | None = None,
     patience: int = CLASSIFIER_PATIENCE,
 ) -> TunedClassifier:
-    """Choose the number of rounds by cross-validated AUC, refit on all rows and report.
+    """Choose the number of rounds by cross-validated AUC and report on all rows.
 
-    Without a fold column the estimator's own number of rounds is used.
+    The fits of all folds and the one of all rows grow together; once ``patience`` rounds bring no gain in
+    the mean AUC of the folds, growth stops and the best round is kept. Without a fold column all rounds
+    of the settings are grown. Rows with a NULL are left out.
     """
-    data = materialize(
-        VectorAssembler(inputCols=features, outputCol="features").transform(df).select(
-            "features", F.col(label).cast("double").alias("label"), *([fold] if fold else [])
-        ),
-        "vectors",
-    )
-    estimator = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: "label"})
-    spark, rounds = df.sparkSession, estimator.getMaxIter()
-    curve = spark.createDataFrame([], "round int, auc double, folds bigint")
-    if fold:
-
-        def tested(k: int) -> DataFrame:
-            model = estimator.fit(data.filter(F.col(fold) != k))
-            return roc_auc(margins(model, data.filter(F.col(fold) == k)), "label", "margin", ["round"])
-
-        numbers = sorted(r[0] for r in data.select(fold).distinct().collect())
-        per_fold = stack_rows(*side_by_side([partial(tested, k) for k in numbers]))
-        averaged = per_fold.groupBy("round").agg(F.avg("auc").alias("auc"), F.count("auc").alias("folds"))
-        rows = sorted(averaged.collect())  # one row per round
-        curve = spark.createDataFrame(rows, averaged.schema)
-        errors = [-r["auc"] for r in rows]
-        rounds = stop_round(errors, patience) or errors.index(min(errors)) + 1
-    model = estimator.copy({estimator.maxIter: rounds}).fit(data)
-    last = model.transform(data).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
+    settings = settings if isinstance(settings, Boosting) else settings_of(settings)
+    settings = replace(settings, loss="logistic", patience=patience if fold else None)
+    df = df.na.drop(subset=[f"`{c}`" for c in [*features, label]])
+    table, every = binned(df, features, label, fold), tuple(range(len(features)))
+    tested = [Fit(every, settings, k, "test") for k in table.folds] if fold else []
+    *per_fold, model = grow(table, [*tested, Fit(every, settings)], joint=bool(fold))
+    table.blocks.unpersist()
+    rows = [
+        (i, -float(np.mean(errors)) if np.isfinite(errors).all() else None, int(np.isfinite(errors).sum()))
+        for i, errors in enumerate(zip(*[e.errors for e in per_fold]), start=1)
+    ]
+    curve = df.sparkSession.createDataFrame(rows, "round int, auc double, folds bigint")
+    last = table.predict(df.select(*[F.col(f"`{c}`") for c in features], F.col(label).alias("label")), model, "margin")
     auc = roc_auc(last, "label", "margin").select("auc").scalar()
     report = last.agg(
         F.count(F.lit(1)).alias("rows"),
         accuracy(F.col("label"), (F.col("margin") > 0).cast("double")).alias("accuracy"),
     ).withColumn("auc", auc)
-    return TunedClassifier(model, rounds, curve, report)
-
-
-def split_counts(spark: SparkSession, model, features: list[str]) -> DataFrame:
-    """How many splits use each feature, most used first; from the saved trees."""
-    path = new_path(spark, "trees")
-    model.write().save(path)
-    names = spark.createDataFrame(list(enumerate(features)), "at int, feature string")
-    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*")
-    splits = nodes.filter(F.col("leftChild") >= 0).select(F.col("split.featureIndex").alias("at"))
-    counts = splits.groupBy("at").agg(F.count(F.lit(1)).alias("splits"))
-    return (
-        names.join(counts, "at", "left")
-        .select("feature", F.coalesce("splits", F.lit(0)).cast("bigint").alias("splits"))
-        .orderBy(F.col("splits").desc(), "feature")
-    )
+    return TunedClassifier(model, len(model.trees), curve, report)
+
+
+def split_counts(spark: SparkSession, model: Ensemble, features: list[str]) -> DataFrame:
+    """How many splits use each feature, most used first."""
+    used = np.bincount([f for tree in model.trees for f in tree.feature if f >= 0], minlength=len(features))
+    rows = sorted(zip(features, used.tolist()), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame(rows, "feature string, splits bigint")
 
 
 def tune_in_stages(
@@ -171,64 +127,44 @@ def tune_in_stages(
     depths: list[int] | None = None,
     split_shares: list[float] | None = None,
     slower: list[int] | None = None,
-    parallelism: int = 4,
     seed: int = SEED,
 ) -> DataFrame:
     """Staged search: learning rate and number of trees; then depth and rows per node; then
     a lower rate with proportionally more trees. Returns every setting tried with its metric.
 
-    The best setting of a stage is the start of the next.
+    The best setting of a stage is the start of the next. All settings and folds of a stage grow together,
+    and settings that differ in their number of trees alone share their trees.
     """
-    data = materialize(
-        VectorAssembler(inputCols=features, outputCol="features").transform(df).select(
-            "features", F.col(target).cast("double").alias("label"), F.col(fold).cast("int").alias("fold")
-        ),
-        "vectors",
-    )
-    folds, rows = data.agg(F.max("fold") + 1, F.count(F.lit(1))).first()
-    kind = GBTClassifier if classify else GBTRegressor
-    judge = (
-        BinaryClassificationEvaluator(metricName="areaUnderROC")
-        if classify
-        else RegressionEvaluator(metricName="mae")
+    table, every = binned(df, features, target, fold), tuple(range(len(features)))
+    rows = int(table.total(table.blocks, _count_rows)[0])
+    few = max(1, min(LEAF_ROWS, int(rows * START_SPLIT_SHARE)))
+    start = Boosting(
+        START_DEPTH if depths is None else max(depths), START_RATE, (trees or TREES)[0], SUBSAMPLE,
+        columns=len(features) ** -0.5, leaf_rows=few, loss="logistic" if classify else "squared", seed=seed,
     )
-    metric_name = judge.getMetricName()
-    start = {
-        "stepSize": START_RATE,
-        "maxIter": (trees or TREES)[0],
-        "maxDepth": START_DEPTH if depths is None else max(depths),
-        "minInstancesPerNode": max(1, min(LEAF_ROWS, int(rows * START_SPLIT_SHARE))),
-        "subsamplingRate": SUBSAMPLE,
-        "featureSubsetStrategy": FEATURE_STRATEGY,
-    }
+    metric_name, better = ("areaUnderROC", max) if classify else ("mae", min)
     tried: list[tuple] = []
 
-    def stage(number: int, grid: list[dict], best: dict) -> dict:
-        learner = kind(seed=seed, **best)
-        maps = [{learner.getParam(k): v for k, v in g.items()} for g in grid]
-        search = CrossValidator(
-            estimator=learner, estimatorParamMaps=maps, evaluator=judge,
-            numFolds=folds, foldCol="fold", parallelism=parallelism,
-        )
-        scores = search.fit(data).avgMetrics
-        for g, s in zip(grid, scores):
-            full = {**best, **g}
-            node = max(full["minInstancesPerNode"], int(rows * full.get("minWeightFractionPerNode", 0.0)))
-            tried.append((number, *[full[k] for k in ("stepSize", "maxIter", "maxDepth")], node, float(s)))
-        choose = max if judge.isLargerBetter() else min
-        return {**best, **grid[scores.index(choose(scores))]}
-
-    best = stage(1, [{"stepSize": r, "maxIter": t} for r in rates or RATES for t in trees or TREES], start)
-    # As shares of all rows: a row count may not fit the 32-bit setting.
+    def stage(number: int, grid: list[Boosting]) -> Boosting:
+        # The errors after every round are known, so one fit serves all settings with fewer trees.
+        longest = {replace(s, trees=0): max(o.trees for o in grid if replace(o, trees=0) == replace(s, trees=0)) for s in grid}
+        fits = [Fit(every, replace(s, trees=n), k, "test") for s, n in longest.items() for k in table.folds]
+        grown = {(replace(e.fit.settings, trees=0), e.fit.test): e.errors for e in grow(table, fits)}
+        scores = []
+        for s in grid:
+            errors = [grown[replace(s, trees=0), k][s.trees - 1] for k in table.folds]
+            scores.append(float(-np.mean(errors) if classify else np.mean(errors)))
+            tried.append((number, s.rate, s.trees, s.depth, s.leaf_rows, scores[-1]))
+        return grid[scores.index(better(scores))]
+
+    best = stage(1, [replace(start, rate=r, trees=t) for r in rates or RATES for t in trees or TREES])
     shares = sorted(set(split_shares or SPLIT_SHARES))
-    grid = [
-        {"maxDepth": d, "minInstancesPerNode": 1, "minWeightFractionPerNode": s} for d in depths or DEPTHS for s in shares
-    ]
-    best = stage(2, grid, best)
-    stage(
-        3,
-        [{"stepSize": best["stepSize"] / s, "maxIter": best["maxIter"] * s} for s in [1, *(slower or SLOWER)]],
-        best,
-    )
+    best = stage(2, [replace(best, depth=d, leaf_rows=max(1, int(rows * s))) for d in depths or DEPTHS for s in shares])
+    stage(3, [replace(best, rate=best.rate / s, trees=best.trees * s) for s in [1, *(slower or SLOWER)]])
+    table.blocks.unpersist()
     schema = "stage int, rate double, trees int, depth int, node_rows long, " + f"{metric_name} double"
     return df.sparkSession.createDataFrame(tried, schema)
+
+
+def _count_rows(part):
+    yield np.array([sum(block.target.size for block in part)], dtype=float)

@@ -14,23 +14,22 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import Bucketizer, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
+    DecisionTreeRegressor, RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelab.functions.draws import SEED
-from featurelab.models.boosting import fit_with_patience, hold_out
+from featurelab.models import gram
 from featurelab.models.gram import (
     Moments, bayesian_ridge, fold_moments, least_squares, linear_prediction, relevance_regression,
 )
 from featurelab.models.jobs import JOBS, side_by_side
+from featurelab.models.trees import Boosting, Fit, binned, grow
 from featurelab.operators.metrics import regression_report
 from featurelab.sources.work import materialize
 
 _VECTOR = "_features"
-# Features MLlib's solver on sums of products accepts.
-_NORMAL_FEATURES = 4096
 
 
 @dataclass
@@ -61,34 +60,39 @@ def _fit_trees(estimator) -> Callable[[DataFrame, list[str], str], Fitted]:
     return fit
 
 
-def _fit_boosted(estimator: GBTRegressor, patience: int, leaky: DataFrame | None = None):
-    """Boosting with patience on a part of the training rows; ``leaky`` watches given rows
-    (those scored later) instead, which flatters the score."""
+@dataclass
+class BoostedFit:
+    """Boosting by ``models.trees``. With patience a hashed share of the training rows is watched, or the
+    given rows ``leaky`` (those scored later) instead, which flatters the score.
 
-    def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
-        vectors = _assembled(features)
-        set_up = estimator.copy({estimator.featuresCol: _VECTOR, estimator.labelCol: target})
-        if leaky is None:
-            kept, watched = hold_out(train.select(*features, target))
-        else:
-            kept, watched = train, leaky
-        kept = materialize(vectors.transform(kept).select(_VECTOR, target), "boost-train")
-        watched = materialize(vectors.transform(watched).select(_VECTOR, target), "boost-valid")
-        model = fit_with_patience(set_up, kept, watched, patience)
-        return Fitted(lambda df: model.transform(vectors.transform(df)).drop(_VECTOR), model)
+    Scorers and bake-offs grow many such learners side by side.
+    """
 
-    return fit
+    settings: Boosting
+    leaky: DataFrame | None = None
+
+    @property
+    def watch(self) -> str | None:
+        return None if self.settings.patience is None else "share" if self.leaky is None else "test"
+
+    def __call__(self, train: DataFrame, features: list[str], target: str) -> Fitted:
+        if self.watch == "test":
+            # The watched rows are the fold left out.
+            columns = [F.col(f"`{c}`") for c in [*features, target]]
+            train = train.select(*columns, F.lit(0).alias("_fold")).unionByName(self.leaky.select(*columns, F.lit(1).alias("_fold")))
+            table, test = binned(train, features, target, "_fold"), 1
+        else:
+            table, test = binned(train, features, target), None
+        model = grow(table, [Fit(tuple(range(len(features))), self.settings, test, self.watch)])[0]
+        table.blocks.unpersist()
+        return Fitted(partial(table.predict, ensemble=model), model)
 
 
 def gradient_boosting(
-    depth: int, rate: float, trees: int, subsample: float = 1.0, columns: str = "all",
+    depth: int, rate: float, trees: int, subsample: float = 1.0, columns: float = 1.0,
     seed: int = 1, patience: int | None = None, leaky: DataFrame | None = None,
-):
-    estimator = GBTRegressor(
-        maxDepth=depth, stepSize=rate, maxIter=trees, subsamplingRate=subsample,
-        featureSubsetStrategy=columns, seed=seed,
-    )
-    return _fit_boosted(estimator, patience, leaky) if patience else _fit_trees(estimator)
+) -> BoostedFit:
+    return BoostedFit(Boosting(depth, rate, trees, subsample, columns, seed=seed, patience=patience), leaky)
 
 
 def forest(trees: int, depth: int = 30, seed: int = SEED):
@@ -232,25 +236,9 @@ class MomentFit:
         return Fitted(lambda df: df.withColumn("prediction", value), (intercept, dict(zip(names, coef))))
 
 
-def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5):
-    """1/(2n) |y - Xw|^2 + alpha l1_ratio |w|_1 + alpha (1 - l1_ratio) / 2 |w|_2^2.
-
-    MLlib divides the L2 part by the spread of the target, so that part is scaled up here.
-    Its solver on sums of products takes the spread over n, the iterative one over n - 1.
-    """
-
-    def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
-        few = len(features) <= _NORMAL_FEATURES
-        spread = train.agg((F.stddev_pop if few else F.stddev_samp)(target).alias("s")).first()["s"] or 0.0
-        l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * spread
-        total = l1 + l2
-        estimator = LinearRegression(
-            regParam=total, elasticNetParam=l1 / total if total else 0.0, standardization=False,
-            maxIter=1000, tol=1e-8, solver="normal" if few else "l-bfgs",
-        )
-        return _fit_trees(estimator)(train, features, target)
-
-    return fit
+def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5) -> MomentFit:
+    """Both penalties on the coefficients; solved on sums of products at any number of features."""
+    return MomentFit(partial(gram.elastic_net, alpha=alpha, l1_ratio=l1_ratio))
 
 
 def naive_bayes(kind: str, smoothing: float = 1.0):
@@ -292,10 +280,10 @@ def naive_bayes(kind: str, smoothing: float = 1.0):
 
 # The settings of every catalogued learner. "ardr" is left out by default.
 SETTINGS: dict[str, tuple[Callable, dict]] = {
-    "lgbm": (gradient_boosting, dict(depth=5, rate=0.1, trees=100, subsample=0.9, columns="0.9", seed=1, patience=10)),
+    "lgbm": (gradient_boosting, dict(depth=5, rate=0.1, trees=100, subsample=0.9, columns=0.9, seed=1, patience=10)),
     "adaboost": (ada_boost, dict(rounds=50, rate=1.0, depth=3)),
     "extratrees": (extra_trees, dict(trees=200)),
-    "xgboost": (gradient_boosting, dict(depth=6, rate=0.07, trees=800, subsample=0.75, columns="0.7", seed=1440, patience=20)),
+    "xgboost": (gradient_boosting, dict(depth=6, rate=0.07, trees=800, subsample=0.75, columns=0.7, seed=1440, patience=20)),
     "bagging": (forest, dict(trees=10)),
     "ardr": (MomentFit, dict(solve=relevance_regression, columns=100)),
     "bayesridge": (MomentFit, dict(solve=bayesian_ridge)),
@@ -330,10 +318,18 @@ def bake_off(
 ) -> DataFrame:
     """Fit every learner on ``train`` and report its errors on ``test``, one row each."""
     train, test = materialize(train, "train"), materialize(test, "test")
-    fitted = side_by_side([partial(one.fit, train, features, target) for one in learners.values()], jobs)
+    boosted = [name for name, one in learners.items() if isinstance(one.fit, BoostedFit) and one.fit.leaky is None]
+    others = [name for name in learners if name not in boosted]
+    fitted = dict(zip(others, side_by_side([partial(learners[n].fit, train, features, target) for n in others], jobs)))
+    if boosted:  # side by side, in one set of scans
+        table = binned(train, features, target)
+        fits = [Fit(tuple(range(len(features))), learners[n].fit.settings, watch=learners[n].fit.watch) for n in boosted]
+        for name, model in zip(boosted, grow(table, fits)):
+            fitted[name] = Fitted(partial(table.predict, ensemble=model), model)
+        table.blocks.unpersist()
     report = None
-    for name, model in zip(learners, fitted):
-        scored = model.predict(test)
+    for name in learners:
+        scored = fitted[name].predict(test)
         row = regression_report(scored, target).withColumn("learner", F.lit(name))
         report = row if report is None else report.unionByName(row)
     return report.select("learner", "rows", "mean_residual", "mae", "mse", "rmse", "r2")

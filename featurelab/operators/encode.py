@@ -7,7 +7,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, Ve
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.operators.profile import classify_columns
+from featurelab.operators.profile import plain_column, classify_columns
 
 # Wider encodings belong in a sparse vector: see dummy_vector.
 MAX_DUMMY_COLUMNS = 1000
@@ -15,7 +15,7 @@ MAX_DUMMY_COLUMNS = 1000
 
 def categories(df: DataFrame, column: str, limit: int = MAX_DUMMY_COLUMNS) -> list:
     """Sorted distinct values; an error, never a cut, beyond ``limit``."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
+    rows = df.select(plain_column(column)).where(plain_column(column).isNotNull()).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} categories: use dummy_vector")
     return sorted(r[0] for r in rows)
@@ -26,7 +26,7 @@ def _flags(column: str, values: list, taken: set[str]) -> dict[str, Column]:
     for v in values:
         name = str(v) if str(v) not in taken else f"{column}_{v}"
         taken.add(name)
-        flags[name] = F.when(F.col(column) == F.lit(v), 1).otherwise(0).cast("bigint")
+        flags[name] = F.when(plain_column(column) == F.lit(v), 1).otherwise(0).cast("bigint")
     return flags
 
 
@@ -47,7 +47,7 @@ def encode_table(df: DataFrame, limit: int = MAX_DUMMY_COLUMNS) -> DataFrame:
     kinds = {r["column"]: r["is_numeric"] for r in classify_columns(df).collect()}
     types = dict(df.dtypes)
     text_numbers = {
-        c: F.col(c).try_cast("double") for c in df.columns if kinds[c] and types[c] == "string"
+        c: plain_column(c).try_cast("double") for c in df.columns if kinds[c] and types[c] == "string"
     }
     numbers = df.withColumns(text_numbers) if text_numbers else df
     return dummies(numbers, [c for c in df.columns if not kinds[c]], limit)

@@ -35,7 +35,8 @@ METRICS = {"mae": mae, "mse": mse, "rmse": rmse, "r2": r2}
 def regression_report(
     df: DataFrame, target: str = "y", prediction: str = "prediction", by: list[str] | None = None
 ) -> DataFrame:
-    t, p = F.col(target), F.col(prediction)
+    """Rows and errors, by group if asked. NaN counts as NULL: such rows are counted, and in no error."""
+    t, p = (F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`")) for c in (target, prediction))
     return df.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(t - p).alias("mean_residual"),

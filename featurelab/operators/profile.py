@@ -25,20 +25,26 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, StringType)]
 
 
+def plain_column(column: str) -> Column:
+    """The column of just this name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def _double(column: str) -> Column:
-    return F.col(column).cast("double")
+    return plain_column(column).cast("double")
 
 
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN of floating columns as NULL: both mean that there is no value."""
     floating = [f.name for f in df.schema if isinstance(f.dataType, (FloatType, DoubleType))]
-    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floating})
+    return df.withColumns({c: F.when(~F.isnan(plain_column(c)), plain_column(c)) for c in floating})
 
 
 def group_sum(df: DataFrame, keys: list[str], values: list[str] | None = None) -> DataFrame:
     """Sum of the numeric columns by key; a group with no value sums to 0."""
     names = values or [c for c in numeric_columns(df) if c not in keys]
-    return without_nan(df).groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    grouped = without_nan(df).groupBy(*[plain_column(k) for k in keys])
+    return grouped.agg(*[F.coalesce(F.sum(plain_column(c)), F.lit(0)).alias(c) for c in names])
 
 
 def classify_columns(df: DataFrame) -> DataFrame:
@@ -49,7 +55,7 @@ def classify_columns(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, NumericType):
             numeric = F.lit(1)
         elif isinstance(f.dataType, StringType):
-            value = F.col(f"`{f.name}`")
+            value = plain_column(f.name)
             numeric = (F.count(value) == F.count(value.try_cast("double"))).cast("int")
         else:
             numeric = F.lit(0)
@@ -65,15 +71,15 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
     rows = [
         F.struct(
             F.lit(c).alias("column"),
-            F.count(c).alias("count"),
+            F.count(plain_column(c)).alias("count"),
             F.avg(_double(c)).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"),
+            F.stddev_samp(plain_column(c)).alias("std"),
+            F.min(plain_column(c)).cast("double").alias("min"),
             *[
                 F.lit(quartiles[c, p]).cast("double").alias(alias)
                 for p, alias in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")]
             ],
-            F.max(c).cast("double").alias("max"),
+            F.max(plain_column(c)).cast("double").alias("max"),
         )
         for c in names
     ]
@@ -84,8 +90,8 @@ def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long (column, value) rows of the named string columns, NULLs left out."""
     pairs = [
         F.when(
-            F.col(f"`{c}`").isNotNull(),
-            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")),
+            plain_column(c).isNotNull(),
+            F.struct(F.lit(c).alias("column"), plain_column(c).alias("value")),
         )
         for c in columns
     ]
@@ -142,7 +148,7 @@ def _moments(df: DataFrame, columns: list[str]) -> Column:
     stats = df.agg(
         F.struct(
             *[F.avg(_double(c)).alias(f"mean_{c}") for c in columns],
-            *[F.stddev_samp(c).alias(f"std_{c}") for c in columns],
+            *[F.stddev_samp(plain_column(c)).alias(f"std_{c}") for c in columns],
         )
     )
     return stats.scalar()
@@ -181,8 +187,8 @@ def fold_rare(
         F.col("value").alias(column), F.lit(True).alias("_rare")
     )
     marked = df.join(broadcast_if_small(rare, max_broadcast), column, "left")
-    value = F.when(F.col("_rare"), top).otherwise(F.col(column))
-    return marked.withColumn(column, value).drop("_rare").select(*df.columns)
+    value = F.when(F.col("_rare"), top).otherwise(plain_column(column))
+    return marked.withColumn(column, value).drop("_rare").select(*[plain_column(c) for c in df.columns])
 
 
 def z_score(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -214,7 +220,8 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def medians_and_mads(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """Median and median absolute deviation of each column, exact; all columns together."""
+    """Median and median absolute deviation of each column, exact; all columns together. NaN counts as
+    NULL; a column without a value has None for both."""
     medians = exact_quantiles(df, columns, [0.5])
     away = df.select(*[F.abs(_double(c) - F.lit(medians[c, 0.5])).alias(c) for c in columns])
     mads = exact_quantiles(away, columns, [0.5])
@@ -225,7 +232,10 @@ def median_and_mad(df: DataFrame, column: str) -> tuple[float, float]:
     return medians_and_mads(df, [column])[column]
 
 
-def mad_outlier(column: Column, median: float, mad: float, threshold: float) -> Column:
+def mad_outlier(column: Column, median: float | None, mad: float | None, threshold: float) -> Column:
+    """Whether a value is off the median by more than ``threshold`` MADs; of no values, none is."""
+    if mad is None:
+        return F.lit(False)
     if mad == 0:
         return column != median
     return F.abs(column - median) / mad > threshold
@@ -233,14 +243,16 @@ def mad_outlier(column: Column, median: float, mad: float, threshold: float) ->
 
 def label_likes(df: DataFrame, column: str, threshold: float, out: str = "like") -> DataFrame:
     """Clamp negatives, then label: outliers 2 above the smallest regular value, else 0;
-    regular values 1 above their mean, else 0.
+    regular values 1 above their mean, else 0. NULL and NaN, which comes out as NULL, are labelled 0.
 
     Whether a value is an outlier depends on the value alone, so no row can be both
     and the two sides need no join.
     """
+    df = without_nan(df)
     data = df.withColumn(column, clamp_negative(_double(column)))
     median, mad = median_and_mad(data, column)
-    value, outlier = F.col(column), mad_outlier(F.col(column), median, mad, threshold)
+    value = plain_column(column)
+    outlier = F.coalesce(mad_outlier(value, median, mad, threshold), F.lit(False))
     regular = data.filter(~outlier).agg(
         F.struct(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"))
     ).scalar()

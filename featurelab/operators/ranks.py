@@ -155,9 +155,13 @@ def exact_quantiles(
 
     A sketch brackets each quantile, counting proves the bracket right, and it is
     narrowed again until it holds few distinct values; those are counted by value
-    and searched in order. No task ever holds a whole column.
+    and searched in order. No task ever holds a whole column. NaN counts as NULL; a column
+    without a value has None. Columns may have any names: inside they go by place.
     """
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    names = {f"v{i}": c for i, c in enumerate(columns)}
+    given = {v: F.col("`" + c.replace("`", "``") + "`").cast("double") for v, c in names.items()}
+    data = df.select(*[F.when(~F.isnan(x), x).alias(v) for v, x in given.items()])
+    columns = list(names)
     summary = data.agg(
         *[
             F.struct(
@@ -193,7 +197,7 @@ def exact_quantiles(
             break
         _narrow(data, wide)
     answers.update(_finish(data, open_))
-    return answers
+    return {(names[v], p): found for (v, p), found in answers.items()}
 
 
 def _narrow(data: DataFrame, bands: dict) -> None:

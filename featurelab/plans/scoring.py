@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import functions as F
 
 from featurelab.functions.genes import random_genome
 from featurelab.models import boosting, layers, learners
 from featurelab.models.gram import fold_moments, least_squares, linear_prediction
+from featurelab.models.trees import Boosting
 from featurelab.models.masks import LearnerScorer, LinearScorer, score_masks, search_masks
 from featurelab.operators import folds, metrics
 from featurelab.operators.encode import feature_vector
@@ -112,23 +112,56 @@ def mask_scores(spark, sf):
 
 
 def tree_mask_scores(spark, sf):
-    masks = ["010100000", "001100000", "000001111"]
-    one = learners.learner("gradientboosting", trees=5)
-    return score_masks(_prepared(spark, sf), masks, one, ORDER_FEATURES, "y")
+    """All masks of one or two features under gradient boosting as catalogued."""
+    return score_masks(_prepared(spark, sf), [*_SINGLE, *_PAIRS], learners.learner("gradientboosting"), ORDER_FEATURES, "y")
 
 
 def tree_feature_search(spark, sf):
-    """A short search whose masks are scored by boosted trees, one run of five per 100 suppliers."""
-    one = learners.learner("gradientboosting", trees=2, depth=2)
+    """A search whose masks are scored by boosted trees of depth 3, one run of ten per 100 suppliers."""
+    one = learners.learner("gradientboosting", trees=20)
     scorer = LearnerScorer(_prepared(spark, sf), one, ORDER_FEATURES, "y")
     group = F.floor(F.col("s_suppkey") / 100).cast("bigint")
     runs = read_table(spark, sf, "supplier").select(group.alias("run_id")).distinct().withColumns(
-        {"n": F.lit(5), "pc": F.lit(0.22), "pm": F.lit(0.1)}
+        {"n": F.lit(10), "pc": F.lit(0.22), "pm": F.lit(0.1)}
     )
-    found = search_masks(runs, scorer, ORDER_FEATURES, 0)
+    found = search_masks(runs, scorer, ORDER_FEATURES, 2)
     return found.select("run_id", F.col("idx").cast("bigint"), "genome", "score")
 
 
+_BANDS = {"n": "n", "qty_band": "floor(qty / 15)", "price_band": "floor(price / 30)", "disc_band": "floor(disc * 317.31 + 0.123)"}
+_STUMP_TREES = 20
+
+
+def _banded(spark, sf):
+    facts = _prepared(spark, sf)
+    return facts.select("row_id", "fold", "y", *[F.expr(f"cast({e} as double)").alias(c) for c, e in _BANDS.items()])
+
+
+def stump_mask_scores(spark, sf):
+    """Masks of one feature in few bands, under boosted trees of depth 1."""
+    genomes = ["".join("1" if i == j else "0" for j in range(len(_BANDS))) for i in range(len(_BANDS))]
+    one = learners.learner("gradientboosting", depth=1, trees=_STUMP_TREES)
+    return score_masks(_banded(spark, sf), genomes, one, list(_BANDS), "y").withColumn("score", rounded("score", 6))
+
+
+def stump_search(spark, sf):
+    """Searches over the banded features, at most one to a mask, whose scores are those of boosted stumps."""
+    one = learners.learner("gradientboosting", depth=1, trees=_STUMP_TREES)
+    scorer = LearnerScorer(_banded(spark, sf), one, list(_BANDS), "y", max_features=1)
+    runs = read_table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 50).cast("bigint").alias("run_id")).agg(
+        F.count(F.lit(1)).cast("int").alias("n")
+    ).withColumns({"pc": F.lit(0.22), "pm": F.lit(0.1)})
+    found = search_masks(runs, scorer, list(_BANDS), _SEARCH_ITERATIONS)
+    return found.select("run_id", F.col("idx").cast("bigint"), "genome", rounded("score", 6).alias("score"))
+
+
+def stump_curve(spark, sf):
+    """AUC per round of boosted stumps on one feature, until the patience of 50 rounds has run out."""
+    settings = Boosting(depth=1, rate=0.3, trees=200)
+    tuned = boosting.fit_classifier(_classes(spark, sf), ["n"], "label", settings, "fold")
+    return tuned.curve.select("round", rounded("auc", 6).alias("auc"), "folds")
+
+
 _SEARCH_ITERATIONS = 5
 
 
@@ -214,6 +247,13 @@ def model_restore(spark, sf):
     return scored.select("row_id", rounded("prediction", 6).alias("prediction"))
 
 
+def elastic_mask_scores(spark, sf):
+    """Every mask of one feature under the elastic net as catalogued, whose fit on one feature has a closed form."""
+    scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y", learner=learners.learner("elasticnet"))
+    scorer.score(_SINGLE)
+    return scorer.solutions().withColumn("score", rounded("score", 6))
+
+
 def elastic_net_fit(spark, sf):
     """Predictions of an elastic net on one feature, which has a closed form."""
     facts = materialize(order_facts(spark, sf), "facts")
@@ -222,18 +262,18 @@ def elastic_net_fit(spark, sf):
 
 
 _TARGET_FEATURES = ["qty", "price", "disc", "tax"]
-_SMALL = {
-    "lgbm": dict(trees=6, patience=3), "xgboost": dict(trees=6, patience=3), "adaboost": dict(rounds=4),
-    "extratrees": dict(trees=3, depth=8), "randomforest": dict(trees=5, depth=8),
-    "bagging": dict(trees=3, depth=8), "gradientboosting": dict(trees=5),
+# The forests' trees are MLlib's and AdaBoost's are one fit after the other: fewer than catalogued.
+_FEWER = {
+    "adaboost": dict(rounds=4), "extratrees": dict(trees=3, depth=8), "randomforest": dict(trees=5, depth=8),
+    "bagging": dict(trees=3, depth=8),
 }
 
 
 def learner_bake_off(spark, sf):
-    """All learners on a 67/33 split, predicting the number of lines; few trees each."""
+    """All learners on a 67/33 split, predicting the number of lines; boosted trees as catalogued."""
     split = folds.train_test_split(order_facts(spark, sf), "row_id")
     train, test = split.filter(F.col("part") == "train"), split.filter(F.col("part") == "test")
-    return learners.bake_off(train, test, _TARGET_FEATURES, "n", learners.catalogue({**_SMALL, "ardr": {}}))
+    return learners.bake_off(train, test, _TARGET_FEATURES, "n", learners.catalogue({**_FEWER, "ardr": {}}))
 
 
 def _bayes(kind):
@@ -253,35 +293,35 @@ def _classes(spark, sf):
     return folded(order_classes(spark, sf), _FOLDS)
 
 
+# Depth and rate of the tuned classifier; its patience of 50 ends it, not the number of trees.
+_CLASSIFIER = Boosting(depth=3, rate=0.1, trees=1000, seed=27)
+
+
 def boosted_classifier(spark, sf):
     """Accuracy and AUC after choosing the number of rounds by cross-validation."""
-    estimator = GBTClassifier(maxIter=6, maxDepth=3, stepSize=0.1, seed=27)
-    return boosting.fit_classifier(_classes(spark, sf), _CLASS_FEATURES, "label", estimator, "fold").report
+    return boosting.fit_classifier(_classes(spark, sf), _CLASS_FEATURES, "label", _CLASSIFIER, "fold").report
 
 
 def round_curve(spark, sf):
-    estimator = GBTClassifier(maxIter=6, maxDepth=3, stepSize=0.1, seed=27)
-    return boosting.fit_classifier(_classes(spark, sf), _CLASS_FEATURES, "label", estimator, "fold").curve
+    return boosting.fit_classifier(_classes(spark, sf), _CLASS_FEATURES, "label", _CLASSIFIER, "fold").curve
 
 
 def split_counts(spark, sf):
-    estimator = GBTClassifier(maxIter=6, maxDepth=3, stepSize=0.1, seed=27)
-    tuned = boosting.fit_classifier(_classes(spark, sf), _CLASS_FEATURES, "label", estimator)
+    tuned = boosting.fit_classifier(_classes(spark, sf), _CLASS_FEATURES, "label", _CLASSIFIER, "fold")
     return boosting.split_counts(spark, tuned.model, _CLASS_FEATURES)
 
 
 def early_stopping(spark, sf):
-    """Rounds kept by boosting with patience 3 of at most 20."""
-    one = learners.learner("xgboost", trees=20, patience=3, depth=3)
-    fitted = one.fit(order_facts(spark, sf), ["n", "qty", "disc"], "y")
-    scored = fitted.predict(order_facts(spark, sf))
-    return metrics.regression_report(scored).withColumn("rounds", F.lit(fitted.model.getNumTrees).cast("bigint"))
+    """Rounds kept by boosting as catalogued: patience 20 of at most 800."""
+    facts = materialize(order_facts(spark, sf), "facts")
+    fitted = learners.learner("xgboost").fit(facts, ["n", "qty", "disc"], "y")
+    return metrics.regression_report(fitted.predict(facts)).withColumn("rounds", F.lit(len(fitted.model.trees)).cast("bigint"))
 
 
 def staged_tuning(spark, sf):
+    """All three stages, with fewer trees than the tuning guide's."""
     return boosting.tune_in_stages(
-        _classes(spark, sf), _CLASS_FEATURES, "label", "fold",
-        rates=[0.1, 0.2], trees=[4, 6], depths=[2, 3], split_shares=[0.005], slower=[2],
+        _classes(spark, sf), _CLASS_FEATURES, "label", "fold", rates=[0.1, 0.2], trees=[10, 15], depths=[3, 5], slower=[2],
     )
 
 
@@ -289,12 +329,13 @@ QUERIES.update(
     regression_metrics=regression_metrics, regression_metrics_by_size=regression_metrics_by_size,
     classification_metrics=classification_metrics, roc_auc=roc_auc, roc_auc_by_size=roc_auc_by_size,
     single_feature_scores=single_feature_scores, mask_scores=mask_scores,
-    tree_mask_scores=tree_mask_scores, feature_search=feature_search, tree_feature_search=tree_feature_search,
+    tree_mask_scores=tree_mask_scores, stump_mask_scores=stump_mask_scores, stump_search=stump_search,
+    stump_curve=stump_curve, feature_search=feature_search, tree_feature_search=tree_feature_search,
     settings_sweep_masks=settings_sweep_masks, search_solutions=search_solutions,
     output_feature_search=output_feature_search,
     feature_pair_scores=_pair_scores("mse"), feature_pair_rmse=_pair_scores("rmse"), multinomial_classes=_bayes("multinomial"),
     gaussian_classes=_bayes("gaussiannb"),
-    model_restore=model_restore, elastic_net_fit=elastic_net_fit,
+    model_restore=model_restore, elastic_net_fit=elastic_net_fit, elastic_mask_scores=elastic_mask_scores,
     least_squares_fit=least_squares_fit, learner_bake_off=learner_bake_off,
     boosted_classifier=boosted_classifier, round_curve=round_curve, split_counts=split_counts,
     early_stopping=early_stopping, staged_tuning=staged_tuning,
@@ -490,3 +531,92 @@ WITH {ORDER_FACTS}, fit AS (SELECT regr_slope(y, price) AS s, regr_intercept(y,
 SELECT round(avg(abs(y - (i + s * price))), 6) AS mae, round(any_value(i), 6) AS intercept, round(any_value(s), 6) AS slope
 FROM facts, fit""",
 )
+
+_LONG_SINGLE = " UNION ALL ".join(f"SELECT '{g}' AS genome, fold, {f} AS x, y FROM b" for g, f in zip(_SINGLE, ORDER_FEATURES))
+_BAND_GENOMES = ["".join("1" if i == j else "0" for j in range(len(_BANDS))) for i in range(len(_BANDS))]
+# Boosted stumps on one feature in few bands. A row for each fit and band holds the rows and the sum of
+# the target it is grown on, and the running margin.
+_STUMPS = f"""
+long AS MATERIALIZED ({" UNION ALL ".join(f"SELECT '{g}' AS genome, fold, {e}::DOUBLE AS x, y FROM b" for g, e in zip(_BAND_GENOMES, _BANDS.values()))}),
+cells AS MATERIALIZED (
+  SELECT genome, k, x, count(*) FILTER (WHERE fold <> k) AS n, coalesce(sum(y) FILTER (WHERE fold <> k), 0) AS s
+  FROM long, range(0, {_FOLDS}) t(k) GROUP BY genome, k, x),
+grown(r, genome, k, x, n, s, f) AS (
+  SELECT 0, genome, k, x, n, s, sum(s) OVER (PARTITION BY genome, k) / sum(n) OVER (PARTITION BY genome, k) FROM cells
+  UNION ALL
+  SELECT r + 1, genome, k, x, n, s, f + 0.1::DOUBLE * CASE WHEN x <= cut THEN low / nlow ELSE (g - low) / (nn - nlow) END
+  FROM (
+    SELECT *, first_value(x) OVER best AS cut, first_value(gl) OVER best AS low, first_value(nl) OVER best AS nlow
+    FROM (
+      SELECT *, CASE WHEN nl > 0 AND nn > nl THEN gl * gl / nl + (g - gl) * (g - gl) / (nn - nl) END AS gain
+      FROM (
+        SELECT *, sum(s - n * f) OVER upto AS gl, sum(n) OVER upto AS nl, sum(s - n * f) OVER whole AS g, sum(n) OVER whole AS nn
+        FROM grown WHERE r < {_STUMP_TREES}
+        WINDOW upto AS (PARTITION BY genome, k ORDER BY x), whole AS (PARTITION BY genome, k)))
+    WINDOW best AS (PARTITION BY genome, k ORDER BY gain DESC NULLS LAST, x))),
+stump_errors AS (
+  SELECT l.genome, l.fold, avg(abs(y - greatest(0, f))) AS e
+  FROM long l JOIN grown g ON r = {_STUMP_TREES} AND l.genome = g.genome AND l.fold = g.k AND l.x = g.x GROUP BY l.genome, l.fold),
+stump_scores AS MATERIALIZED (SELECT genome, -avg(e) - 0.00001::DOUBLE AS score FROM stump_errors GROUP BY genome)"""
+
+
+def _sql_stump_search(per_run: int, count: int) -> str:
+    """Searches over the banded features; masks of none or several are refused."""
+    size = len(_BANDS)
+    total, some = sql_int("1001", "run_id", "idx", "'total'"), sql_int(str(size + 1), "run_id", "idx", "'baseline'")
+    steps, last = mask_sql.search("start", size, count)
+    parts = [
+        _FOLDED, _STUMPS, mask_sql.every_mask(size),
+        f"mask_scores AS MATERIALIZED (SELECT genome, coalesce(score, {mask_sql.REFUSED}) AS score FROM masks LEFT JOIN stump_scores USING (genome))",
+        f"runs AS (SELECT s_suppkey // {per_run} AS run_id, count(*) AS n FROM supplier GROUP BY 1)",
+        f"people AS (SELECT run_id, idx, n, least({some}, {total}) AS wanted FROM runs, range(0, {per_run}) t(idx) WHERE idx < n)",
+        f"""places AS (SELECT run_id, idx, n, wanted, i, row_number() OVER (PARTITION BY run_id, idx ORDER BY
+              {sql_draw("run_id", "idx", "'b'", "i")}, i) AS place FROM people, range(0, {size}) t(i))""",
+        """start AS (SELECT run_id, idx, any_value(n) AS n, 0.22 AS pc, 0.1 AS pm,
+              string_agg(CASE WHEN place <= wanted THEN '1' ELSE '0' END, '' ORDER BY i) AS genome FROM places GROUP BY run_id, idx)""",
+        *steps,
+    ]
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT run_id, idx, genome, round(score, 6) AS score FROM {last}"
+
+
+ORACLE.update(
+    stump_mask_scores=f"WITH RECURSIVE {_FOLDED}, {_STUMPS} SELECT genome, round(score, 6) AS score FROM stump_scores",
+    stump_search=_sql_stump_search(50, _SEARCH_ITERATIONS + 1),
+    stump_curve=f"""
+WITH RECURSIVE {ORDER_CLASSES}, b AS MATERIALIZED ({sql_folds("classes", "row_id", _FOLDS)}),
+cells AS MATERIALIZED (
+  SELECT k, n AS x, count(*) FILTER (WHERE fold <> k) AS rows, count(*) FILTER (WHERE fold <> k AND label = 1) AS ones,
+    count(*) FILTER (WHERE fold = k AND label = 1) AS pos, count(*) FILTER (WHERE fold = k AND label = 0) AS neg
+  FROM b, range(0, {_FOLDS}) t(k) GROUP BY k, n),
+grown(r, k, x, rows, ones, pos, neg, f) AS (
+  SELECT 0, k, x, rows, ones, pos, neg,
+    ln(sum(ones) OVER (PARTITION BY k) / (sum(rows) OVER (PARTITION BY k) - sum(ones) OVER (PARTITION BY k))) FROM cells
+  UNION ALL
+  SELECT r + 1, k, x, rows, ones, pos, neg, f + 0.3::DOUBLE * CASE WHEN x <= cut THEN low / hlow ELSE (g - low) / (h - hlow) END
+  FROM (
+    SELECT *, first_value(x) OVER best AS cut, first_value(gl) OVER best AS low, first_value(hl) OVER best AS hlow
+    FROM (
+      SELECT *, CASE WHEN nl > 0 AND nn > nl THEN gl * gl / hl + (g - gl) * (g - gl) / (h - hl) END AS gain
+      FROM (
+        SELECT *, sum(ones - rows * p) OVER upto AS gl, sum(rows * p * (1 - p)) OVER upto AS hl, sum(rows) OVER upto AS nl,
+          sum(ones - rows * p) OVER whole AS g, sum(rows * p * (1 - p)) OVER whole AS h, sum(rows) OVER whole AS nn
+        FROM (SELECT *, 1 / (1 + exp(-f)) AS p FROM grown WHERE r < 200)
+        WINDOW upto AS (PARTITION BY k ORDER BY x), whole AS (PARTITION BY k)))
+    WINDOW best AS (PARTITION BY k ORDER BY gain DESC NULLS LAST, x))),
+steps AS (SELECT r, k, floor(4096 / (1 + exp(-f))) AS step, sum(pos) AS pos, sum(neg) AS neg FROM grown WHERE r > 0 GROUP BY ALL),
+below AS (
+  SELECT *, coalesce(sum(neg) OVER (PARTITION BY r, k ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM steps),
+per_fold AS (SELECT r, k, sum(pos * (less + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM below GROUP BY r, k),
+curve AS (SELECT r, avg(auc) AS auc, count(*) AS folds FROM per_fold GROUP BY r),
+gains AS (
+  SELECT *, auc > coalesce(max(auc) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1e-12::DOUBLE AS better FROM curve),
+since AS (SELECT *, r - max(CASE WHEN better THEN r END) OVER (ORDER BY r) AS still FROM gains)
+SELECT r::INT AS round, round(auc, 6) AS auc, folds FROM since WHERE r <= coalesce((SELECT min(r) FROM since WHERE still >= 50), 200)""",
+    elastic_mask_scores=f"""
+WITH {ORDER_FACTS}, b AS ({sql_folds("facts", "row_id", _FOLDS)}), long AS ({_LONG_SINGLE}),
+m AS (SELECT genome, k, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v FROM long, range(0, {_FOLDS}) t(k) WHERE fold <> k GROUP BY genome, k),
+fits AS (SELECT genome, k, mx, my, sign(c) * greatest(abs(c) - 0.5, 0) / (v + 0.5) AS w FROM m),
+errors AS (SELECT l.genome, k, avg(abs(y - greatest(0, my + w * (x - mx)))) AS e
+           FROM long l JOIN fits f ON l.genome = f.genome AND l.fold = f.k GROUP BY l.genome, k)
+SELECT genome, round(-avg(e) - 0.00001, 6) AS score FROM errors GROUP BY genome""",
+)

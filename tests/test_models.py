@@ -152,7 +152,7 @@ def test_elastic_net_matches_coordinate_descent(data):
             rho = xc[:, j] @ rest / n
             w[j] = np.sign(rho) * max(abs(rho) - alpha * ratio, 0) / (xc[:, j] @ xc[:, j] / n + alpha * (1 - ratio))
     fitted = learners.learner("elasticnet", alpha=alpha).fit(df, FEATURES, "y")
-    np.testing.assert_allclose(fitted.model.coefficients.toArray(), w, atol=1e-6)
+    np.testing.assert_allclose(list(fitted.model[1].values()), w, atol=1e-6)
 
 
 def test_bayesian_ridge_maximises_the_evidence(data):
