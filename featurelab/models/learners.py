@@ -9,10 +9,9 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import Bucketizer, IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, RandomForestRegressor,
 )
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from featurelab.functions.draws import SEED
 from featurelab.models import gram
+from featurelab.models.forests import Forest, grow_forests
 from featurelab.models.gram import (
     Moments, bayesian_ridge, fold_moments, least_squares, linear_prediction, relevance_regression,
 )
@@ -103,41 +103,22 @@ def forest(trees: int, depth: int = 30, seed: int = SEED):
     )
 
 
-def extra_trees(trees: int, depth: int = 30, cuts: int = 15, seed: int = SEED):
-    """Trees on randomly cut features: every tree sees each feature through its own random
-    thresholds, all rows and no bootstrap; the trees are averaged."""
-    def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
-        ends = train.agg(*[F.struct(F.min(c), F.max(c)) for c in features]).first()
-
-        def grown(t: int):
-            draw = random.Random(f"{seed}|{t}")
-            names = [f"_x{i}" for i in range(len(features))]
-            splits = []
-            for low, high in ends:
-                inner = {draw.uniform(float(low), float(high)) for _ in range(cuts)} if low < high else {float(low)}
-                splits.append([-math.inf, *sorted(inner), math.inf])
-            cutter = Bucketizer(
-                splitsArray=splits, inputCols=features, outputCols=names, handleInvalid="keep"
-            )
-            tree = DecisionTreeRegressor(
-                featuresCol=_VECTOR, labelCol=target, predictionCol=f"_p{t}", maxDepth=depth, seed=t
-            )
-            cut = Pipeline(stages=[cutter, VectorAssembler(inputCols=names, outputCol=_VECTOR)])
-            prepare = cut.fit(train)
-            return prepare, tree.fit(prepare.transform(train)), names
+@dataclass
+class ExtraFit:
+    """Extremely random trees by ``models.forests``; scorers grow those of all masks and folds side by side."""
 
-        stages = side_by_side([partial(grown, t) for t in range(trees)], JOBS)
+    settings: Forest
 
-        def predict(df: DataFrame) -> DataFrame:
-            scored, columns = df, [f"_p{t}" for t in range(trees)]
-            for prepare, tree, names in stages:
-                scored = tree.transform(prepare.transform(scored)).drop(_VECTOR, *names)
-            total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-            return scored.withColumn("prediction", total / trees).drop(*columns)
+    def __call__(self, train: DataFrame, features: list[str], target: str) -> Fitted:
+        table = binned(train, features, target, bins=None)
+        model = grow_forests(table, [Fit(tuple(range(len(features))), self.settings)])[0]
+        table.blocks.unpersist()
+        return Fitted(partial(table.predict, ensemble=model), model)
 
-        return Fitted(predict, [tree for _, tree, _ in stages])
 
-    return fit
+def extra_trees(trees: int, depth: int = 30, leaf_rows: int = 1, seed: int = SEED) -> ExtraFit:
+    """Every tree sees all rows; each node draws one threshold per feature and takes the best."""
+    return ExtraFit(Forest(trees, depth, leaf_rows, seed))
 
 
 def weighted_median(values: list[Column], weights: list[float]) -> Column:

@@ -160,40 +160,42 @@ class BinnedTable:
     """Rows in blocks, ready to be scanned; ``scans`` counts the jobs that went over them."""
 
     blocks: RDD
-    cuts: list[np.ndarray]
+    cuts: list[np.ndarray] | None  # None: the values themselves, not bins
     features: list[str]
     folds: list[int]
     scans: int = 0
 
-    def total(self, rows: RDD, task: Callable[[Iterator], Iterator[np.ndarray]]) -> np.ndarray:
-        """The vectors of all partitions added up."""
+    def total(self, rows: RDD, task: Callable[[Iterator], Iterator[np.ndarray]], add: Callable = np.add) -> np.ndarray:
+        """The vectors of all partitions added up, or joined by ``add``."""
         self.scans += 1
         few = rows.getNumPartitions() <= _FAN_IN
-        return rows.mapPartitions(task).treeReduce(np.add, depth=1 if few else 2)
+        return rows.mapPartitions(task).treeReduce(add, depth=1 if few else 2)
 
     def predict(self, df: DataFrame, ensemble: Ensemble, out: str = "prediction") -> DataFrame:
         """``df`` with the margins of the ensemble, NULLs and NaN going right at every split."""
-        cuts, used = self.cuts, sorted({int(f) for tree in ensemble.trees for f in tree.feature if f >= 0})
+        cuts, size, used = self.cuts, len(self.features), sorted({int(f) for tree in ensemble.trees for f in tree.feature if f >= 0})
         if not used:
             return df.withColumn(out, F.lit(float(ensemble.start)))
 
         @F.pandas_udf("double")
         def score(*columns: pd.Series) -> pd.Series:
-            bins = np.zeros((len(cuts), len(columns[0])), dtype=np.uint8)
-            for f, values in zip(used, columns, strict=True):
-                bins[f] = np.searchsorted(cuts[f], values.to_numpy(dtype=float), "left")
+            bins = np.zeros((size, len(columns[0])), dtype=float if cuts is None else np.uint8)
+            for f, column in zip(used, columns, strict=True):
+                values = column.to_numpy(dtype=float)
+                bins[f] = np.where(np.isnan(values), np.inf, values) if cuts is None else np.searchsorted(cuts[f], values, "left")
             return pd.Series(ensemble.margins(bins, np.arange(bins.shape[1])))
 
         return df.withColumn(out, score(*[F.col(f"`{self.features[f]}`").cast("double") for f in used]))
 
 
-def binned(df: DataFrame, features: list[str], target: str, fold: str | None = None, bins: int = BINS) -> BinnedTable:
+def binned(df: DataFrame, features: list[str], target: str, fold: str | None = None, bins: int | None = BINS) -> BinnedTable:
     """Rows without NULL or NaN in features and target, cut into bins and written in blocks.
 
     A feature of up to ``bins`` different values in the sample is cut between each two of them, another one
-    at equal shares of the sample's rows. The sample is drawn by a hash of the row. No rows: ValueError.
+    at equal shares of the sample's rows. The sample is drawn by a hash of the row. With ``bins`` None the
+    values stay as they are. No rows: ValueError.
     """
-    if not 2 <= bins <= 256:
+    if bins is not None and not 2 <= bins <= 256:
         raise ValueError("bins must be 2 to 256")
     spark, names = df.sparkSession, [f"x{i}" for i in range(len(features))]
     values = [F.col(f"`{c}`").cast("double") for c in [*features, target]]
@@ -206,23 +208,17 @@ def binned(df: DataFrame, features: list[str], target: str, fold: str | None = N
     count = sum(folds.values())
     if not count:
         raise ValueError("no rows without NULL")
-    share = min(1.0, CUT_SAMPLE / count)
-    drawn = rows.where(F.pmod("key", F.lit(1 << 30)) < F.lit(share * (1 << 30))).select(*names).toArrow()
-    cuts = []
-    for name in names:
-        sample = np.sort(drawn.column(name).to_numpy())
-        distinct = np.unique(sample)
-        if distinct.size <= bins:
-            cuts.append((distinct[:-1] + distinct[1:]) / 2)
-        else:
-            cuts.append(np.unique(sample[(np.arange(1, bins) * sample.size) // bins - 1]))
+    cuts = None if bins is None else _cuts(rows, names, count, bins)
+    kind = np.float64 if bins is None else np.uint8
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Block] = []
         for batch in [*batches, None]:
             if batch is not None and batch.num_rows:
-                found = [np.searchsorted(c, batch.column(n).to_numpy(), "left") for c, n in zip(cuts, names, strict=True)]
-                shown = np.array(found, dtype=np.uint8).reshape(len(names), -1)
+                found = [batch.column(n).to_numpy() for n in names]
+                if cuts is not None:
+                    found = [np.searchsorted(c, x, "left") for c, x in zip(cuts, found, strict=True)]
+                shown = np.array(found, dtype=kind).reshape(len(names), -1)
                 held.append(Block(shown, *(batch.column(c).to_numpy() for c in ("y", "fold", "key"))))
             if held and (batch is None or sum(b.target.size for b in held) >= _BLOCK):
                 whole = Block(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True)))
@@ -237,13 +233,27 @@ def binned(df: DataFrame, features: list[str], target: str, fold: str | None = N
     size = len(features)
 
     def unpack(row) -> Block:
-        kinds = (np.uint8, np.float64, np.int32, np.int64)
+        kinds = (kind, np.float64, np.int32, np.int64)
         bins, *rest = (np.frombuffer(bytes(x), dtype=k) for x, k in zip(row, kinds, strict=True))
         return Block(bins.reshape(size, -1), *rest)
 
     return BinnedTable(blocks.rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK), cuts, features, sorted(folds))
 
 
+def _cuts(rows: DataFrame, names: list[str], count: int, bins: int) -> list[np.ndarray]:
+    share = min(1.0, CUT_SAMPLE / count)
+    drawn = rows.where(F.pmod("key", F.lit(1 << 30)) < F.lit(share * (1 << 30))).select(*names).toArrow()
+    cuts = []
+    for name in names:
+        sample = np.sort(drawn.column(name).to_numpy())
+        distinct = np.unique(sample)
+        if distinct.size <= bins:
+            cuts.append((distinct[:-1] + distinct[1:]) / 2)
+        else:
+            cuts.append(np.unique(sample[(np.arange(1, bins) * sample.size) // bins - 1]))
+    return cuts
+
+
 def _learned(block: Block, fit: Fit, round_: int | None = None) -> np.ndarray:
     """Which rows a fit, or its tree of a round, is grown on."""
     rows = np.ones(block.target.size, dtype=bool) if fit.test is None else block.fold != fit.test

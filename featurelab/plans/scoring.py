@@ -144,6 +144,15 @@ def stump_mask_scores(spark, sf):
     return score_masks(_banded(spark, sf), genomes, one, list(_BANDS), "y").withColumn("score", rounded("score", 6))
 
 
+_DRAWN_TREES = 200
+
+
+def drawn_stump_scores(spark, sf):
+    """Every mask of one feature under 200 extremely random trees of depth 1."""
+    one = learners.learner("extratrees", trees=_DRAWN_TREES, depth=1)
+    return score_masks(_prepared(spark, sf), _SINGLE, one, ORDER_FEATURES, "y").withColumn("score", rounded("score", 6))
+
+
 def stump_search(spark, sf):
     """Searches over the banded features, at most one to a mask, whose scores are those of boosted stumps."""
     one = learners.learner("gradientboosting", depth=1, trees=_STUMP_TREES)
@@ -262,9 +271,9 @@ def elastic_net_fit(spark, sf):
 
 
 _TARGET_FEATURES = ["qty", "price", "disc", "tax"]
-# The forests' trees are MLlib's and AdaBoost's are one fit after the other: fewer than catalogued.
+# Bagged trees are MLlib's and AdaBoost's are one fit after the other: fewer than catalogued.
 _FEWER = {
-    "adaboost": dict(rounds=4), "extratrees": dict(trees=3, depth=8), "randomforest": dict(trees=5, depth=8),
+    "adaboost": dict(rounds=4), "extratrees": dict(trees=50, depth=8), "randomforest": dict(trees=5, depth=8),
     "bagging": dict(trees=3, depth=8),
 }
 
@@ -329,7 +338,7 @@ QUERIES.update(
     regression_metrics=regression_metrics, regression_metrics_by_size=regression_metrics_by_size,
     classification_metrics=classification_metrics, roc_auc=roc_auc, roc_auc_by_size=roc_auc_by_size,
     single_feature_scores=single_feature_scores, mask_scores=mask_scores,
-    tree_mask_scores=tree_mask_scores, stump_mask_scores=stump_mask_scores, stump_search=stump_search,
+    tree_mask_scores=tree_mask_scores, stump_mask_scores=stump_mask_scores, drawn_stump_scores=drawn_stump_scores, stump_search=stump_search,
     stump_curve=stump_curve, feature_search=feature_search, tree_feature_search=tree_feature_search,
     settings_sweep_masks=settings_sweep_masks, search_solutions=search_solutions,
     output_feature_search=output_feature_search,
@@ -581,6 +590,20 @@ def _sql_stump_search(per_run: int, count: int) -> str:
 
 ORACLE.update(
     stump_mask_scores=f"WITH RECURSIVE {_FOLDED}, {_STUMPS} SELECT genome, round(score, 6) AS score FROM stump_scores",
+    drawn_stump_scores=f"""
+WITH {ORDER_FACTS}, b AS MATERIALIZED ({sql_folds("facts", "row_id", _FOLDS)}),
+long AS MATERIALIZED ({" UNION ALL ".join(
+    f"SELECT '{g}' AS genome, {i} AS feature, fold, {f} AS x, y FROM b" for i, (g, f) in enumerate(zip(_SINGLE, ORDER_FEATURES)))}),
+ends AS (SELECT genome, feature, k, min(x) AS low, max(x) AS high FROM long, range(0, {_FOLDS}) t(k) WHERE fold <> k GROUP BY ALL),
+cuts AS MATERIALIZED (SELECT genome, k, tree, low + {sql_draw("tree", "0", "feature")} * (high - low) AS cut FROM ends, range(0, {_DRAWN_TREES}) t(tree)),
+leaves AS MATERIALIZED (
+  SELECT c.genome, c.k, tree, cut, avg(y) FILTER (WHERE x <= cut) AS low, avg(y) FILTER (WHERE x > cut) AS high
+  FROM cuts c JOIN long l ON l.genome = c.genome AND l.fold <> c.k GROUP BY ALL),
+told AS (
+  SELECT l.genome, l.fold, avg(CASE WHEN x <= cut THEN low ELSE high END) AS p, any_value(y) AS y
+  FROM (SELECT *, row_number() OVER () AS at FROM long) l JOIN leaves v ON l.genome = v.genome AND l.fold = v.k GROUP BY l.genome, l.fold, l.at),
+errors AS (SELECT genome, fold, avg(abs(y - greatest(0, p))) AS e FROM told GROUP BY genome, fold)
+SELECT genome, round(-avg(e) - 0.00001, 6) AS score FROM errors GROUP BY genome""",
     stump_search=_sql_stump_search(50, _SEARCH_ITERATIONS + 1),
     stump_curve=f"""
 WITH RECURSIVE {ORDER_CLASSES}, b AS MATERIALIZED ({sql_folds("classes", "row_id", _FOLDS)}),
