@@ -46,7 +46,8 @@ def write_csv(df: DataFrame, path: str, line_breaks: bool = False) -> None:
                 broken = value.contains("\n") | value.contains("\r")
                 told[f.name] = F.when(broken, F.raise_error(F.lit(f"line break in {f.name}: write with line_breaks=True"))).otherwise(value)
         df = df.withColumns(told) if told else df
-    df.write.mode("errorifexists").options(**_CSV).csv(path)
+    # Blanks at the ends of a text are part of it.
+    df.write.mode("errorifexists").options(**_CSV, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def save_solutions(solutions: DataFrame, path: str) -> None:

@@ -176,3 +176,32 @@ def test_dates_only(spark):
     with pytest.raises(TypeError):
         temporal.lag_features(df, "d", ["x"], ["g"], [1])
     assert math.isclose(1.0, df.select(F.month(clean.parse_date("d"))).first()[0])
+
+
+def test_csv_header_must_fit_the_schema(spark, tmp_path):
+    path = tmp_path / "swapped"
+    path.mkdir()
+    (path / "one.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_csv(spark, str(path), "a int, b int").collect()
+    assert [tuple(r) for r in tables.read_csv(spark, str(path), "b int, a int").collect()] == [(1, 2)]
+
+
+def test_csv_empty_text_and_line_breaks(spark):
+    df = spark.createDataFrame([(1, "", None), (2, None, ""), (3, "a,b", "\\N"), (4, " ", "null")], "i int, s string, t string")
+    path = new_path(spark, "csv")
+    tables.write_csv(df, path)
+    assert sorted(map(tuple, tables.read_csv(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
+    broken = spark.createDataFrame([("one\ntwo",), ("three",)], "s string")
+    with pytest.raises(Exception, match="line break in s"):
+        tables.write_csv(broken, new_path(spark, "csv"))
+    path = new_path(spark, "csv")
+    tables.write_csv(broken, path, line_breaks=True)
+    assert sorted(r["s"] for r in tables.read_csv(spark, path, "s string", multiLine=True).collect()) == ["one\ntwo", "three"]
+
+
+def test_encoding_dotted_names(spark):
+    df = spark.createDataFrame([("x", "1", 2.0), ("y", "2", 3.0), (None, "3", None)], "`a.b` string, `n.o` string, `c.d` double")
+    out = encode.encode_table(df)
+    assert out.columns == ["n.o", "c.d", "x", "y"]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1.0, 2.0, 1, 0), (2.0, 3.0, 0, 1), (3.0, None, 0, 0)]))

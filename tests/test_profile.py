@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featurelab.functions.names import SIGNS, clean_name
-from featurelab.operators import profile
+from featurelab.operators import metrics, profile
 from featurelab.operators.ranks import exact_quantiles, ordered_position
 
 
@@ -131,3 +131,22 @@ def test_text_column_without_values_is_described(spark):
     df = spark.createDataFrame([("b", None), ("a", None)], "t string, n string")
     got = {r["column"]: tuple(r)[1:] for r in profile.describe_strings(df).collect()}
     assert got == {"t": (2, 2, "a", 1), "n": (0, 0, None, None)}
+
+
+def test_nan_and_dotted_names(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("k", 1.0, 4.0), ("k", 2.0, nan), ("l", nan, 6.0), ("l", 9.0, None)], "`g.h` string, `a.b` double, c double")
+    numbers = ["a.b", "c"]
+    assert profile.medians_and_mads(df, numbers) == {"a.b": (2.0, 1.0), "c": (5.0, 1.0)}
+    assert profile.medians_and_mads(df.where("c is null"), ["c"]) == {"c": (None, None)}
+    told = {r["column"]: r for r in profile.describe_numeric(df).collect()}
+    assert told["a.b"]["count"] == 3 and told["a.b"]["q50"] == 2.0 and told["c"]["mean"] == 5.0
+    assert {r["g.h"]: r["a.b"] for r in profile.group_sum(df, ["g.h"]).collect()} == {"k": 3.0, "l": 9.0}
+    assert profile.outlier_counts(df, numbers, [0.0]).where("column = 'a.b'").first()["count"] == 1
+    assert [r["a.b"] for r in profile.min_max(df, numbers).collect()] == [0.0, 0.125, None, 1.0]
+    assert profile.z_score(df, numbers).where("`a.b` is null").count() == 1
+    rows = [(1.0,), (2.0,), (2.5,), (nan,), (500.0,), (None,)]
+    labelled = profile.label_likes(spark.createDataFrame(rows, "`x.y` double"), "x.y", 3.0).collect()
+    assert [r["like"] for r in labelled] == [0, 1, 1, 0, 2, 0]
+    report = metrics.regression_report(spark.createDataFrame([(1.0, 2.0), (nan, 1.0), (3.0, nan), (5.0, 5.0)], "y double, prediction double")).first()
+    assert (report["rows"], report["mae"], report["mse"]) == (4, 0.5, 0.5)
