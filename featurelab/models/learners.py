@@ -9,9 +9,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, RandomForestRegressor,
 )
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from featurelab.functions.draws import SEED
 from featurelab.models import gram
+from featurelab.models.bayes import class_table, predict_class
 from featurelab.models.forests import Forest, grow_forests
 from featurelab.models.gram import (
     Moments, bayesian_ridge, fold_moments, least_squares, linear_prediction, relevance_regression,
@@ -223,38 +222,11 @@ def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5) -> MomentFit:
 
 
 def naive_bayes(kind: str, smoothing: float = 1.0):
-    """Every distinct target value is a class; the predicted class is turned back into its value.
-
-    MLlib also smooths the class shares of the multinomial model; here they are the plain
-    shares, so its scores are shifted by the difference before the best class is taken.
-    """
+    """Every distinct target value is a class, and classes are a table: there may be as many as rows."""
 
     def fit(train: DataFrame, features: list[str], target: str) -> Fitted:
-        vectors = _assembled(features)
-        labels = StringIndexer(inputCol="_class", outputCol="_label").fit(
-            train.select(F.col(target).cast("string").alias("_class"))
-        )
-        estimator = NaiveBayes(
-            modelType=kind, smoothing=smoothing, featuresCol=_VECTOR, labelCol="_label", predictionCol="_at"
-        )
-        marked = labels.transform(vectors.transform(train).withColumn("_class", F.col(target).cast("string")))
-        model = estimator.fit(marked.select(_VECTOR, "_label"))
-        sizes = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}  # one row per class
-        rows = sum(sizes.values())
-        shift = [math.log(sizes[float(i)] / rows) - model.pi[i] for i in range(len(sizes))]
-        back = IndexToString(inputCol="_at", outputCol="_value", labels=labels.labels)
-
-        def predict(df: DataFrame) -> DataFrame:
-            scored = model.transform(vectors.transform(df))
-            shifted = F.zip_with(
-                vector_to_array("rawPrediction"), F.array(*[F.lit(s) for s in shift]), lambda a, b: a + b
-            )
-            best = (F.array_position(shifted, F.array_max(shifted)) - 1).cast("double")
-            scored = back.transform(scored.withColumn("_at", best))
-            named = scored.withColumn("prediction", F.col("_value").cast("double"))
-            return named.drop(_VECTOR, "_at", "_value", "rawPrediction", "probability")
-
-        return Fitted(predict, model)
+        fitted = class_table(train, features, target, kind, smoothing)
+        return Fitted(lambda df: predict_class(df, fitted, features), fitted)
 
     return fit
 

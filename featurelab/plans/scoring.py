@@ -85,7 +85,7 @@ _SINGLE = ["".join("1" if i == j else "0" for j in range(len(ORDER_FEATURES))) f
 def single_feature_scores(spark, sf):
     scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y")
     scorer.score(_SINGLE)
-    return scorer.solutions().withColumn("score", rounded("score", 6))
+    return scorer.scores().withColumn("score", rounded("score", 6))
 
 
 _PAIRS = [
@@ -99,7 +99,7 @@ def _pair_scores(metric):
         """All masks of two features under a squared error."""
         scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y", metric=metric, clip_negative=False)
         scorer.score(_PAIRS)
-        return scorer.solutions().withColumn("score", rounded("score", 4))
+        return scorer.scores().withColumn("score", rounded("score", 4))
 
     return query
 
@@ -224,16 +224,22 @@ def settings_sweep_masks(spark, sf):
     return swept.withColumns({c: rounded(c, 6) for c in ["pc", "pm", "best_found", "score"]})
 
 
+_OWN = 5  # baseline features of the memo query; the others stand for outputs of earlier models
+
+
 def search_solutions(spark, sf):
-    """The memo of a short search, saved and restored."""
-    scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y")
+    """The memo of a short search with chromosomes and features, saved and restored."""
+    scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y", exmodel=ORDER_FEATURES[_OWN:])
     runs = read_table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 20).cast("bigint").alias("run_id")).agg(
         F.count(F.lit(1)).cast("int").alias("n")
     ).withColumns({"pc": F.lit(0.22), "pm": F.lit(0.1)})
     search_masks(runs, scorer, ORDER_FEATURES, 2)
     path = new_path(spark, "solutions")
     save_solutions(scorer.solutions(), path)
-    return load_solutions(spark, path).withColumn("score", rounded("score", 6))
+    return load_solutions(spark, path).select(
+        "genome", "baseline_genes", "exmodel_genes", rounded("score", 6).alias("score"),
+        *[F.array_join(f"{part}_features", ",").alias(f"{part}_features") for part in ("baseline", "exmodel")],
+    )
 
 
 def least_squares_fit(spark, sf):
@@ -261,7 +267,7 @@ def elastic_mask_scores(spark, sf):
     """Every mask of one feature under the elastic net as catalogued, whose fit on one feature has a closed form."""
     scorer = LinearScorer(_prepared(spark, sf), ORDER_FEATURES, "y", learner=learners.learner("elasticnet"))
     scorer.score(_SINGLE)
-    return scorer.solutions().withColumn("score", rounded("score", 6))
+    return scorer.scores().withColumn("score", rounded("score", 6))
 
 
 def elastic_net_fit(spark, sf):
@@ -298,6 +304,17 @@ def _bayes(kind):
     return query
 
 
+_BUYER_FEATURES = ["qty", "price"]
+
+
+def customer_classes(spark, sf):
+    """The customer of each order, guessed from its sums by Gaussian naive Bayes: as many classes as customers."""
+    buyers = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").cast("double").alias("buyer"))
+    facts = materialize(order_facts(spark, sf).join(buyers, "row_id"), "buyers")
+    scored = learners.learner("gaussiannb").fit(facts, _BUYER_FEATURES, "buyer").predict(facts)
+    return scored.select("row_id", F.col("prediction").cast("bigint").alias("buyer"))
+
+
 _CLASS_FEATURES = ["n", "disc", "tax", "z1", "z2"]
 
 
@@ -346,7 +363,7 @@ QUERIES.update(
     settings_sweep_masks=settings_sweep_masks, search_solutions=search_solutions,
     output_feature_search=output_feature_search,
     feature_pair_scores=_pair_scores("mse"), feature_pair_rmse=_pair_scores("rmse"), multinomial_classes=_bayes("multinomial"),
-    gaussian_classes=_bayes("gaussiannb"),
+    gaussian_classes=_bayes("gaussiannb"), customer_classes=customer_classes,
     model_restore=model_restore, elastic_net_fit=elastic_net_fit, elastic_mask_scores=elastic_mask_scores,
     least_squares_fit=least_squares_fit, learner_bake_off=learner_bake_off,
     boosted_classifier=boosted_classifier, round_curve=round_curve, split_counts=split_counts,
@@ -465,8 +482,10 @@ SELECT run_id, idx, genome, round(score, 6) AS score, {sql_names("genome", ORDER
     ),
     search_solutions=_sql_search(
         _sql_runs(20), 3,
-        """
-SELECT DISTINCT genome, round(score, 6) AS score
+        f"""
+SELECT DISTINCT genome, round(score, 6) AS score, substr(genome, 1, {_OWN}) AS baseline_genes, substr(genome, {_OWN} + 1) AS exmodel_genes,
+       {sql_names(f"substr(genome, 1, {_OWN})", ORDER_FEATURES[:_OWN])} AS baseline_features,
+       {sql_names(f"substr(genome, {_OWN} + 1)", ORDER_FEATURES[_OWN:])} AS exmodel_features
 FROM (SELECT genome, score FROM ranked UNION ALL SELECT genome, score FROM children_0
       UNION ALL SELECT genome, score FROM children_1 UNION ALL SELECT genome, score FROM children_2)""",
     ),
@@ -538,6 +557,14 @@ c AS (SELECT n, count(*) AS rows,
 p AS (SELECT row_id, c.n, ln(rows / (SELECT count(*) FROM facts))
              - {" - ".join(f"0.5 * (ln(2 * pi() * v_{f}) + (f.{f} - m_{f}) ** 2 / v_{f})" for f in _TARGET_FEATURES)} AS logp FROM facts f, c)
 SELECT row_id, arg_max(n, logp) AS prediction FROM p GROUP BY row_id""",
+    customer_classes=f"""
+WITH {ORDER_FACTS}, b AS (SELECT facts.*, o_custkey AS buyer FROM facts JOIN orders ON row_id = o_orderkey),
+eps AS (SELECT 1e-9 * greatest({", ".join(f"var_pop({f})" for f in _BUYER_FEATURES)}) AS e, count(*) AS total FROM b),
+c AS (SELECT buyer, ln(count(*) / any_value(total)) AS prior,
+             {", ".join(f"avg({f}) AS m_{f}, var_pop({f}) + any_value(e) AS v_{f}" for f in _BUYER_FEATURES)} FROM b, eps GROUP BY buyer),
+p AS (SELECT row_id, c.buyer, prior - {" - ".join(f"0.5 * (ln(2 * pi() * v_{f}) + (b.{f} - m_{f}) ** 2 / v_{f})" for f in _BUYER_FEATURES)} AS logp
+      FROM b, c)
+SELECT row_id, CAST(arg_max(buyer, logp) AS BIGINT) AS buyer FROM p GROUP BY row_id""",
     least_squares_fit=f"""
 WITH {ORDER_FACTS}, fit AS (SELECT regr_slope(y, price) AS s, regr_intercept(y, price) AS i FROM facts)
 SELECT round(avg(abs(y - (i + s * price))), 6) AS mae, round(any_value(i), 6) AS intercept, round(any_value(s), 6) AS slope

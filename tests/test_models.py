@@ -118,6 +118,35 @@ def test_masks_beyond_a_page_are_scored_too(spark, data):
     assert paged.count() == whole.count() == 32
 
 
+def test_the_memo_is_a_table_with_features(spark, data, monkeypatch):
+    _, df = data
+    folded = folds.random_folds(df, "row_id", 3)
+    monkeypatch.setattr(masks, "_MEMO_PARTS", 3)
+    scorer = masks.LinearScorer(folded, FEATURES, "y", max_features=3, exmodel=FEATURES[3:])
+    asked, errors = [], scorer._errors
+    monkeypatch.setattr(scorer, "_errors", lambda genomes: asked.append(genomes) or errors(genomes))
+    assert scorer.solutions().count() == 0
+    every = ["".join(g) for g in itertools.product("01", repeat=4)]
+    # Populations of growing overlap, joined into one plan: each keeps all its rows.
+    parts = [scorer(spark.createDataFrame([(g,) for g in every[:n]], "genome string")) for n in (2, 5, 9, 9, 16)]
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.withColumnRenamed("score", "before").join(part, "genome", "right").drop("before")
+    assert joined.count() == 16 and [p.count() for p in parts] == [2, 5, 9, 9, 16]
+    assert len(scorer.parts) <= 3
+    scored = [g for page in asked for g in page]
+    assert sorted(scored) == every[1:-1]  # the empty and the full mask are refused
+    rows = {r["genome"]: r for r in scorer.solutions().collect()}
+    assert sorted(rows) == every and rows["1111"]["score"] == rows["0000"]["score"] == masks.REFUSED
+    one = rows["1011"]
+    assert (one["baseline_genes"], one["exmodel_genes"]) == ("101", "1")
+    assert one["baseline_features"] == [FEATURES[0], FEATURES[2]] and one["exmodel_features"] == FEATURES[3:]
+    with pytest.raises(Exception, match="a mask needs 4 genes"):
+        scorer.score(["10"])
+    with pytest.raises(ValueError, match="exmodel"):
+        masks.LinearScorer(folded, FEATURES, "y", exmodel=["other"])
+
+
 def test_generic_scorer_agrees_with_the_linear_one(data):
     _, df = data
     folded = folds.random_folds(df, "row_id", 3)
