@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import dataclass, fields, is_dataclass
 from functools import partial
 
+from pyspark.ml.param import Params
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from featurelab.models.gram import fold_moments, least_squares, linear_predictio
 from featurelab.models.jobs import side_by_side
 from featurelab.models.learners import Learner, MomentFit
 from featurelab.operators.clean import clamp_negative, stack_rows
-from featurelab.sources.work import materialize
+from featurelab.operators.profile import plain_column
+from featurelab.sources.work import materialize, new_path
 
 
 def random_grids(
@@ -193,16 +196,81 @@ def system_neurons(neurons: DataFrame, system_id, learners: dict[str, Learner])
     ]
 
 
-def train_layers(data: DataFrame, neurons: list[Neuron], folds: int, clip_negative: bool = False) -> DataFrame:
+def _told(value) -> str:
+    """A learner's settings as text that is the same in every process."""
+    if isinstance(value, Params):
+        known = {p.name: v for p, v in value.extractParamMap().items() if not p.name.endswith("Col")}
+        return f"{type(value).__name__}{sorted(known.items())}"
+    if is_dataclass(value) and not isinstance(value, type):
+        return f"{type(value).__name__}({', '.join(_told(getattr(value, f.name)) for f in fields(value))})"
+    if isinstance(value, partial):
+        return f"{_told(value.func)}{[_told(v) for v in value.args]}{sorted((k, _told(v)) for k, v in value.keywords.items())}"
+    if callable(value):
+        held = [_told(c.cell_contents) for c in getattr(value, "__closure__", None) or ()]
+        return f"{getattr(value, '__qualname__', type(value).__qualname__)}{held}"
+    return repr(value)
+
+
+def _table_mark(data: DataFrame) -> str:
+    """Rows and an order-free sum of hashes of a table: one scan."""
+    hashed = F.xxhash64(*[plain_column(c) for c in sorted(data.columns)]).cast("decimal(20,0)")
+    rows, total = data.agg(F.count(F.lit(1)), F.sum(hashed)).first()
+    return f"{sorted(data.columns)} {rows} {total}"
+
+
+class Manifest:
+    """The finished layers of a grid: a table of (mark, layer, neurons, path) in ``folder``.
+
+    ``mark`` digests the data, the settings of the layer's neurons and all layers below, so a layer trained
+    on other rows or with other settings is never taken for this one. A layer is entered after it has
+    been written whole; what a stop left half-written has no entry and is not read.
+    """
+
+    SCHEMA = "mark string, layer int, neurons array<string>, path string"
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        spark.createDataFrame([], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def entries(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+
+    def find(self, mark: str) -> DataFrame | None:
+        found = self.entries().where(F.col("mark") == mark).select("path").first()
+        return self.spark.read.parquet(found["path"]) if found else None
+
+    def enter(self, mark: str, layer: int, names: list[str], grown: DataFrame) -> DataFrame:
+        path = new_path(self.spark, f"layer-{layer}")
+        grown.write.parquet(path)
+        self.spark.createDataFrame([(mark, layer, names, path)], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+        return self.spark.read.parquet(path)
+
+
+def train_layers(
+    data: DataFrame, neurons: list[Neuron], folds: int, clip_negative: bool = False, manifest: str | None = None
+) -> DataFrame:
     """Out-of-fold predictions of all neurons, one column each, layer by layer.
 
     ``data`` has row_id, fold, the baseline features and y. Each neuron is fitted on the
     other folds and predicts its own, so later layers never see a fitted value. A layer is
     written before the next one reads it. A neuron without a feature predicts its train mean.
+
+    ``manifest`` names a folder in which every finished layer is entered. Called again with the same
+    data and neurons after a stop, training goes on at the first layer without an entry; the layers'
+    tables lie in the shared folder, which must still be there.
     """
+    held = Manifest(data.sparkSession, manifest) if manifest else None
+    mark = f"{folds} {clip_negative} {_table_mark(data)}" if held else ""
     table = data
     for layer in sorted({n.layer for n in neurons}):
         here = [n for n in neurons if n.layer == layer]
+        if held:
+            told = [(n.name, n.learner.name, _told(n.learner.fit), n.baseline, n.exmodel) for n in here]
+            mark = hashlib.sha256(f"{mark} {told}".encode()).hexdigest()
+            done = held.find(mark)
+            if done is not None:
+                table = done
+                continue
         linear = [
             n for n in here
             if isinstance(n.learner.fit, MomentFit) or not (n.baseline or n.exmodel)
@@ -214,5 +282,6 @@ def train_layers(data: DataFrame, neurons: list[Neuron], folds: int, clip_negati
             grown = grown.join(wide, ["row_id", "fold"])
         if clip_negative:
             grown = grown.withColumns({n.name: clamp_negative(F.col(n.name)) for n in here})
-        table = materialize(grown, f"layer-{layer}")
+        names = [n.name for n in here]
+        table = held.enter(mark, layer, names, grown) if held else materialize(grown, f"layer-{layer}")
     return table.select("row_id", "fold", *[n.name for n in sorted(neurons, key=lambda n: n.layer)])

@@ -8,6 +8,7 @@ by the calendar, and a hot group is folded map-side before it is ever shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,12 +119,14 @@ def window_features(
     lags: list[int],
     widths: list[int],
     kinds: tuple[str, ...] = KINDS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Means over the rows up to ``lag`` rows back, for every value, kind, lag and width.
 
     rolling: the last ``width`` rows, NULL if there are fewer; expanding: all rows, NULL
     below ``width``; ewm: all rows, weighted with span ``width``. All of them come from
-    one shuffle and sort by category group. Returns the keys and the features.
+    one shuffle and sort by category group. Returns the keys, the sums of the ``keep``
+    columns, which so need no join with the table, and the features.
     """
     order = Window.partitionBy(*categories).orderBy(date)
     wanted = [(v, k, n, w) for v in values for k in kinds for n in lags for w in widths]
@@ -133,10 +136,10 @@ def window_features(
             direct[feature_name(v, k, n, w)] = _windowed(v, k, n, w, order)
         elif w == 1:  # all weight on the newest row
             direct[feature_name(v, k, n, w)] = F.lag(v, n).over(order)
-    data = series(df, date, values, categories).withColumns(direct)
+    data = series(df, date, list(dict.fromkeys([*values, *keep])), categories).withColumns(direct)
     if "ewm" in kinds:
         data = _add_weighted(data, values, categories, lags, widths)
-    return data.select(*categories, date, *[feature_name(*f) for f in wanted])
+    return data.select(*categories, date, *keep, *[feature_name(*f) for f in wanted])
 
 
 def fill_dates(

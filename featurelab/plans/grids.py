@@ -11,6 +11,7 @@ from featurelab.plans.fixtures import (
     systems,
 )
 from featurelab.plans.profiling import sql_folds
+from featurelab.sources.work import new_path
 
 QUERIES, ORACLE = {}, {}
 
@@ -108,23 +109,35 @@ def stacked_baseline(spark, sf):
     return outputs.select("row_id", F.col("fold").cast("bigint"), rounded("linear_N_0_M_0", 6).alias("linear_N_0_M_0"))
 
 
-def stacked_linear(spark, sf):
-    """Two neurons of one feature and a second layer on their outputs: solved in closed form."""
+def _linear_neurons():
     one = learner("linear")
-    neurons = [
+    return [
         layers.Neuron("linear_N_0_M_0", 0, one, ["qty"], []),
         layers.Neuron("linear_N_0_M_1", 0, one, ["disc"], []),
         layers.Neuron("linear_N_1_M_0", 1, one, [], ["linear_N_0_M_0", "linear_N_0_M_1"]),
     ]
+
+
+def stacked_linear(spark, sf):
+    """Two neurons of one feature and a second layer on their outputs: solved in closed form."""
+    neurons = _linear_neurons()
     outputs = layers.train_layers(folded(order_facts(spark, sf)), neurons, 3)
     return outputs.select("row_id", F.col("fold").cast("bigint"), *[rounded(n.name, 6).alias(n.name) for n in neurons])
 
 
+def resumed_linear(spark, sf):
+    """The same grid, stopped after its first layer and taken up again from the manifest."""
+    neurons, facts, manifest = _linear_neurons(), folded(order_facts(spark, sf)), new_path(spark, "manifest")
+    layers.train_layers(facts, neurons[:2], 3, manifest=manifest)
+    outputs = layers.train_layers(facts, neurons, 3, manifest=manifest)
+    return outputs.select("row_id", F.col("fold").cast("bigint"), *[rounded(n.name, 6).alias(n.name) for n in neurons])
+
+
 QUERIES.update(
     model_grids=model_grids, grid_chromosomes=grid_chromosomes, decoded_grids=decoded_grids,
     neuron_masks=neuron_masks, neuron_chromosomes=neuron_chromosomes, lower_outputs=lower_outputs,
     neuron_outputs=neuron_outputs, neuron_inputs=neuron_inputs, stacked_layers=stacked_layers,
-    stacked_baseline=stacked_baseline, stacked_linear=stacked_linear,
+    stacked_baseline=stacked_baseline, stacked_linear=stacked_linear, resumed_linear=resumed_linear,
 )
 
 _NAMES = "[" + ", ".join(f"'{m}'" for m in MODEL_NAMES) + "]"
@@ -191,3 +204,4 @@ WITH {ORDER_FACTS}, b AS ({sql_folds("facts", "row_id", 3)}),
 fits AS (SELECT k, regr_slope(y, qty) AS s, regr_intercept(y, qty) AS i FROM b, range(0, 3) t(k) WHERE fold <> k GROUP BY k)
 SELECT row_id, fold, round(i + s * qty, 6) AS "linear_N_0_M_0" FROM b JOIN fits ON fold = k""",
 )
+ORACLE["resumed_linear"] = ORACLE["stacked_linear"]

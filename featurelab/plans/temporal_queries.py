@@ -39,11 +39,9 @@ def _kind(kind):
 
 
 def window_table(spark, sf):
-    """All kinds of features joined to the summed table, rows with a NULL dropped."""
-    base = sales(spark, sf)
-    features = temporal.window_features(base, "date", ["units"], _GROUP, _LAGS, [2])
-    joined = base.select(*_GROUP, "date", "price").join(features, [*_GROUP, "date"])
-    return _text_keys(joined.na.drop("any"), ["price", *features.columns[3:]])
+    """All kinds of features beside the summed table, rows with a NULL dropped."""
+    features = temporal.window_features(sales(spark, sf), "date", ["units"], _GROUP, _LAGS, [2], keep=["price"])
+    return _text_keys(features.na.drop("any"), features.columns[3:])
 
 
 def fill_dates(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from featurelab.operators import clean, folds, population, profile, temporal
 from featurelab.plans.fixtures import sales
+from featurelab.plans.registry import all_queries
 from featurelab.sources.tables import read_table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,6 +36,11 @@ def test_all_window_features_come_from_one_more_shuffle(spark):
     assert exchanges(features) == exchanges(base) + 1
 
 
+def test_the_window_table_reads_its_tables_once(spark):
+    found = plan(all_queries()["window_table"](spark, FOLDER))
+    assert found.count("FileScan") == plan(sales(spark, FOLDER)).count("FileScan") == 3
+
+
 def test_generations_need_one_shuffle_in_all(spark):
     runs = spark.range(40).select(
         F.col("id").alias("run_id"), F.lit(10).alias("n"), F.lit(0.5).alias("pc"), F.lit(0.5).alias("pm")
