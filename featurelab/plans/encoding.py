@@ -36,6 +36,16 @@ def dummy_vector(spark, sf):
     return slots.groupBy(F.col("slot").cast("bigint")).agg(F.sum("flag").cast("bigint").alias("rows"))
 
 
+def category_slots(spark, sf):
+    """Slots of the customers' names and segments: as many categories as rows, and a few."""
+    customers = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    coded, size = encode.dummy_slots(customers, ["c_name", "c_mktsegment"], "slots")
+    return coded.select(
+        "c_custkey", F.col("slots")[0].alias("name_slot"), F.col("slots")[1].alias("segment_slot"),
+        F.lit(size).cast("bigint").alias("slots"),
+    )
+
+
 def random_folds(spark, sf):
     orders = read_table(spark, sf, "orders").select("o_orderkey")
     return folds.random_folds(orders, "o_orderkey", 7).withColumn("fold", F.col("fold").cast("bigint"))
@@ -74,7 +84,7 @@ def masked_vector(spark, sf):
 
 
 QUERIES.update(
-    dummies=dummies, encoded_table=encoded_table, dummy_vector=dummy_vector, random_folds=random_folds,
+    dummies=dummies, encoded_table=encoded_table, dummy_vector=dummy_vector, category_slots=category_slots, random_folds=random_folds,
     group_folds=group_folds, balanced_group_folds=balanced_group_folds, fold_views=fold_views,
     masked_vector=masked_vector,
 )
@@ -82,6 +92,13 @@ QUERIES.update(
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 ORACLE.update(
+    category_slots="""
+WITH n AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS i FROM (SELECT DISTINCT c_name FROM customer WHERE c_name IS NOT NULL)),
+s AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS i
+      FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)),
+t AS (SELECT (SELECT count(*) FROM n) AS names, (SELECT count(*) FROM s) AS segments)
+SELECT c_custkey, coalesce(n.i, names) AS name_slot, names + 1 + coalesce(s.i, segments) AS segment_slot, names + segments + 2 AS slots
+FROM customer LEFT JOIN n USING (c_name) LEFT JOIN s USING (c_mktsegment), t""",
     dummies=f"""
 SELECT c_custkey, {", ".join(f'''CAST(coalesce(c_mktsegment = '{s}', false) AS BIGINT) AS "{s}"''' for s in _SEGMENTS)}
 FROM customer""",
