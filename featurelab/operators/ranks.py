@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -20,6 +21,8 @@ _CUT_ROWS = 200_000
 SPREAD_BUCKETS = 1024
 # Distinct values a final order-statistic window may hold.
 _FINISH_DISTINCT = 100_000
+# Pieces a band is split into where a sketch does not narrow it.
+_PIECES = 16
 
 
 def range_bucket(
@@ -155,8 +158,10 @@ def exact_quantiles(
 
     A sketch brackets each quantile, counting proves the bracket right, and it is
     narrowed again until it holds few distinct values; those are counted by value
-    and searched in order. No task ever holds a whole column. NaN counts as NULL; a column
-    without a value has None. Columns may have any names: inside they go by place.
+    and searched in order. A bracket that a sketch leaves as wide as it was is split by the
+    bits of the double instead, which ends after 16 splits whatever the values. No task ever
+    holds a whole column. NaN counts as NULL; a column without a value has None. Columns may
+    have any names: inside they go by place.
     """
     names = {f"v{i}": c for i, c in enumerate(columns)}
     given = {v: F.col("`" + c.replace("`", "``") + "`").cast("double") for v, c in names.items()}
@@ -186,22 +191,21 @@ def exact_quantiles(
             open_[c, p] = {
                 "low": s["low"], "high": s["high"], "below": 0, "inside": s["n"],
                 "distinct": s["distinct"], "first": int(place), "place": place,
-                "last": min(int(place) + 1, s["n"] - 1), "accuracy": accuracy,
+                "last": min(int(place) + 1, s["n"] - 1),
             }
     while True:
-        wide = {
-            k: b for k, b in open_.items()
-            if b["distinct"] > finish_distinct and b["low"] < b["high"] and b["accuracy"] <= 10**7
-        }
+        wide = {k: b for k, b in open_.items() if b["distinct"] > finish_distinct and b["low"] < b["high"]}
         if not wide:
             break
-        _narrow(data, wide)
+        stuck = _narrow(data, wide, accuracy)
+        if stuck:
+            _split(data, stuck)
     answers.update(_finish(data, open_))
     return {(names[v], p): found for (v, p), found in answers.items()}
 
 
-def _narrow(data: DataFrame, bands: dict) -> None:
-    """One sketch and one counting pass for all open bands; updates them in place.
+def _narrow(data: DataFrame, bands: dict, accuracy: int) -> dict:
+    """One sketch and one counting pass for all open bands; updates them in place and returns those left as they were.
 
     Quantiles looked for in the same band of a column share a sketch.
     """
@@ -209,9 +213,9 @@ def _narrow(data: DataFrame, bands: dict) -> None:
     shared: dict[tuple, list[str]] = {}
     for name, key in names.items():
         band = bands[key]
-        shared.setdefault((key[0], band["low"], band["high"], band["accuracy"]), []).append(name)
+        shared.setdefault((key[0], band["low"], band["high"]), []).append(name)
     sketches = []
-    for i, ((column, low, high, accuracy), users) in enumerate(shared.items()):
+    for i, ((column, low, high), users) in enumerate(shared.items()):
         ends: list[float] = []
         for name in users:
             band = bands[names[name]]
@@ -238,6 +242,7 @@ def _narrow(data: DataFrame, bands: dict) -> None:
             ).alias(name)
         )
     counts = data.agg(*counted).first()
+    stuck = {}
     for name, key in names.items():
         band, found = bands[key], counts[name]
         holds = found["below"] <= band["first"] and band["last"] < found["below"] + found["inside"]
@@ -246,12 +251,65 @@ def _narrow(data: DataFrame, bands: dict) -> None:
             band.update(low=low, high=high, below=found["below"],
                         inside=found["inside"], distinct=found["distinct"])
         else:
-            band["accuracy"] *= 10
+            stuck[key] = band
+    return stuck
 
 
-def _finish(data: DataFrame, bands: dict) -> dict:
+def _ordinal(value: float) -> int:
+    """Place of a double among all doubles."""
+    bits = struct.unpack("<q", struct.pack("<d", value))[0]
+    return bits if bits >= 0 else -(bits & (2**63 - 1))
+
+
+def _double(ordinal: int) -> float:
+    size = struct.unpack("<d", struct.pack("<q", abs(ordinal)))[0]
+    return size if ordinal >= 0 else -size
+
+
+def _split(data: DataFrame, bands: dict) -> None:
+    """Cut each band into pieces with equally many doubles and keep the one that holds its place.
+
+    One scan counts the pieces of all bands. Where the two values between which a quantile lies
+    fall into two pieces, the band shrinks to these values.
+    """
+    edges, counted = {}, []
+    for i, (key, band) in enumerate(bands.items()):
+        start, stop = _ordinal(band["low"]), _ordinal(band["high"])
+        cuts = sorted({start + (stop - start) * k // _PIECES for k in range(_PIECES)} | {start - 1, stop})
+        edges[key] = [(_double(a + 1), _double(b)) for a, b in zip(cuts, cuts[1:])]
+        for j, (low, high) in enumerate(edges[key]):
+            value = F.when(_band_rows(F.col(key[0]), low, high), F.col(key[0]))
+            counted.append(
+                F.struct(
+                    F.count(value).alias("inside"), F.min(value).alias("low"), F.max(value).alias("high"),
+                    F.approx_count_distinct(value).alias("distinct"),
+                ).alias(f"p{i}_{j}")
+            )
+    counts = data.agg(*counted).first()
+    for i, (key, band) in enumerate(bands.items()):
+        below, pieces = band["below"], []
+        for j in range(len(edges[key])):
+            piece = counts[f"p{i}_{j}"]
+            if below <= band["last"] and band["first"] < below + piece["inside"]:
+                pieces.append((below, piece))
+            below += piece["inside"]
+        (start, first), last = pieces[0], pieces[-1][1]
+        if len(pieces) == 1:
+            band.update(low=first["low"], high=first["high"], below=start, inside=first["inside"], distinct=first["distinct"])
+        else:  # the greatest value of one piece and the least of the next that has any
+            band.update(low=first["high"], high=last["low"], distinct=0, found=True)
+
+
+def _between(band: dict, low: float, high: float) -> float:
+    share = band["place"] - band["first"]
+    return low if low == high or not share else low + (high - low) * share
+
+
+def _finish(data: DataFrame, open_: dict) -> dict:
+    result = {k: _between(b, b["low"], b["high"]) for k, b in open_.items() if "found" in b}
+    bands = {k: b for k, b in open_.items() if k not in result}
     if not bands:
-        return {}
+        return result
     shared: dict[tuple, int] = {}
     for (c, _), b in bands.items():
         shared.setdefault((c, b["low"], b["high"]), len(shared))
@@ -287,8 +345,6 @@ def _finish(data: DataFrame, bands: dict) -> dict:
             if h["band"] == band and h["stop"] - h["rows"] <= place < h["stop"]
         )
 
-    result = {}
     for key, (band, first, last) in targets.items():
-        low, high = at(band, first), at(band, last)
-        result[key] = low + (high - low) * (bands[key]["place"] - bands[key]["first"])
+        result[key] = _between(bands[key], at(band, first), at(band, last))
     return result

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featurelab.functions.names import SIGNS, clean_name
-from featurelab.operators import metrics, profile
+from featurelab.operators import metrics, profile, ranks
 from featurelab.operators.ranks import exact_quantiles, ordered_position
 
 
@@ -26,6 +26,29 @@ def test_exact_quantiles_with_and_without_narrowing(spark, finish):
             assert found[c, p] == pytest.approx(np.quantile(data, p), rel=1e-12)
 
 
+def test_quantiles_where_no_sketch_helps(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    spread = rng.normal(size=3000) * 10.0 ** rng.integers(-200, 200, 3000)
+    values = np.concatenate([spread, np.repeat([0.0, -0.0, 7.5, 1e-320, -1e-320], 200), [np.inf, -np.inf]])
+    two = np.repeat([-1e300, 1e300], len(values) // 2)
+    df = spark.createDataFrame(pd.DataFrame({"x": values, "two": two})).repartition(5)
+    whole, probs = ranks._narrow, [0.0, 0.013, 0.25, 0.4999, 0.5, 0.77, 0.999, 1.0]
+    monkeypatch.setattr(ranks, "_narrow", lambda data, bands, accuracy: bands)  # every bracket stays open
+    found = exact_quantiles(df, ["x", "two"], probs, finish_distinct=3)
+    monkeypatch.setattr(ranks, "_narrow", whole)
+    plain = exact_quantiles(df, ["x", "two"], probs)
+    for p in probs:
+        assert found["x", p] == plain["x", p] and found["two", p] == plain["two", p]
+        assert found["x", p] == pytest.approx(_plain_quantile(values, p), rel=1e-12, abs=0)
+        assert found["two", p] == _plain_quantile(two, p)
+
+
+def _plain_quantile(values, p):
+    ordered, place = np.sort(values), (len(values) - 1) * p
+    low, high = ordered[int(place)], ordered[min(int(place) + 1, len(values) - 1)]
+    return low if low == high or place == int(place) else low + (high - low) * (place - int(place))
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]) == {("x", 0.5): None}
