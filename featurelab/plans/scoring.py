@@ -10,6 +10,7 @@ from featurelab.models import boosting, layers, learners
 from featurelab.models.gram import fold_moments, least_squares, linear_prediction
 from featurelab.models.trees import Boosting
 from featurelab.models.masks import LearnerScorer, LinearScorer, score_masks, search_masks
+from featurelab.models.wide import wide_least_squares, wide_moments
 from featurelab.operators import folds, metrics
 from featurelab.operators.encode import feature_vector
 from featurelab.operators import population as pop
@@ -253,6 +254,29 @@ def least_squares_fit(spark, sf):
     )
 
 
+_DAYS = 366
+
+
+def wide_fold_fits(spark, sf):
+    """Quantity by a dummy for every day of the year but the first, fitted without each fold by blocks of sums."""
+    lines = read_table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % _FOLDS).cast("int").alias("fold"), F.col("l_quantity").alias("y"), F.dayofyear("l_shipdate").alias("day")
+    )
+    lines = materialize(
+        lines.withColumn("x", F.transform(F.sequence(F.lit(2), F.lit(_DAYS)), lambda d: (d == F.col("day")).cast("double"))), "lines"
+    )
+    moments = wide_moments(lines, "x", _DAYS - 1, "y", "fold")
+    fits = [
+        (k, day, float(intercept + (coef[day - 2] if day > 1 else 0.0)))
+        for k, (intercept, coef) in zip(moments.folds, wide_least_squares(moments))
+        for day in range(1, _DAYS + 1)
+    ]
+    fits = spark.createDataFrame(fits, "fold bigint, day bigint, prediction double")
+    others = F.transform(F.sequence(F.lit(1), F.lit(_FOLDS - 1)), lambda i: (F.col("fold") + i) % _FOLDS)
+    seen = lines.select(F.explode(others).alias("fold"), "day").distinct()  # days the fit has learned from
+    return fits.join(seen, ["fold", "day"], "left_semi").withColumn("prediction", rounded("prediction", 5))
+
+
 def model_restore(spark, sf):
     """Predictions of a linear model that was saved and loaded."""
     facts = materialize(order_facts(spark, sf), "facts")
@@ -365,7 +389,7 @@ QUERIES.update(
     feature_pair_scores=_pair_scores("mse"), feature_pair_rmse=_pair_scores("rmse"), multinomial_classes=_bayes("multinomial"),
     gaussian_classes=_bayes("gaussiannb"), customer_classes=customer_classes,
     model_restore=model_restore, elastic_net_fit=elastic_net_fit, elastic_mask_scores=elastic_mask_scores,
-    least_squares_fit=least_squares_fit, learner_bake_off=learner_bake_off,
+    least_squares_fit=least_squares_fit, wide_fold_fits=wide_fold_fits, learner_bake_off=learner_bake_off,
     boosted_classifier=boosted_classifier, round_curve=round_curve, split_counts=split_counts,
     early_stopping=early_stopping, staged_tuning=staged_tuning,
 )
@@ -565,6 +589,9 @@ c AS (SELECT buyer, ln(count(*) / any_value(total)) AS prior,
 p AS (SELECT row_id, c.buyer, prior - {" - ".join(f"0.5 * (ln(2 * pi() * v_{f}) + (b.{f} - m_{f}) ** 2 / v_{f})" for f in _BUYER_FEATURES)} AS logp
       FROM b, c)
 SELECT row_id, CAST(arg_max(buyer, logp) AS BIGINT) AS buyer FROM p GROUP BY row_id""",
+    wide_fold_fits=f"""
+WITH b AS (SELECT l_orderkey % {_FOLDS} AS fold, dayofyear(l_shipdate) AS day, l_quantity AS y FROM lineitem)
+SELECT k AS fold, day, round(avg(y), 5) AS prediction FROM b, range(0, {_FOLDS}) t(k) WHERE fold <> k GROUP BY k, day""",
     least_squares_fit=f"""
 WITH {ORDER_FACTS}, fit AS (SELECT regr_slope(y, price) AS s, regr_intercept(y, price) AS i FROM facts)
 SELECT round(avg(abs(y - (i + s * price))), 6) AS mae, round(any_value(i), 6) AS intercept, round(any_value(s), 6) AS slope
