@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from featurelab.functions import genes
 from featurelab.operators import population as pop
+from featurelab.operators.peers import unlike_peers
 from featurelab.plans import generation_sql as sql
 from featurelab.plans.fixtures import (
     GENES, GENOMES, ORDER_FEATURES, RUN_SIZE, genomes, rounded, sql_bits, sql_digest, sql_int,
@@ -141,6 +142,17 @@ def long_genome_likeness(spark, sf):
     return alike.withColumn("likeness", rounded("likeness", 6))
 
 
+_ALIKE = 0.7
+
+
+def unlike_genomes(spark, sf):
+    """Peers that share less than 70 % of a genome's genes, among all customers of a nation with as many ones."""
+    people = read_table(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("bigint").alias("run_id"), genes.random_genome(GENES, F.col("c_custkey")).alias("genome")
+    )
+    return unlike_peers(pop.ones_score(people), GENES, warn_below=_ALIKE)
+
+
 def population_overlap(spark, sf):
     before = pop.ranked(_scored(spark, sf))
     after = pop.mutated(before, 0, _PM)
@@ -230,7 +242,7 @@ QUERIES.update(
     population_summary=population_summary, selection_share=selection_share,
     unscored_genomes=unscored_genomes, memo_update=memo_update, batch_scores=batch_scores,
     equal_scores=equal_scores, genome_likeness=genome_likeness,
-    long_genome_likeness=long_genome_likeness, population_overlap=population_overlap,
+    long_genome_likeness=long_genome_likeness, unlike_genomes=unlike_genomes, population_overlap=population_overlap,
     genome_features=genome_features, inconsistent_individuals=inconsistent_individuals,
     decoded_settings=decoded_settings, good_settings=good_settings, one_generation=one_generation,
     three_generations=three_generations,
@@ -363,6 +375,13 @@ SELECT a.run_id, a.genome, a.score, count(*) AS equal_scores,
        round(avg(({_LONG} - hamming(a.genome, b.genome)) / {_LONG}.0), 6) AS likeness,
        CAST(avg(({_LONG} - hamming(a.genome, b.genome)) / {_LONG}.0) < 0.95 AS BIGINT) AS unlike
 FROM memo a JOIN memo b ON a.run_id = b.run_id AND a.score = b.score AND a.genome <> b.genome GROUP BY ALL""",
+    unlike_genomes=f"""
+WITH p AS (
+  SELECT c_nationkey AS run_id, substr({sql_bits(sql_digest("c_custkey"))}, 1, {GENES}) AS genome FROM customer),
+scored AS (SELECT run_id, genome, CAST({_ONES} AS DOUBLE) AS score, count(*) AS copies FROM p GROUP BY run_id, genome)
+SELECT CAST(a.run_id AS BIGINT) AS run_id, a.genome, a.score, CAST(sum(b.copies) - 1 AS BIGINT) AS equal_scores,
+       CAST(coalesce(sum(b.copies) FILTER (WHERE ({GENES} - hamming(a.genome, b.genome)) / {GENES}.0 < {_ALIKE}), 0) AS BIGINT) AS unlike_peers
+FROM scored a JOIN scored b ON a.run_id = b.run_id AND a.score = b.score GROUP BY ALL HAVING sum(b.copies) > 1""",
     population_overlap=f"""
 WITH {_RANKED}, {sql.mutated('ranked', GENES)}
 SELECT run_id, count(*) AS compared,
