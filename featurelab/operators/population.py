@@ -121,9 +121,12 @@ def crossed(
     pc: Column | float,
     seed: int = SEED,
     out: str = "genome",
+    size: Column | None = None,
 ) -> DataFrame:
-    """Best with worst, second best with second worst, ...: each pair crosses with probability ``pc``."""
-    n, idx = F.count(F.lit(1)).over(per_run()), F.col("idx")
+    """Best with worst, second best with second worst, ...: each pair crosses with probability ``pc``.
+
+    ``size``: rows of the run, where they are known."""
+    n, idx = F.count(F.lit(1)).over(per_run()) if size is None else size, F.col("idx")
     data = population.withColumn("_n", n).withColumn("_pair", F.least(idx, F.col("_n") - 1 - idx))
     pair = Window.partitionBy("run_id", "_pair")
     partner = F.when(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featurelab.functions import genes
+from featurelab.operators import large_runs
 from featurelab.operators import population as pop
 from featurelab.operators.peers import unlike_peers
 from featurelab.plans import generation_sql as sql
@@ -196,6 +197,17 @@ def one_generation(spark, sf):
     return final.select("run_id", F.col("idx").cast("bigint"), "genome", "score")
 
 
+def large_run(spark, sf):
+    """One generation of a single run that holds all customers, in parts of at most 500 or so."""
+    people = read_table(spark, sf, "customer").select(
+        F.lit(0).cast("bigint").alias("run_id"), F.col("c_custkey").cast("bigint").alias("idx"),
+        genes.random_genome(GENES, F.col("c_custkey")).alias("genome"), F.lit(_PC).alias("pc"), F.lit(_PM).alias("pm"),
+    )
+    people = people.join(F.broadcast(people.agg(F.count(F.lit(1)).alias("n"), F.max("run_id").alias("run_id"))), "run_id")
+    after = large_runs.generation(pop.ones_score(people), 0, pop.ones_score, part_rows=500)
+    return after.select("run_id", F.col("idx").cast("bigint"), "genome", "score")
+
+
 _GENERATIONS = 3
 _SEARCH_GENES = 30
 
@@ -244,7 +256,7 @@ QUERIES.update(
     equal_scores=equal_scores, genome_likeness=genome_likeness,
     long_genome_likeness=long_genome_likeness, unlike_genomes=unlike_genomes, population_overlap=population_overlap,
     genome_features=genome_features, inconsistent_individuals=inconsistent_individuals,
-    decoded_settings=decoded_settings, good_settings=good_settings, one_generation=one_generation,
+    decoded_settings=decoded_settings, good_settings=good_settings, one_generation=one_generation, large_run=large_run,
     three_generations=three_generations,
     onemax_search=onemax_search, settings_sweep=settings_sweep, settings_search=settings_search,
 )
@@ -310,6 +322,12 @@ FROM orders""",
     crossover=f"WITH {_CROSSED} SELECT run_id, idx, genome FROM crossed_0",
     mutation=f"WITH {_START}, {sql.mutated('start', GENES)} SELECT run_id, idx, genome FROM mutated_0",
     select_best=f"WITH {_KEPT} SELECT run_id, idx, genome, score FROM kept_0",
+    large_run=sql.generations(
+        f"""
+start AS (SELECT 0 AS run_id, c_custkey AS idx, substr({sql_bits(sql_digest("c_custkey"))}, 1, {GENES}) AS genome,
+                 count(*) OVER () AS n, {_PC} AS pc, {_PM} AS pm FROM customer)""",
+        "start", GENES, 1, _PEOPLE,
+    ),
     one_generation=sql.generations(_START, "start", GENES, 1, _PEOPLE),
     three_generations=sql.generations(_START, "start", GENES, _GENERATIONS, _PEOPLE),
     onemax_search=sql.generations(
