@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from featurelab.functions.genes import random_genome
 from featurelab.models import boosting, layers, learners
-from featurelab.models.gram import fold_moments, least_squares, linear_prediction
+from featurelab.models.gram import bayesian_ridge, fold_moments, least_squares, linear_prediction, relevance_regression
 from featurelab.models.trees import Boosting
 from featurelab.models.masks import LearnerScorer, LinearScorer, score_masks, search_masks
 from featurelab.models.wide import wide_least_squares, wide_moments
@@ -254,6 +254,20 @@ def least_squares_fit(spark, sf):
     )
 
 
+def evidence_fits(spark, sf):
+    """Bayesian ridge and relevance regression on one feature at a time, whose iterations unroll."""
+    facts = materialize(order_facts(spark, sf), "facts")
+    moments = fold_moments(facts, ORDER_FEATURES, "y")[0]
+    fits = [
+        (name, feature, *(float(x) for x in (intercept, coef[0])))
+        for name, solve in [("bayesridge", bayesian_ridge), ("ardr", relevance_regression)]
+        for i, feature in enumerate(ORDER_FEATURES)
+        for intercept, coef in [solve(moments, [i])]
+    ]
+    found = spark.createDataFrame(fits, "learner string, feature string, intercept double, slope double")
+    return found.withColumns({c: rounded(c, 5) for c in ("intercept", "slope")})
+
+
 _DAYS = 366
 
 
@@ -389,7 +403,7 @@ QUERIES.update(
     feature_pair_scores=_pair_scores("mse"), feature_pair_rmse=_pair_scores("rmse"), multinomial_classes=_bayes("multinomial"),
     gaussian_classes=_bayes("gaussiannb"), customer_classes=customer_classes,
     model_restore=model_restore, elastic_net_fit=elastic_net_fit, elastic_mask_scores=elastic_mask_scores,
-    least_squares_fit=least_squares_fit, wide_fold_fits=wide_fold_fits, learner_bake_off=learner_bake_off,
+    least_squares_fit=least_squares_fit, wide_fold_fits=wide_fold_fits, evidence_fits=evidence_fits, learner_bake_off=learner_bake_off,
     boosted_classifier=boosted_classifier, round_curve=round_curve, split_counts=split_counts,
     early_stopping=early_stopping, staged_tuning=staged_tuning,
 )
@@ -589,6 +603,29 @@ c AS (SELECT buyer, ln(count(*) / any_value(total)) AS prior,
 p AS (SELECT row_id, c.buyer, prior - {" - ".join(f"0.5 * (ln(2 * pi() * v_{f}) + (b.{f} - m_{f}) ** 2 / v_{f})" for f in _BUYER_FEATURES)} AS logp
       FROM b, c)
 SELECT row_id, CAST(arg_max(buyer, logp) AS BIGINT) AS buyer FROM p GROUP BY row_id""",
+    evidence_fits=f"""
+WITH RECURSIVE {ORDER_FACTS},
+long AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, y FROM facts" for f in ORDER_FEATURES)}),
+m AS MATERIALIZED (
+  SELECT feature, count(*) AS n, var_pop(x) * count(*) AS xx, covar_pop(x, y) * count(*) AS xy, var_pop(y) * count(*) AS yy,
+         avg(x) AS mx, avg(y) AS my FROM long GROUP BY feature),
+ridge(i, feature, noise, weight, old, coef) AS (
+  SELECT 0, feature, n / yy, 1.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM m
+  UNION ALL
+  SELECT i + 1, feature, (n - certain + 2e-6) / (greatest(yy - 2 * c * xy + c * c * xx, 0) + 2e-6), (certain + 2e-6) / (c * c + 2e-6), coef, c
+  FROM (SELECT *, xy / (xx + weight / noise) AS c, noise * xx / (weight + noise * xx) AS certain FROM ridge JOIN m USING (feature))
+  WHERE i < 300 AND (old IS NULL OR abs(coef - old) >= 1e-3)),
+relevance(i, feature, noise, weight, old, coef) AS (
+  SELECT 0, feature, n / yy, 1.0::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE FROM m
+  UNION ALL
+  SELECT i + 1, feature, (n - certain + 2e-6) / (greatest(yy - 2 * c * xy + c * c * xx, 0) + 2e-6), (certain + 2e-6) / (c * c + 2e-6), coef,
+         CASE WHEN (certain + 2e-6) / (c * c + 2e-6) < 1e4 THEN c ELSE 0 END
+  FROM (SELECT *, noise * xy / (weight + noise * xx) AS c, 1 - weight / (weight + noise * xx) AS certain FROM relevance JOIN m USING (feature))
+  WHERE i < 300 AND weight < 1e4 AND (old IS NULL OR abs(coef - old) >= 1e-3)),
+fits AS (
+  SELECT 'bayesridge' AS learner, feature, xy / (xx + arg_max(weight, i) / arg_max(noise, i)) AS slope FROM ridge JOIN m USING (feature) GROUP BY feature, xx, xy
+  UNION ALL SELECT 'ardr', feature, arg_max(coef, i) FROM relevance GROUP BY feature)
+SELECT learner, feature, round(my - mx * slope, 5) + 0.0 AS intercept, round(slope, 5) + 0.0 AS slope FROM fits JOIN m USING (feature)""",
     wide_fold_fits=f"""
 WITH b AS (SELECT l_orderkey % {_FOLDS} AS fold, dayofyear(l_shipdate) AS day, l_quantity AS y FROM lineitem)
 SELECT k AS fold, day, round(avg(y), 5) AS prediction FROM b, range(0, {_FOLDS}) t(k) WHERE fold <> k GROUP BY k, day""",
