@@ -293,6 +293,36 @@ def wide_elastic_net(
     raise ValueError(f"no fit within {iterations} steps")
 
 
+def out_of_fold(
+    df: DataFrame, features: str, fold: str, held: list[int], fits: list[tuple[float, np.ndarray]], out: str = "prediction"
+) -> DataFrame:
+    """Every row with the prediction of the fit that left out its fold: ``fits[i]`` for fold ``held[i]``.
+
+    NULL where the fold has no fit, or the array or one of its numbers is NULL or NaN. Narrow: the coefficients
+    go out with the tasks. A column named ``out`` must not be there already.
+    """
+    if out in df.columns:
+        raise ValueError(f"there is a column {out} already")
+    intercepts, coefs = np.array([f[0] for f in fits]), np.array([f[1] for f in fits])
+    given = df.select("*", F.col(fold).cast("bigint").alias("_k"), F.col(features).cast("array<double>").alias("_x"))
+    names = [*df.columns, out]
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS_AT_ONCE):
+                batch = whole.slice(start, _ROWS_AT_ONCE)
+                value = np.full(batch.num_rows, np.nan)
+                k, x = batch.columns[-2].to_numpy(zero_copy_only=False), batch.columns[-1]
+                there = x.is_valid().to_numpy(zero_copy_only=False)
+                for f, intercept, coef in zip(held, intercepts, coefs):
+                    here = there & (k == f)
+                    if here.any():
+                        value[here] = _lists(x.filter(pa.array(here)), len(coef)) @ coef + intercept
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(value, from_pandas=True)], names=names)
+
+    return given.mapInArrow(predict, df.withColumn(out, F.lit(None).cast("double")).schema)
+
+
 def _largest(fits: _Fits, steps: int = 30) -> np.ndarray:
     """A bound on the largest eigenvalue of each set: power steps, then a tenth more; the trace at most."""
     vector = np.where(fits.live, np.random.default_rng(0).normal(size=fits.right.shape), 0.0)

@@ -68,6 +68,18 @@ def test_elastic_net_equals_the_dense_fit(moments, tables, rows):
     assert intercept + x @ coef == pytest.approx(want[0] + x @ want[1], rel=1e-6)
 
 
+def test_predictions_of_the_fold_left_out(spark):
+    rows = [(0, 1, [1.0, 2.0]), (1, 1, [1.0, 2.0]), (2, 0, [3.0, -1.0]), (3, 7, [1.0, 1.0]), (4, None, [1.0, 1.0]), (5, 0, None), (6, 0, [None, 1.0])]
+    table = spark.createDataFrame(rows, "id int, fold int, x array<double>").repartition(3)
+    fits = [(10.0, np.array([1.0, 2.0])), (-5.0, np.array([0.0, 3.0]))]
+    got = wide.out_of_fold(table, "x", "fold", [0, 1], fits)
+    assert got.columns == ["id", "fold", "x", "prediction"]
+    assert {r["id"]: r["prediction"] for r in got.collect()} == {0: 1.0, 1: 1.0, 2: 11.0, 3: None, 4: None, 5: None, 6: None}
+    assert wide.out_of_fold(table.limit(0), "x", "fold", [0, 1], fits).count() == 0
+    with pytest.raises(ValueError, match="already"):
+        wide.out_of_fold(got, "x", "fold", [0, 1], fits)
+
+
 def test_incomplete_rows_and_odd_tables(spark):
     schema = "fold int, y double, x array<double>"
     full = [(0, 1.0, [1.0, 2.0]), (0, 2.0, [2.0, 0.5]), (1, 3.5, [3.0, 1.0]), (1, 4.0, [0.0, 1.0])]
