@@ -10,7 +10,7 @@ from featurelab.models import boosting, layers, learners
 from featurelab.models.gram import bayesian_ridge, fold_moments, least_squares, linear_prediction, relevance_regression
 from featurelab.models.trees import Boosting
 from featurelab.models.masks import LearnerScorer, LinearScorer, score_masks, search_masks
-from featurelab.models.wide import wide_least_squares, wide_moments
+from featurelab.models.wide import out_of_fold, wide_least_squares, wide_moments
 from featurelab.operators import folds, metrics
 from featurelab.operators.encode import feature_vector
 from featurelab.operators import population as pop
@@ -271,8 +271,8 @@ def evidence_fits(spark, sf):
 _DAYS = 366
 
 
-def wide_fold_fits(spark, sf):
-    """Quantity by a dummy for every day of the year but the first, fitted without each fold by blocks of sums."""
+def _day_fits(spark, sf):
+    """Lines with a dummy for every day of the year but the first, and the fits of quantity without each fold."""
     lines = read_table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") % _FOLDS).cast("int").alias("fold"), F.col("l_quantity").alias("y"), F.dayofyear("l_shipdate").alias("day")
     )
@@ -280,9 +280,24 @@ def wide_fold_fits(spark, sf):
         lines.withColumn("x", F.transform(F.sequence(F.lit(2), F.lit(_DAYS)), lambda d: (d == F.col("day")).cast("double"))), "lines"
     )
     moments = wide_moments(lines, "x", _DAYS - 1, "y", "fold")
+    return lines, moments.folds, wide_least_squares(moments)
+
+
+def wide_fold_scores(spark, sf):
+    """Error of every fold under the fit that left it out."""
+    lines, held, fits = _day_fits(spark, sf)
+    scored = out_of_fold(lines.select("fold", "y", "x"), "x", "fold", held, fits)
+    return scored.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(
+        F.count(F.lit(1)).alias("rows"), rounded(metrics.mae(F.col("y"), F.col("prediction")), 5).alias("mae")
+    )
+
+
+def wide_fold_fits(spark, sf):
+    """Quantity by day of the year, fitted without each fold by blocks of sums."""
+    lines, held, found = _day_fits(spark, sf)
     fits = [
         (k, day, float(intercept + (coef[day - 2] if day > 1 else 0.0)))
-        for k, (intercept, coef) in zip(moments.folds, wide_least_squares(moments))
+        for k, (intercept, coef) in zip(held, found)
         for day in range(1, _DAYS + 1)
     ]
     fits = spark.createDataFrame(fits, "fold bigint, day bigint, prediction double")
@@ -403,7 +418,7 @@ QUERIES.update(
     feature_pair_scores=_pair_scores("mse"), feature_pair_rmse=_pair_scores("rmse"), multinomial_classes=_bayes("multinomial"),
     gaussian_classes=_bayes("gaussiannb"), customer_classes=customer_classes,
     model_restore=model_restore, elastic_net_fit=elastic_net_fit, elastic_mask_scores=elastic_mask_scores,
-    least_squares_fit=least_squares_fit, wide_fold_fits=wide_fold_fits, evidence_fits=evidence_fits, learner_bake_off=learner_bake_off,
+    least_squares_fit=least_squares_fit, wide_fold_fits=wide_fold_fits, wide_fold_scores=wide_fold_scores, evidence_fits=evidence_fits, learner_bake_off=learner_bake_off,
     boosted_classifier=boosted_classifier, round_curve=round_curve, split_counts=split_counts,
     early_stopping=early_stopping, staged_tuning=staged_tuning,
 )
@@ -626,6 +641,11 @@ fits AS (
   SELECT 'bayesridge' AS learner, feature, xy / (xx + arg_max(weight, i) / arg_max(noise, i)) AS slope FROM ridge JOIN m USING (feature) GROUP BY feature, xx, xy
   UNION ALL SELECT 'ardr', feature, arg_max(coef, i) FROM relevance GROUP BY feature)
 SELECT learner, feature, round(my - mx * slope, 5) + 0.0 AS intercept, round(slope, 5) + 0.0 AS slope FROM fits JOIN m USING (feature)""",
+    wide_fold_scores=f"""
+WITH b AS (SELECT l_orderkey % {_FOLDS} AS fold, dayofyear(l_shipdate) AS day, l_quantity AS y FROM lineitem),
+f AS (SELECT k, day, avg(y) AS p FROM b, range(0, {_FOLDS}) t(k) WHERE fold <> k GROUP BY k, day)
+SELECT b.fold, count(*) AS rows, round(avg(abs(y - coalesce(f.p, first.p))), 5) AS mae
+FROM b LEFT JOIN f ON f.k = b.fold AND f.day = b.day LEFT JOIN f AS first ON first.k = b.fold AND first.day = 1 GROUP BY b.fold""",
     wide_fold_fits=f"""
 WITH b AS (SELECT l_orderkey % {_FOLDS} AS fold, dayofyear(l_shipdate) AS day, l_quantity AS y FROM lineitem)
 SELECT k AS fold, day, round(avg(y), 5) AS prediction FROM b, range(0, {_FOLDS}) t(k) WHERE fold <> k GROUP BY k, day""",
