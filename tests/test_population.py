@@ -159,6 +159,26 @@ def test_likeness_of_long_genomes(spark):
     assert got == {genomes[0]: 0.25, genomes[1]: 0.5, genomes[2]: 0.25}
 
 
+def test_likeness_in_parts_without_a_column_per_gene(spark):
+    """Groups counted in parts give the same rows, and the plan does not grow with the genes."""
+    rows = [(k % 2, f"{(k * 2654435761) % 4096:012b}", float(k % 3), k) for k in range(60)] + [(0, None, 1.0, 60), (0, "11", 1.0, 61), (None, "11", 1.0, 62)]
+    table = spark.createDataFrame(rows, "run_id int, genome string, score double, more int")
+    whole, parts = (pop.likeness(table, 12, block=block) for block in (2048, 4))
+    assert whole.columns == parts.columns == ["run_id", "score", "genome", "more", "equal_scores", "likeness", "unlike"]
+    found = [sorted((r["more"], r["equal_scores"], r["likeness"], r["unlike"]) for r in x.collect() if r["genome"]) for x in (whole, parts)]
+    assert found[0] == found[1] and len(found[0]) == 61
+    some = dict((r[3], r) for r in rows if r[1] and r[0] is not None)
+    for more, equals, like, _ in found[0]:
+        own = some[more]
+        peers = [r for r in rows if r[0] == own[0] and r[2] == own[2] and r[3] != more]
+        assert equals == len(peers)
+        if None not in [r[1] for r in peers]:
+            alike = [sum(a == b for a, b in zip(own[1].ljust(12, "0"), r[1].ljust(12, "0"))) / 12 for r in peers]
+            assert like == pytest.approx(sum(alike) / len(alike))
+    long, short = (len(pop.likeness(table, n)._jdf.queryExecution().analyzed().toString()) for n in (784, 12))
+    assert long < 2 * short
+
+
 def test_new_genomes_are_scored_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
