@@ -77,3 +77,24 @@ def test_ties_nulls_and_clashing_names(spark):
         bayes.class_table(spark.createDataFrame([(1.0, -1.0)], "label double, a double"), ["a"], "label", "multinomial")
     with pytest.raises(ValueError, match="no complete row"):
         bayes.class_table(df.limit(0), names, "label", "gaussian")
+
+
+def test_leaves_spare_most_classes(monkeypatch):
+    """Rows meet a small part of the classes and get the same class and score as from all of them."""
+    rng = np.random.default_rng(8)
+    size = 20_000
+    told = np.column_stack([rng.normal(0, 0.5, (size, 2)), rng.gamma(2.0, 0.5, (size, 2)) + 1e-6])
+    told[-500:] = told[:500]  # equal classes: the smaller one
+    page = np.arange(size) * 2.0, np.log(rng.integers(1, 30, size) / 3e5), told
+    x = rng.normal(0, 1.2, (2_000, 2))
+    x[7, 0] = np.inf
+    met, plain = [], bayes._log_likelihood
+    monkeypatch.setattr(bayes, "_log_likelihood", lambda kind, x, prior, told: met.append(len(x) * len(prior)) or plain(kind, x, prior, told))
+    found = []
+    for one in (page, bayes._leaves(page)):
+        met.clear()
+        score, best = np.full(len(x), -np.inf), np.full(len(x), np.nan)
+        bayes._best_of("gaussian", x, one, score, best)
+        found.append((score, best, sum(met)))
+    assert np.array_equal(found[0][0], found[1][0], equal_nan=True) and np.array_equal(found[0][1], found[1][1], equal_nan=True)
+    assert found[1][2] * 4 < found[0][2]
