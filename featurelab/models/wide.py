@@ -5,6 +5,9 @@ columns of one block, for one fold. Tasks add up as many blocks at a time as fit
 share of memory, so a very wide matrix takes several scans, and lines are summed by a shuffle
 on their key. The driver never holds the matrix: a product of matrix and vector is one job
 over the lines, and fits of all folds go forward together by such products.
+
+The features of a row are an array, or, where most are zero, a struct of the arrays ``indices`` (from 0,
+ascending) and ``values``: then a row costs what its entries cost, not what its width would.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from featurelab.sources.work import materialize
 
@@ -23,6 +27,7 @@ SIDE = 128  # columns of a block
 TASK_BYTES = 64 << 20  # sums a task holds in one scan, for all folds
 _LINES = "code bigint, sums array<double>"
 _ROWS_AT_ONCE = 1024
+_PAIRS_AT_ONCE = 1 << 18  # products of entries of sparse rows
 
 
 def _lists(column: pa.ListArray, width: int) -> np.ndarray:
@@ -33,6 +38,32 @@ def _lists(column: pa.ListArray, width: int) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
+def _entries(indices: pa.ListArray, values: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, index and value of the entries of whole sparse rows, and which rows are whole: without a NULL or NaN."""
+    counts = indices.value_lengths().to_numpy(zero_copy_only=False)
+    if not np.array_equal(counts, values.value_lengths().to_numpy(zero_copy_only=False)):
+        raise ValueError("every sparse row needs as many values as indices")
+    row, at = np.repeat(np.arange(len(counts)), counts), indices.flatten()
+    value = values.flatten().to_numpy(zero_copy_only=False)
+    whole = np.ones(len(counts), dtype=bool)
+    whole[row[at.is_null().to_numpy(zero_copy_only=False) | np.isnan(value)]] = False
+    used = whole[row]
+    row, at, value = row[used], at.fill_null(0).to_numpy().astype(np.int64)[used], value[used]
+    if ((at < 0) | (at >= size)).any():
+        raise ValueError(f"indices of {size} features go from 0 to {size - 1}")
+    if (np.diff(row * size + at) <= 0).any():
+        raise ValueError("indices of a sparse row need to ascend")
+    return row, at, value, whole
+
+
+def _numbers(df: DataFrame, features: str) -> list[Column]:
+    """The array of a row, or the indices and values of its entries."""
+    column = F.col(features)
+    if isinstance(df.select(column).schema[0].dataType, StructType):
+        return [column["indices"].cast("array<int>").alias("_i"), column["values"].cast("array<double>").alias("_x")]
+    return [column.cast("array<double>").alias("_x")]
+
+
 def _batch(codes: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     ends = np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1]
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(sums).ravel()))
@@ -137,28 +168,40 @@ def wide_moments(
     df: DataFrame, features: str, size: int, target: str, fold: str | None = None,
     side: int = SIDE, task_bytes: int = TASK_BYTES,
 ) -> WideMoments:
-    """Sums of products per fold of the ``size`` numbers in the array column ``features``.
+    """Sums of products per fold of the ``size`` numbers in the column ``features``, arrays or sparse rows.
 
     ``fold`` holds numbers from 0; without it there is one fold 0. Rows with a NULL or NaN in the target,
-    the fold, the array or any of its numbers are left out; an array of another length raises an error.
-    An empty table has no folds. ``df`` should be a written table: one scan finds the means, then one more for every ``task_bytes`` of sums;
+    the fold, the array or any of its numbers are left out; an array of another length raises an error, and
+    so does a sparse row whose indices do not ascend below ``size``. Where only some sparse rows have an entry of
+    a feature, it is not shifted, which keeps its zeros. An empty table has no folds. ``df`` should be a written table: one scan finds the means, then one more for every ``task_bytes`` of sums;
     wide rows also need ``spark.sql.execution.arrow.maxRecordsPerBatch`` such that a batch fits a task.
     """
     columns = size + 2
     blocks = -(-columns // side)
     at = F.col(fold) if fold else F.lit(0)
-    data = df.select(at.cast("bigint").alias("k"), F.col(target).cast("double").alias("y"),
-                     F.col(features).cast("array<double>").alias("x"))
-    data = data.filter(F.col("k").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull())
+    numbers = _numbers(df, features)
+    sparse = len(numbers) == 2
+    data = df.select(at.cast("bigint").alias("k"), F.col(target).cast("double").alias("y"), *numbers).na.drop()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS_AT_ONCE):
                 piece = batch.slice(start, _ROWS_AT_ONCE)
-                values = np.column_stack([piece.column("y").to_numpy(zero_copy_only=False), _lists(piece.column("x"), size)])
+                values = np.column_stack([piece.column("y").to_numpy(zero_copy_only=False), _lists(piece.column("_x"), size)])
                 whole = ~np.isnan(values).any(axis=1)
                 yield piece.column("k").to_numpy()[whole], values[whole]
 
+    def sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            row, index, value, whole = _entries(batch.column("_i"), batch.column("_x"), size)
+            whole &= ~np.isnan(y)
+            used, place = whole[row], np.cumsum(whole) - 1
+            yield batch.column("k").to_numpy()[whole], y[whole], place[row[used]], index[used], value[used]
+
+    # Sums of the columns; of sparse rows also their entries, from a block of their own on.
+    width = blocks * (2 if sparse else 1)
+
     def plain_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for k, values in rows(batches):
@@ -167,14 +210,29 @@ def wide_moments(
                 total = found.setdefault(int(f), np.zeros(blocks * side))
                 total[:columns] += np.r_[len(here), here.sum(axis=0)]
         for f, total in found.items():
-            yield _batch(f * blocks + np.arange(blocks), total.reshape(blocks, side))
+            yield _batch(f * width + np.arange(width), total.reshape(width, side))
+
+    def plain_sparse_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for k, y, row, index, value in sparse_rows(batches):
+            for f in np.unique(k):
+                here, entries = k == f, (k == f)[row]
+                total = found.setdefault(int(f), np.zeros((2, blocks * side)))
+                total[0, :2] += here.sum(), y[here].sum()
+                total[0, 2:columns] += np.bincount(index[entries], value[entries], minlength=size)
+                total[1, 2:columns] += np.bincount(index[entries], minlength=size)
+        for f, total in found.items():
+            yield _batch(f * width + np.arange(width), total.reshape(width, side))
 
     sums: dict[int, np.ndarray] = {}
-    for r in _summed(data.mapInArrow(plain_sums, _LINES), blocks, side).collect():
-        f, b = divmod(r["code"], blocks)
-        sums.setdefault(f, np.zeros(blocks * side))[b * side : (b + 1) * side] = r["sums"]
-    total = sum(sums.values(), np.zeros(blocks * side))
+    for r in _summed(data.mapInArrow(plain_sparse_sums if sparse else plain_sums, _LINES), width, side).collect():
+        f, b = divmod(r["code"], width)
+        sums.setdefault(f, np.zeros(width * side))[b * side : (b + 1) * side] = r["sums"]
+    total = sum(sums.values(), np.zeros(width * side))
     shift = total[1:columns] / max(total[0], 1.0)
+    if sparse:
+        seen = total[blocks * side + 2 : blocks * side + columns]
+        shift[1:][seen < total[0]] = 0.0
 
     pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
     at_once = max(1, task_bytes // (side * side * 8 * max(1, len(sums))))
@@ -199,12 +257,60 @@ def wide_moments(
                         else:
                             found[int(f), i] = part
             for (f, i), part in found.items():
-                left = np.arange(i * side, min((i + 1) * side, columns))
-                for b in range(first[i][0], first[i][1] + 1):
-                    sums = part[: len(left), (b - first[i][0]) * side : (b - first[i][0] + 1) * side]
-                    yield _batch((f * columns + left) * blocks + b, sums)
-
-        return multiply
+                yield from told(f, i, part)
+
+        def told(f: int, i: int, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+            left = np.arange(i * side, min((i + 1) * side, columns))
+            for b in range(first[i][0], first[i][1] + 1):
+                sums = part[: len(left), (b - first[i][0]) * side : (b - first[i][0] + 1) * side]
+                yield _batch((f * columns + left) * blocks + b, sums)
+
+        # A row of blocks is a stretch of cells, one after the other.
+        low, high = np.ones(blocks, dtype=np.int64), np.zeros(blocks, dtype=np.int64)
+        for i, ends in first.items():
+            low[i], high[i] = ends
+        across = (high - low + 1) * side
+        cells = np.cumsum(across * side)
+        begin = cells - across * side - low * side  # cell of a column is counted from the first of the lowest block
+
+        def multiply_sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for k, y, row, index, value in sparse_rows(batches):
+                length = np.bincount(row, minlength=len(k)) + 2  # with 1 and y
+                end = np.cumsum(length)
+                column, number = np.zeros(len(row) + 2 * len(k), dtype=np.int64), np.ones(len(row) + 2 * len(k))
+                column[end - length + 1], number[end - length + 1] = 1, y - shift[0]
+                at = np.arange(len(row)) + 2 * (row + 1)
+                column[at], number[at] = index + 2, value - shift[index + 1]
+                fold, block = np.repeat(k, length), column // side
+                # An entry meets itself and those that follow in its row.
+                meets = np.where(across[block] > 0, np.repeat(end, length) - np.arange(len(column)), 0)
+                until = np.cumsum(meets)
+                start = 0
+                while start < len(column):
+                    before = until[start] - meets[start]
+                    stop = max(start + 1, int(np.searchsorted(until, before + _PAIRS_AT_ONCE, side="right")))
+                    here = meets[start:stop]
+                    left = np.repeat(np.arange(start, stop), here)
+                    right = left + np.arange(len(left)) - np.repeat(until[start:stop] - here - before, here)
+                    start = stop
+                    inside = (block[right] >= low[block[left]]) & (block[right] <= high[block[left]])
+                    left, right = left[inside], right[inside]
+                    i = block[left]
+                    cell = begin[i] + (column[left] - i * side) * across[i] + column[right]
+                    product = number[left] * number[right]
+                    for f in np.unique(fold[left]):
+                        own = fold[left] == f
+                        total = found.setdefault(int(f), np.zeros(cells[-1]))
+                        np.add.at(total, cell[own], product[own])
+            for f, total in found.items():
+                for i in first:
+                    part = total[cells[i] - across[i] * side : cells[i]].reshape(side, across[i])
+                    if low[i] == i:  # only one half of a block on the diagonal was summed
+                        part[:, :side] += np.triu(part[:, :side], 1).T
+                    yield from told(f, i, part)
+
+        return multiply_sparse if sparse else multiply
 
     lines = None
     for page in pages:
@@ -298,13 +404,15 @@ def out_of_fold(
 ) -> DataFrame:
     """Every row with the prediction of the fit that left out its fold: ``fits[i]`` for fold ``held[i]``.
 
-    NULL where the fold has no fit, or the array or one of its numbers is NULL or NaN. Narrow: the coefficients
+    The features are arrays or sparse rows, as for ``wide_moments``. NULL where the fold has no fit, or the
+    features or one of their numbers are NULL or NaN. Narrow: the coefficients
     go out with the tasks. A column named ``out`` must not be there already.
     """
     if out in df.columns:
         raise ValueError(f"there is a column {out} already")
     intercepts, coefs = np.array([f[0] for f in fits]), np.array([f[1] for f in fits])
-    given = df.select("*", F.col(fold).cast("bigint").alias("_k"), F.col(features).cast("array<double>").alias("_x"))
+    numbers = _numbers(df, features)
+    given = df.select("*", F.col(fold).cast("bigint").alias("_k"), *numbers)
     names = [*df.columns, out]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +428,22 @@ def out_of_fold(
                         value[here] = _lists(x.filter(pa.array(here)), len(coef)) @ coef + intercept
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(value, from_pandas=True)], names=names)
 
-    return given.mapInArrow(predict, df.withColumn(out, F.lit(None).cast("double")).schema)
+    def predict_sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, (indices, values) = batch.columns[-3].to_numpy(zero_copy_only=False), batch.columns[-2:]
+            there = indices.is_valid().to_numpy(zero_copy_only=False) & values.is_valid().to_numpy(zero_copy_only=False)
+            fit = np.full(batch.num_rows, -1)
+            for i, f in enumerate(held):
+                fit[there & (k == f)] = i
+            known = np.flatnonzero(fit >= 0)
+            value = np.full(batch.num_rows, np.nan)
+            if len(known):
+                row, index, number, whole = _entries(indices.take(pa.array(known)), values.take(pa.array(known)), coefs.shape[1])
+                products = np.bincount(row, number * coefs[fit[known[row]], index], minlength=len(known))
+                value[known[whole]] = (products + intercepts[fit[known]])[whole]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(value, from_pandas=True)], names=names)
+
+    return given.mapInArrow(predict_sparse if len(numbers) == 2 else predict, df.withColumn(out, F.lit(None).cast("double")).schema)
 
 
 def _largest(fits: _Fits, steps: int = 30) -> np.ndarray:
