@@ -98,3 +98,24 @@ def test_leaves_spare_most_classes(monkeypatch):
         found.append((score, best, sum(met)))
     assert np.array_equal(found[0][0], found[1][0], equal_nan=True) and np.array_equal(found[0][1], found[1][1], equal_nan=True)
     assert found[1][2] * 4 < found[0][2]
+
+
+def test_contenders_are_found_before_rows_meet_classes(spark, monkeypatch):
+    """Of many classes few can be the best of any row; the rows get the same classes as from all of them."""
+    rng = np.random.default_rng(3)
+    size = 3_000
+    told = np.column_stack([np.arange(size) * 2.0, np.log(rng.integers(1, 30, size) / 3e4), rng.normal(0, 0.5, (size, 2)), rng.gamma(2.0, 0.5, (size, 2)) + 1e-4])
+    told[-50:, 1:] = told[:50, 1:]  # equal classes: the smaller one
+    table = spark.createDataFrame([tuple(map(float, r)) for r in told], "class double, prior double, x0 double, x1 double, vx0 double, vx1 double")
+    every = bayes.ClassTable(table.repartition(3), "gaussian", 2, size)
+    x = [*map(tuple, rng.normal(0, 1.2, (500, 2)).tolist()), (float("inf"), 0.0), (60.0, -80.0), (None, 1.0), (float("nan"), 1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "row int, a double, d double").repartition(4)
+    monkeypatch.setattr(bayes, "_MANY", size + 1)
+    plain = {r["row"]: r["prediction"] for r in bayes.predict_class(df, every, ["a", "d"]).collect()}
+    monkeypatch.setattr(bayes, "_MANY", 1)
+    left = bayes._contenders(df, every, ["a", "d"])
+    assert left.classes * 4 < size and left.table.where("class = 0").count() == 1
+    for page_bytes in (bayes.PAGE_BYTES, 4_000):
+        got = bayes.predict_class(df, every, ["a", "d"], page_bytes=page_bytes)
+        assert {r["row"]: r["prediction"] for r in got.collect()} == plain
+    assert bayes.predict_class(df.limit(0), every, ["a", "d"]).count() == 0
